@@ -55,7 +55,20 @@ SUBSTITUTIONS: dict[str, str] = {
 # The field patterns (Python ``re`` syntax of the feed decoder).
 # ``\s`` there is Unicode whitespace; Java's ``\s`` is ASCII only, so the
 # class is spelled out below from Python's own definition (str.isspace).
-_PY_SPACE = "".join(f"\\u{c:04x}" for c in range(0x3001) if chr(c).isspace())
+
+
+def _py_space_class() -> str:
+    """Python's whitespace set as compact regex ranges (e.g. ``\\u0009-\\u000d``)."""
+    points = [c for c in range(0x3001) if chr(c).isspace()]
+    runs, start = [], points[0]
+    for prev, cur in zip(points, points[1:] + [None]):
+        if cur != prev + 1:
+            runs.append(f"\\u{start:04x}" + (f"-\\u{prev:04x}" if prev != start else ""))
+            start = cur
+    return "".join(runs)
+
+
+_PY_SPACE = _py_space_class()
 PATTERNS: dict[str, str] = {
     "time": r'time[":]+(\d+)',
     "lat": r"lat[:" + _PY_SPACE + r"]*([0-9.-]+)",

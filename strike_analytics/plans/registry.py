@@ -26,7 +26,7 @@ from ..operators import ingest_stats as I
 from ..operators import queries as Q
 from ..operators.decode import accepted_strikes, decode_frames, outcomes, reject_counts
 from ..schemas import STRIKE_COLUMNS
-from ..sources.events import read_frames_from_events, read_strikes_from_events
+from ..sources.events import frames_from_events, read_events, read_strikes_from_events
 from .fence import ensure_parallelism
 
 NOW = _dt.datetime(2024, 1, 31)
@@ -49,7 +49,9 @@ def _strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
-    frames = ensure_parallelism(read_frames_from_events(spark, sf_dir))
+    # Building and decoding frames is CPU work per row: spread the (small,
+    # few-row-group) events file over all cores first. No-op at scale.
+    frames = frames_from_events(ensure_parallelism(read_events(spark, sf_dir)))
     return decode_frames(frames, profile)
 
 

@@ -1,0 +1,82 @@
+"""Structured Streaming forms of ingest and the live roll-ups.
+
+``start_ingest`` decodes a stream of raw frames and keeps two Parquet file
+sinks up to date: accepted strikes and per-frame outcomes. Each sink has its
+own checkpoint, so a restarted query resumes where it stopped and never
+writes a file twice (file sink + ``_spark_metadata`` log = exactly-once).
+Readers must read the sink folders as Spark tables (they follow the metadata
+log); never append batch files into a streaming sink folder.
+
+``hourly_activity_stream`` is the hourly roll-up as an event-time tumbling
+window with a watermark, emitted once per hour when the hour is final.
+``ingestion_stats_stream`` keeps the ingestion counters as streaming state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.numeric import pct
+from ..operators.decode import accepted_strikes, decode_frames, outcomes
+from ..plans.layout import DATE_COLUMN
+
+
+def _trigger(writer, trigger: str | None):
+    if trigger is None or trigger == "availableNow":
+        return writer.trigger(availableNow=True)
+    return writer.trigger(processingTime=trigger)
+
+
+def start_ingest(frames: DataFrame, strikes_path: str, outcomes_path: str,
+                 checkpoint_root: str, trigger: str | None = "availableNow",
+                 name: str = "ingest") -> tuple[StreamingQuery, StreamingQuery]:
+    """Start the two sink queries over a streaming frame DataFrame.
+
+    ``checkpoint_root`` must be on shared storage (use
+    ``session.shared_dir(spark, ...)``). ``trigger`` is ``"availableNow"``
+    (process what is there, then stop) or a processing-time interval.
+    """
+    decoded = decode_frames(frames, "strict")
+    strikes = accepted_strikes(decoded, with_date=True)
+    outcome_rows = outcomes(decoded).withColumn("received_date", F.to_date("received_at"))
+    q1 = _trigger(strikes.writeStream.format("parquet")
+                  .option("path", strikes_path)
+                  .option("checkpointLocation", f"{checkpoint_root}/strikes")
+                  .partitionBy(DATE_COLUMN).queryName(f"{name}_strikes"), trigger).start()
+    q2 = _trigger(outcome_rows.writeStream.format("parquet")
+                  .option("path", outcomes_path)
+                  .option("checkpointLocation", f"{checkpoint_root}/outcomes")
+                  .partitionBy("received_date").queryName(f"{name}_outcomes"), trigger).start()
+    return q1, q2
+
+
+def hourly_activity_stream(strikes: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Per clock hour: strike count and % positive polarity, in append mode.
+
+    The watermark column must be a zoned TIMESTAMP, so the NTZ strike time is
+    cast (session time zone UTC keeps the wall clock unchanged).
+    """
+    ts = F.col("strike_timestamp").cast("timestamp")
+    positive = F.when(F.col("polarity") == "positive", 1).otherwise(0)
+    return (strikes.withColumn("_event_time", ts)
+            .withWatermark("_event_time", watermark)
+            .groupBy(F.window("_event_time", "1 hour"))
+            .agg(F.count(F.lit(1)).alias("strike_count"), (F.avg(positive) * 100).alias("pct_positive"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("hour"),
+                    "strike_count", "pct_positive"))
+
+
+def ingestion_stats_stream(outcome_rows: DataFrame) -> DataFrame:
+    """Running ingestion counters as streaming state (``complete`` output mode).
+
+    One global group: the state is a single row however large the stream is.
+    """
+    agg = outcome_rows.groupBy().agg(
+        F.count(F.lit(1)).alias("total_received"),
+        F.count_if(F.col("stored")).alias("total_stored"),
+        F.count_if(~F.col("stored")).alias("total_failed"),
+        F.max("received_at").alias("last_strike_time"),
+        F.max("received_at").alias("updated_at"))
+    return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
