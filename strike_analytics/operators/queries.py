@@ -48,10 +48,15 @@ def _since(now, minutes: int) -> _dt.datetime:
 def list_strikes(strikes: DataFrame, *, limit: int = 100, offset: int = 0,
                  since=None, until=None, min_lat: float | None = None,
                  max_lat: float | None = None, min_lon: float | None = None,
-                 max_lon: float | None = None) -> DataFrame:
+                 max_lon: float | None = None, after: tuple | None = None) -> DataFrame:
     """Newest-first page of strikes; every bound optional and inclusive.
 
     ``min > max`` gives an empty page, not an error.
+
+    ``offset`` pages cost ``offset + limit`` rows per task in the top-k
+    merge. For deep paging pass ``after=(strike_timestamp, id)`` of the last
+    row of the previous page instead (keyset paging): it is a plain range
+    predicate, so every page costs one top-``limit`` whatever its depth.
     """
     _check("limit", limit, *LIMIT_RANGE)
     _check("offset", offset, 0)
@@ -67,6 +72,11 @@ def list_strikes(strikes: DataFrame, *, limit: int = 100, offset: int = 0,
         df = df.where(F.col("longitude") >= min_lon)
     if max_lon is not None:
         df = df.where(F.col("longitude") <= max_lon)
+    if after is not None:
+        ts, last_id = after
+        ts = ntz(to_datetime(ts))
+        df = df.where((F.col("strike_timestamp") < ts)
+                      | ((F.col("strike_timestamp") == ts) & (F.col("id") < F.lit(last_id))))
     df = df.orderBy(*newest_first())
     if offset:
         df = df.offset(offset)

@@ -53,7 +53,8 @@ def _polarity(event_type: Column) -> Column:
 
 
 def _props_k(props: Column) -> Column:
-    return F.get_json_object(props, "$.k").try_cast("int")
+    """``k`` of the ``{"k": N}`` props document (NULL when malformed)."""
+    return F.from_json(props, "k INT").getField("k")
 
 
 def strikes_from_events(events: DataFrame) -> DataFrame:

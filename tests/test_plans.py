@@ -7,7 +7,7 @@ from strike_analytics.operators import aggregates as A
 from strike_analytics.operators import queries as Q
 from strike_analytics.plans.registry import NEARBY_ARGS, NOW, QUERIES
 from strike_analytics.session import fresh_dir
-from strike_analytics.sources.events import read_frames_from_events
+from strike_analytics.sources.events import read_frames_from_events, read_strikes_from_events
 from strike_analytics.sources.tables import ingest_batch, read_strikes
 
 
@@ -49,3 +49,12 @@ def test_decode_filter_is_not_inlined(spark):
     p = plan(QUERIES["decode_frames_strict"](spark, SF_SMALL))
     assert "Generate inline" in p
     assert p.count("regexp_extract") <= 8
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    strikes = read_strikes_from_events(spark, SF_SMALL)
+    by_offset = Q.list_strikes(strikes, limit=7, offset=7).collect()
+    first = Q.list_strikes(strikes, limit=7).collect()
+    last = first[-1]
+    by_key = Q.list_strikes(strikes, limit=7, after=(last.strike_timestamp, last.id)).collect()
+    assert by_key == by_offset
