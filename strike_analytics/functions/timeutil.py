@@ -1,9 +1,13 @@
 """Zone-free timestamp helpers.
 
 Everything in the batch model is ``TIMESTAMP_NTZ`` (the Parquet inputs are
-written without a zone, and the reference stores zone-less UTC wall clock).
-Converting through an NTZ epoch constant keeps results independent of
-``spark.sql.session.timeZone``.
+written without a zone, and the source stores zone-less UTC wall clock).
+Nothing here depends on ``spark.sql.session.timeZone``:
+
+* literals are cast from ISO strings (a Python ``datetime`` literal would be
+  an instant, re-read in the session zone);
+* epoch offsets are computed from NTZ *fields* (days since epoch + time of
+  day), and added back as a day-time interval, never through a zoned cast.
 """
 
 from __future__ import annotations
@@ -13,38 +17,51 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MICROS_PER_DAY = 86_400_000_000
+_UNIT_MICROS = {"MICROSECOND": 1, "MILLISECOND": 1_000, "SECOND": 1_000_000}
 
 
-def epoch_ntz() -> Column:
-    """1970-01-01 00:00:00 as a TIMESTAMP_NTZ literal."""
-    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+def to_datetime(value: str | _dt.datetime | _dt.date) -> _dt.datetime:
+    if isinstance(value, str):
+        return _dt.datetime.fromisoformat(value)
+    if isinstance(value, _dt.datetime):
+        return value
+    return _dt.datetime(value.year, value.month, value.day)
 
 
 def ntz(value: str | _dt.datetime | Column) -> Column:
     """A ``TIMESTAMP_NTZ`` literal (or cast) for strings, datetimes and columns."""
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
-    if isinstance(value, str):
-        value = _dt.datetime.fromisoformat(value)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(to_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def to_datetime(value: str | _dt.datetime) -> _dt.datetime:
-    if isinstance(value, str):
-        return _dt.datetime.fromisoformat(value)
-    return value
+def epoch_ntz() -> Column:
+    """1970-01-01 00:00:00 as a TIMESTAMP_NTZ literal."""
+    return ntz("1970-01-01 00:00:00")
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of an NTZ timestamp."""
-    return F.timestamp_diff("MICROSECOND", epoch_ntz(), ts)
+    """Microseconds since 1970-01-01 of an NTZ timestamp (from its fields)."""
+    return (F.unix_date(F.to_date(ts)).cast("long") * F.lit(MICROS_PER_DAY)
+            + F.hour(ts).cast("long") * F.lit(3_600_000_000)
+            + F.minute(ts).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("long"))
 
 
 def from_epoch(unit: str, value: Column) -> Column:
-    """NTZ timestamp ``value`` units after 1970-01-01 (unit: MICROSECOND, MILLISECOND, SECOND)."""
-    return F.timestamp_add(unit, value, epoch_ntz())
+    """NTZ timestamp ``value`` units after 1970-01-01 (MICROSECOND, MILLISECOND, SECOND).
+
+    ``value`` must be non-negative and at most year 9999 (callers guard it).
+    """
+    us = value.cast("long") * F.lit(_UNIT_MICROS[unit])
+    days = (us - us % MICROS_PER_DAY) / F.lit(MICROS_PER_DAY)
+    secs = (us % MICROS_PER_DAY).cast("decimal(20,0)") / F.lit(1_000_000)
+    return epoch_ntz() + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0),
+                                            secs.cast("decimal(18,6)"))
 
 
 def floor_hour(ts: Column) -> Column:
     """Truncate an NTZ timestamp to the hour, staying NTZ."""
-    return F.timestamp_add("HOUR", F.timestamp_diff("HOUR", epoch_ntz(), ts), epoch_ntz())
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),
+                                F.lit(0), F.lit(0))

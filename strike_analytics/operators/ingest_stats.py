@@ -51,28 +51,37 @@ def ingest_progress(outcomes: DataFrame, every: int = 10, block: int = PROGRESS_
                .withColumn("_bucket", F.ceil(F.col("sample_no") / F.lit(every)).cast("long"))
                .groupBy("session_id", "_bucket")
                .agg(F.count(F.lit(1)).alias("_n"),
-                    F.count_if(F.col("decoded")).alias("_ok"),
-                    F.max(F.col("sample_no")).alias("_last"))
+                    F.count_if(F.col("decoded")).alias("_ok"))
                .withColumn("_block", F.floor(F.col("_bucket") / F.lit(block)).cast("long")))
     in_block = Window.partitionBy("session_id", "_block").orderBy("_bucket") \
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = buckets.select(
-        "session_id", "_block", "_bucket", "_last",
+        "session_id", "_block", "_bucket",
         F.sum("_n").over(in_block).alias("_n_local"),
         F.sum("_ok").over(in_block).alias("_ok_local"))
     before_block = Window.partitionBy("session_id").orderBy("_block") \
                          .rowsBetween(Window.unboundedPreceding, -1)
+    # Both branches read the same bucket aggregate with the same columns, so
+    # their plans match up to the first shuffle and Spark reuses it
+    # (ReusedExchange) instead of computing the input twice.
     offsets = (buckets.groupBy("session_id", "_block")
                .agg(F.sum("_n").alias("_bn"), F.sum("_ok").alias("_bok"))
                .select("session_id", "_block",
                        F.coalesce(F.sum("_bn").over(before_block), F.lit(0)).alias("_n_before"),
                        F.coalesce(F.sum("_bok").over(before_block), F.lit(0)).alias("_ok_before")))
-    rows = local.join(offsets, ["session_id", "_block"])
+    # Null-safe keys: an inner equi-join would infer IS NOT NULL filters and
+    # push them into one branch only, which breaks the exchange reuse above.
+    o = offsets.withColumnsRenamed({"session_id": "_o_session", "_block": "_o_block"})
+    rows = local.join(o, (local["session_id"].eqNullSafe(o["_o_session"]))
+                      & (local["_block"].eqNullSafe(o["_o_block"])))
     processed = (F.col("_n_local") + F.col("_n_before")).cast("long")
     stored = (F.col("_ok_local") + F.col("_ok_before")).cast("long")
-    return (rows.where(F.col("_last") % every == 0)
+    # ``sample_no`` is the per-connection counter (dense from 1), so the line
+    # for sample N exists exactly when N = bucket * every frames are counted.
+    report_at = F.col("_bucket") * F.lit(every)
+    return (rows.where(processed == report_at)
             .select("session_id",
-                    F.col("_last").alias("sample_no"),
+                    report_at.alias("sample_no"),
                     processed.alias("processed"),
                     stored.alias("stored"),
                     (processed - stored).alias("failed"),
