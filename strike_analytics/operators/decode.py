@@ -114,6 +114,9 @@ def _lenient(frames: DataFrame) -> DataFrame:
         num("mds", "mds"), num("mcg", "mcg"),
     ]
     x = x.withColumn("json", F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+    # Everything but time and position, as the diagnostic decoder reports it.
+    x = x.withColumn("other_fields", F.struct(
+        F.col("altitude").alias("alt"), F.col("polarity").alias("pol"), "mds", "mcg"))
     # Python writes an infinite latitude as ``inf``, which is not JSON.
     ok = F.try_parse_json(F.col("json")).isNotNull() & \
         (F.col("latitude").isNull() | D.is_finite(F.col("latitude")))

@@ -74,6 +74,10 @@ def q_nearby_strikes(spark, sf_dir):
     return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, **NEARBY_ARGS)
 
 
+def q_nearby_strikes_exact(spark, sf_dir):
+    return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, exact=True, **NEARBY_ARGS)
+
+
 def q_latest_strikes(spark, sf_dir):
     return Q.latest_strikes(_strikes(spark, sf_dir), 5)
 
@@ -142,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_strikes": q_list_strikes,
     "recent_strikes": q_recent_strikes,
     "nearby_strikes": q_nearby_strikes,
+    "nearby_strikes_exact": q_nearby_strikes_exact,
     "latest_strikes": q_latest_strikes,
     "nearest_strikes_miles": q_nearest_strikes_miles,
     "strike_stats": q_strike_stats,
@@ -204,7 +209,7 @@ def _in(classes) -> str:
     return "(" + ", ".join(str(c) for c in classes) + ")"
 
 
-def _sql_nearby() -> str:
+def _sql_nearby(exact: bool = False) -> str:
     lat, lon = SAN_DIEGO
     r, limit = NEARBY_ARGS["radius"], NEARBY_ARGS["limit"]
     a, b, c, d = search_box(lat, lon, r)
@@ -218,7 +223,7 @@ pre AS (
   SELECT * FROM strikes
   WHERE strike_timestamp >= TIMESTAMP '{since}'
     AND latitude BETWEEN {a!r} AND {b!r} AND longitude BETWEEN {c!r} AND {d!r}
-  ORDER BY strike_timestamp DESC, id DESC LIMIT {2 * limit}),
+  {"" if exact else f"ORDER BY strike_timestamp DESC, id DESC LIMIT {2 * limit}"}),
 dist AS (SELECT *, {hav} AS d FROM pre)
 SELECT {cols}, {py_round_sql('d', 2)} AS distance_km
 FROM dist WHERE d <= {r}
@@ -238,6 +243,7 @@ SELECT * FROM strikes WHERE strike_timestamp >= {NOW_SQL} - INTERVAL 1440 MINUTE
 ORDER BY strike_timestamp DESC, id DESC LIMIT 100""",
 
     "nearby_strikes": _sql_nearby(),
+    "nearby_strikes_exact": _sql_nearby(exact=True),
 
     "latest_strikes": f"""WITH {STRIKES_CTE}
 SELECT * FROM strikes ORDER BY strike_timestamp DESC, id DESC LIMIT 5""",

@@ -33,6 +33,26 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False,
     return reader.parquet(path)
 
 
+def frames_from_kafka(records: DataFrame, frame_id_bits: int = 40) -> DataFrame:
+    """Map Kafka source records (``key, value, topic, partition, offset,
+    timestamp, ...``) to the frame schema.
+
+    One topic partition is one connection: ``session_id = partition``,
+    ``sample_no = offset + 1`` and ``frame_id = partition << 40 | offset``
+    (unique while offsets stay below 2**40). Use with
+    ``spark.readStream.format("kafka")...load()`` when the Kafka connector is
+    on the classpath; the mapping itself is plain column arithmetic.
+    """
+    return records.select(
+        (F.shiftleft(F.col("partition").cast("long"), frame_id_bits) + F.col("offset")).alias("frame_id"),
+        F.col("partition").cast("long").alias("session_id"),
+        (F.col("offset") + 1).cast("long").alias("sample_no"),
+        F.col("timestamp").cast("timestamp").alias("received_at"),
+        F.lit(False).alias("is_text"),
+        F.col("value").cast("binary").alias("payload"),
+    )
+
+
 def read_strikes(spark: SparkSession, path: str) -> DataFrame:
     """The strike table; keeps ``strike_date`` so time filters prune partitions."""
     schema = T.StructType(STRIKES.fields + [T.StructField(DATE_COLUMN, T.DateType())])

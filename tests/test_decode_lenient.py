@@ -63,3 +63,8 @@ def test_rebuilt_json_parses_to_fields(make_frames):
     r = lenient(make_frames, [GOOD.replace("-117.25", "16040089")])[0]
     assert json.loads(r.json) == {"time": 1699564800, "lat": 32.5, "lon": 16.040089, "alt": 150,
                                   "pol": "positive", "mds": 8, "mcg": 12}
+
+
+def test_other_fields(make_frames):
+    r = lenient(make_frames, [GOOD])[0]
+    assert r.other_fields.asDict() == {"alt": 150, "pol": "positive", "mds": 8, "mcg": 12}
