@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import pct
+from ..functions.timeutil import epoch_micros, from_epoch
 from ..operators.decode import accepted_strikes, decode_frames, outcomes
 from ..plans.layout import DATE_COLUMN
 
@@ -55,16 +56,18 @@ def start_ingest(frames: DataFrame, strikes_path: str, outcomes_path: str,
 def hourly_activity_stream(strikes: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Per clock hour: strike count and % positive polarity, in append mode.
 
-    The watermark column must be a zoned TIMESTAMP, so the NTZ strike time is
-    cast (session time zone UTC keeps the wall clock unchanged).
+    The watermark column must be a zoned TIMESTAMP: the NTZ wall clock is
+    mapped to the instant with the same UTC wall clock (through epoch
+    microseconds, not a cast in the session zone), and the window start is
+    mapped back the same way, so hours align to wall-clock hours everywhere.
     """
-    ts = F.col("strike_timestamp").cast("timestamp")
+    ts = F.timestamp_micros(epoch_micros(F.col("strike_timestamp")))
     positive = F.when(F.col("polarity") == "positive", 1).otherwise(0)
     return (strikes.withColumn("_event_time", ts)
             .withWatermark("_event_time", watermark)
             .groupBy(F.window("_event_time", "1 hour"))
             .agg(F.count(F.lit(1)).alias("strike_count"), (F.avg(positive) * 100).alias("pct_positive"))
-            .select(F.col("window.start").cast("timestamp_ntz").alias("hour"),
+            .select(from_epoch("MICROSECOND", F.unix_micros(F.col("window.start"))).alias("hour"),
                     "strike_count", "pct_positive"))
 
 
