@@ -58,8 +58,7 @@ def main() -> None:
     n_frames = frames.count()
     root = fresh_dir(spark, "bench-tables")
     t0 = time.perf_counter()
-    ingest_batch(ensure_parallelism(frames), f"{root}/decoded/batch_id=0",
-                 f"{root}/strikes", f"{root}/outcomes", mode="overwrite")
+    ingest_batch(ensure_parallelism(frames), root, batch_id="0")
     ingest_s = time.perf_counter() - t0
     timings["ingest_batch"] = round(ingest_s, 3)
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions import decode as D
 from ..plans.fence import fence
-from ..schemas import STRIKE_COLUMNS
 
 
 def _extracted(frames: DataFrame) -> DataFrame:
@@ -170,4 +169,4 @@ def reject_counts(decoded: DataFrame) -> DataFrame:
             .groupBy("reason").agg(F.count(F.lit(1)).alias("frames")))
 
 
-__all__ = ["decode_frames", "accepted_strikes", "outcomes", "reject_counts", "STRIKE_COLUMNS"]
+__all__ = ["decode_frames", "accepted_strikes", "outcomes", "reject_counts"]

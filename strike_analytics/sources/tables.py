@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.decode import accepted_strikes, decode_frames, outcomes
 from ..plans.layout import DATE_COLUMN, clustered
-from ..schemas import FRAMES, STRIKES
+from ..schemas import FRAMES
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False,
@@ -55,42 +54,62 @@ def frames_from_kafka(records: DataFrame, frame_id_bits: int = 40) -> DataFrame:
 
 def read_strikes(spark: SparkSession, path: str) -> DataFrame:
     """The strike table; keeps ``strike_date`` so time filters prune partitions."""
-    schema = T.StructType(STRIKES.fields + [T.StructField(DATE_COLUMN, T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(path).drop("batch_id")
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_strikes(strikes: DataFrame, path: str, mode: str = "append") -> None:
-    """Append strikes, partitioned by date and clustered for row-group skipping."""
-    (clustered(strikes).write.mode(mode).partitionBy(DATE_COLUMN)
-     .option("maxRecordsPerFile", 5_000_000).parquet(path))
+def write_strikes(strikes: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Write strikes partitioned by date (and batch), clustered for row-group skipping.
 
+    With a ``batch_id`` the write replaces exactly that batch's partitions
+    (dynamic partition overwrite), so re-running a failed or repeated batch
+    never duplicates rows; without one it appends.
+    """
+    df = clustered(strikes)
+    parts = [DATE_COLUMN]
+    if batch_id is not None:
+        df, parts = df.withColumn("batch_id", F.lit(str(batch_id))), parts + ["batch_id"]
+    _write(df, path, parts, batch_id is not None)
+
+
+def write_outcomes(outcome_rows: DataFrame, path: str, batch_id: str | None = None) -> None:
+    df = outcome_rows.withColumn("received_date", F.to_date("received_at"))
+    parts = ["received_date"]
+    if batch_id is not None:
+        df, parts = df.withColumn("batch_id", F.lit(str(batch_id))), parts + ["batch_id"]
+    _write(df, path, parts, batch_id is not None)
 
-def write_outcomes(outcome_rows: DataFrame, path: str, mode: str = "append") -> None:
-    (outcome_rows.withColumn("received_date", F.to_date("received_at"))
-     .write.mode(mode).partitionBy("received_date").parquet(path))
 
+def _write(df: DataFrame, path: str, parts: list[str], idempotent: bool) -> None:
+    w = df.write.partitionBy(*parts).option("maxRecordsPerFile", 5_000_000)
+    if idempotent:
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        w = w.mode("append")
+    w.parquet(path)
 
-def ingest_batch(frames: DataFrame, decoded_path: str, strikes_path: str,
-                 outcomes_path: str, mode: str = "append") -> None:
-    """Batch ingest: decode once, persist the decoded log, derive the tables.
 
-    ``decoded_path`` is this batch's own folder (e.g. ``.../decoded/batch_id=N``),
-    so re-reading it never picks up earlier batches.
+def ingest_batch(frames: DataFrame, root: str, batch_id: str) -> dict[str, str]:
+    """Batch ingest of one batch of landed frames; safe to re-run.
 
-    The decode is a narrow projection. Its output is written once (the
-    barrier between the CPU-heavy decode and its two consumers, and the
+    Decodes once and writes the decoded log to ``root/decoded/batch_id=<id>``
+    (the barrier between the CPU-heavy decode and its two consumers, and the
     lineage cut: a lost executor recomputes from that file, not from the
-    decode); the strike and outcome tables are then scans of it with the
-    ``reason`` predicate pushed into Parquet.
+    decode). The strike and outcome tables are then scans of that log with
+    the ``reason`` predicate pushed into Parquet, written with dynamic
+    partition overwrite keyed by ``batch_id``: a retried or repeated batch
+    replaces its own partitions and nothing else.
     """
     spark = frames.sparkSession
+    paths = {k: f"{root.rstrip('/')}/{k}" for k in ("decoded", "strikes", "outcomes")}
+    log_path = f"{paths['decoded']}/batch_id={batch_id}"
     decoded = decode_frames(frames, "strict").withColumn(
         "received_date", F.to_date(F.col("received_at").cast("timestamp_ntz")))
-    decoded.write.mode("overwrite").partitionBy("received_date").parquet(decoded_path)
-    log = spark.read.parquet(decoded_path)
-    write_strikes(accepted_strikes(log, with_date=True), strikes_path, mode)
-    write_outcomes(outcomes(log), outcomes_path, mode)
+    decoded.write.mode("overwrite").partitionBy("received_date").parquet(log_path)
+    log = spark.read.parquet(log_path)
+    write_strikes(accepted_strikes(log, with_date=True), paths["strikes"], batch_id)
+    write_outcomes(outcomes(log), paths["outcomes"], batch_id)
+    return paths

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_ORACLE, SF_SMALL
+from conftest import SF_ORACLE
 from tools.check_oracle import _rows, duck
 
 

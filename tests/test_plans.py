@@ -30,8 +30,7 @@ def test_time_filter_reaches_the_scan(spark):
 
 def test_written_table_prunes_dates_and_pushes_box(spark):
     root = fresh_dir(spark, "plan-test")
-    ingest_batch(read_frames_from_events(spark, SF_SMALL), f"{root}/decoded/batch_id=0",
-                 f"{root}/strikes", f"{root}/outcomes", mode="overwrite")
+    ingest_batch(read_frames_from_events(spark, SF_SMALL), root, batch_id="b1")
     strikes = read_strikes(spark, f"{root}/strikes")
     p = plan(Q.nearby_strikes(strikes, now=NOW, **NEARBY_ARGS))
     assert "PartitionFilters: [isnotnull(strike_date" in p and "strike_date#" in p
@@ -58,3 +57,16 @@ def test_keyset_paging_equals_offset_paging(spark):
     last = first[-1]
     by_key = Q.list_strikes(strikes, limit=7, after=(last.strike_timestamp, last.id)).collect()
     assert by_key == by_offset
+
+
+def test_batch_ingest_is_idempotent(spark):
+    root = fresh_dir(spark, "idem")
+    frames = read_frames_from_events(spark, SF_SMALL)
+    first, second = frames.where("frame_id < 600"), frames.where("frame_id >= 600")
+    ingest_batch(first, root, batch_id="a")
+    ingest_batch(first, root, batch_id="a")           # a retried batch
+    ingest_batch(second, root, batch_id="b")
+    strikes = read_strikes(spark, f"{root}/strikes")
+    assert strikes.count() == 800
+    assert strikes.select("id").distinct().count() == 800
+    assert spark.read.parquet(f"{root}/outcomes").count() == 1000

@@ -1,7 +1,5 @@
 """Streaming ingest equals batch; restarts do not duplicate; live roll-ups."""
 
-from pyspark.sql import functions as F
-
 from conftest import SF_SMALL
 from strike_analytics.operators.aggregates import hourly_activity
 from strike_analytics.operators.decode import accepted_strikes, decode_frames
