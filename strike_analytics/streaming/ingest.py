@@ -1,11 +1,8 @@
 """Structured Streaming forms of ingest and the live roll-ups.
 
-``start_ingest`` decodes a stream of raw frames and keeps two Parquet file
-sinks up to date: accepted strikes and per-frame outcomes. Each sink has its
-own checkpoint, so a restarted query resumes where it stopped and never
-writes a file twice (file sink + ``_spark_metadata`` log = exactly-once).
-Readers must read the sink folders as Spark tables (they follow the metadata
-log); never append batch files into a streaming sink folder.
+``start_ingest`` decodes a stream of raw frames once per micro-batch and
+keeps the strike and outcome tables up to date through ``foreachBatch`` with
+idempotent, batch-keyed writes (exactly-once on replay).
 
 ``hourly_activity_stream`` is the hourly roll-up as an event-time tumbling
 window with a watermark, emitted once per hour when the hour is final.
@@ -20,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import pct
 from ..functions.timeutil import epoch_micros, from_epoch
-from ..operators.decode import accepted_strikes, decode_frames, outcomes
-from ..plans.layout import DATE_COLUMN
+from ..sources.tables import ingest_batch
+
+# Local property the stream execution thread carries: the query's stable id.
+QUERY_ID_PROPERTY = "sql.streaming.queryId"
 
 
 def _trigger(writer, trigger: str | None):
@@ -30,27 +29,28 @@ def _trigger(writer, trigger: str | None):
     return writer.trigger(processingTime=trigger)
 
 
-def start_ingest(frames: DataFrame, strikes_path: str, outcomes_path: str,
-                 checkpoint_root: str, trigger: str | None = "availableNow",
-                 name: str = "ingest") -> tuple[StreamingQuery, StreamingQuery]:
-    """Start the two sink queries over a streaming frame DataFrame.
+def start_ingest(frames: DataFrame, root: str, checkpoint: str,
+                 trigger: str | None = "availableNow", name: str = "ingest") -> StreamingQuery:
+    """Continuously decode a frame stream into the strike and outcome tables.
+
+    One query, one decode per micro-batch: each micro-batch goes through
+    ``ingest_batch`` (decoded log, then strikes and outcomes written with
+    dynamic partition overwrite keyed by the batch). The key is the
+    streaming query id (stable across restarts from the same checkpoint)
+    plus the epoch, so a micro-batch replayed after a failure replaces its
+    own partitions: exactly-once output without a second decode.
 
-    ``checkpoint_root`` must be on shared storage (use
-    ``session.shared_dir(spark, ...)``). ``trigger`` is ``"availableNow"``
-    (process what is there, then stop) or a processing-time interval.
+    ``root`` and ``checkpoint`` must be on shared storage (see
+    ``session.shared_dir``). ``trigger`` is ``"availableNow"`` or a
+    processing-time interval such as ``"10 seconds"``.
     """
-    decoded = decode_frames(frames, "strict")
-    strikes = accepted_strikes(decoded, with_date=True)
-    outcome_rows = outcomes(decoded).withColumn("received_date", F.to_date("received_at"))
-    q1 = _trigger(strikes.writeStream.format("parquet")
-                  .option("path", strikes_path)
-                  .option("checkpointLocation", f"{checkpoint_root}/strikes")
-                  .partitionBy(DATE_COLUMN).queryName(f"{name}_strikes"), trigger).start()
-    q2 = _trigger(outcome_rows.writeStream.format("parquet")
-                  .option("path", outcomes_path)
-                  .option("checkpointLocation", f"{checkpoint_root}/outcomes")
-                  .partitionBy("received_date").queryName(f"{name}_outcomes"), trigger).start()
-    return q1, q2
+    def write(batch, epoch: int) -> None:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID_PROPERTY) or name
+        ingest_batch(batch, root, batch_id=f"{query_id}-{epoch}")
+
+    writer = (frames.writeStream.foreachBatch(write)
+              .option("checkpointLocation", checkpoint).queryName(name))
+    return _trigger(writer, trigger).start()
 
 
 def hourly_activity_stream(strikes: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -6,7 +6,7 @@ from strike_analytics.operators.decode import accepted_strikes, decode_frames
 from strike_analytics.plans.registry import NOW
 from strike_analytics.session import fresh_dir
 from strike_analytics.sources.events import read_frames_from_events
-from strike_analytics.sources.tables import read_frames
+from strike_analytics.sources.tables import read_frames, read_strikes
 from strike_analytics.streaming.ingest import hourly_activity_stream, ingestion_stats_stream, start_ingest
 
 
@@ -14,16 +14,18 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     src = fresh_dir(spark, "frames")
     frames = read_frames_from_events(spark, SF_SMALL)
     frames.repartition(3).write.parquet(src)
-    sp, op, ck = fresh_dir(spark, "s"), fresh_dir(spark, "o"), fresh_dir(spark, "ck")
+    root, ck = fresh_dir(spark, "tables"), fresh_dir(spark, "ck")
+    sp, op = f"{root}/strikes", f"{root}/outcomes"
     for _ in range(2):                                # second run = restart from checkpoint
-        for q in start_ingest(read_frames(spark, src, streaming=True, max_files_per_trigger=1), sp, op, ck):
-            q.awaitTermination()
-    got = spark.read.parquet(sp).drop("strike_date")
+        start_ingest(read_frames(spark, src, streaming=True, max_files_per_trigger=1), root, ck).awaitTermination()
+    got = read_strikes(spark, sp).drop("strike_date")
     want = accepted_strikes(decode_frames(frames))
     assert got.count() == 800 and spark.read.parquet(op).count() == 1000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    batches = spark.read.parquet(op).select("batch_id").distinct().count()
+    assert batches == 3                               # one per micro-batch (3 files, 1 per trigger)
 
-    hs = hourly_activity_stream(spark.readStream.schema(spark.read.parquet(sp).schema).parquet(sp))
+    hs = hourly_activity_stream(spark.readStream.schema(spark.read.parquet(sp).schema).parquet(sp).drop("batch_id"))
     q = hs.writeStream.format("memory").queryName("hourly_t").outputMode("append") \
           .trigger(availableNow=True).start()
     q.awaitTermination()
