@@ -31,15 +31,21 @@ def _extracted(frames: DataFrame) -> DataFrame:
 
 
 def _parsed(x: DataFrame) -> DataFrame:
-    """Parse the numeric captures once: ``_<field>_d`` doubles and the raw epoch."""
+    """Parse the numeric captures once (``_<field>_d`` doubles, the raw epoch)
+    and repair the longitude. Two projections: the longitude's parsed value
+    and integer digits first, the repair rule over them second."""
+    lon_v = D.parse_double(F.col("lon_txt"))
     x = x.withColumns({
         "strike_time": F.col("time_txt").try_cast("long"),
         "_lat_d": D.parse_double(F.col("lat_txt")),
         "_alt_d": D.parse_double(F.col("alt_txt")),
         "_mds_d": D.parse_double(F.col("mds_txt")),
         "_mcg_d": D.parse_double(F.col("mcg_txt")),
+        "_lon_v": lon_v,
+        "_lon_digits": F.when(D.is_finite(lon_v), D.integer_digits(lon_v)),
     })
-    return D.with_repaired_longitude(x, "lon_txt", "longitude")
+    x = x.withColumn("longitude", D.repair_longitude_parts(F.col("_lon_v"), F.col("_lon_digits")))
+    return x.drop("_lon_v", "_lon_digits")
 
 
 def _raises(field: str) -> Column:

@@ -32,6 +32,10 @@ def local_session(cores: int | str = "*", app: str = "strike_analytics",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture on every Column call roughly doubles plan-building
+        # time for the wide decode projections; error messages lose the
+        # Python line only.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     existing = SparkSession.getActiveSession()
     if existing is None:

@@ -73,3 +73,12 @@ def test_kafka_records_decode(spark):
     assert (r.frame_id, r.session_id, r.sample_no) == ((3 << 40) + 41, 3, 42)
     s = accepted_strikes(decode_frames(frames)).collect()[0]
     assert (s.latitude, s.longitude) == (10.5, 20.25)
+
+
+def test_box_does_not_wrap_the_antimeridian(spark):
+    from strike_analytics.schemas import STRIKES
+    rows = [(1, 0, dt.datetime(2024, 1, 30, 23), 0.0, 179.95, None, None, None, None, None),
+            (2, 0, dt.datetime(2024, 1, 30, 23), 0.0, -179.95, None, None, None, None, None)]
+    s = spark.createDataFrame(rows, STRIKES)
+    got = Q.nearby_strikes(s, now=NOW, lat=0.0, lon=179.99, radius=50, minutes=120).collect()
+    assert [r.id for r in got] == [1]          # -179.95 is 6.7 km away but outside the box

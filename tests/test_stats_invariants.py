@@ -54,3 +54,12 @@ def test_empty_stats(spark):
     empty = spark.createDataFrame([], OUTCOMES)
     r = ingestion_stats(empty).collect()[0]
     assert (r.total_received, r.total_stored, r.success_rate, r.last_strike_time) == (0, 0, 0.0, None)
+
+
+def test_two_notions_of_stored(outs):
+    # T8: the progress line counts decoded frames (storage rejects included);
+    # the ingestion counters count rows actually stored.
+    assert outs.where("decoded").count() == 850
+    assert outs.where("stored").count() == 800
+    last = ingest_progress(outs).where("session_id = 3 AND sample_no = 250").collect()[0]
+    assert last.stored == outs.where("session_id = 3 AND decoded").count()
