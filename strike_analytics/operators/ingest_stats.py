@@ -8,13 +8,14 @@ restarts and can be recomputed for any time range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
+from ..plans.prefix import running_sums
 
-# Buckets per block of the two-level running sum in ``ingest_progress``.
-PROGRESS_BLOCK = 4096
+# Rows per window partition at each level of the progress log's running sum.
+PROGRESS_FANOUT = 4096
 
 
 def ingestion_stats(outcomes: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def ingestion_stats(outcomes: DataFrame) -> DataFrame:
     return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
 
 
-def ingest_progress(outcomes: DataFrame, every: int = 10, block: int = PROGRESS_BLOCK) -> DataFrame:
+def ingest_progress(outcomes: DataFrame, every: int = 10, fanout: int = PROGRESS_FANOUT,
+                    levels: int = 3) -> DataFrame:
     """The periodic progress line: every ``every`` frames of a connection,
     cumulative processed / stored / failed and the success rate (%, 1 dp).
 
@@ -42,44 +44,23 @@ def ingest_progress(outcomes: DataFrame, every: int = 10, block: int = PROGRESS_
     refused (that is what the source's progress line reports).
 
     Scales with skew: frames are first pre-aggregated to one row per
-    (session, bucket of ``every`` frames); the running sum is then computed
-    in two levels -- inside blocks of ``block`` buckets, plus an exclusive
-    running sum over block totals -- so no window partition ever holds more
-    than ``block`` buckets even when one session has a third of all frames.
+    (session, bucket of ``every`` frames) with a partial aggregate; the
+    running sums over buckets are then a multi-level scan
+    (``plans.prefix.running_sums``), so a session holding a third of all
+    frames is still spread over many tasks.
     """
     buckets = (outcomes
                .withColumn("_bucket", F.ceil(F.col("sample_no") / F.lit(every)).cast("long"))
                .groupBy("session_id", "_bucket")
                .agg(F.count(F.lit(1)).alias("_n"),
-                    F.count_if(F.col("decoded")).alias("_ok"))
-               .withColumn("_block", F.floor(F.col("_bucket") / F.lit(block)).cast("long")))
-    in_block = Window.partitionBy("session_id", "_block").orderBy("_bucket") \
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = buckets.select(
-        "session_id", "_block", "_bucket",
-        F.sum("_n").over(in_block).alias("_n_local"),
-        F.sum("_ok").over(in_block).alias("_ok_local"))
-    before_block = Window.partitionBy("session_id").orderBy("_block") \
-                         .rowsBetween(Window.unboundedPreceding, -1)
-    # Both branches read the same bucket aggregate with the same columns, so
-    # their plans match up to the first shuffle and Spark reuses it
-    # (ReusedExchange) instead of computing the input twice.
-    offsets = (buckets.groupBy("session_id", "_block")
-               .agg(F.sum("_n").alias("_bn"), F.sum("_ok").alias("_bok"))
-               .select("session_id", "_block",
-                       F.coalesce(F.sum("_bn").over(before_block), F.lit(0)).alias("_n_before"),
-                       F.coalesce(F.sum("_bok").over(before_block), F.lit(0)).alias("_ok_before")))
-    # Null-safe keys: an inner equi-join would infer IS NOT NULL filters and
-    # push them into one branch only, which breaks the exchange reuse above.
-    o = offsets.withColumnsRenamed({"session_id": "_o_session", "_block": "_o_block"})
-    rows = local.join(o, (local["session_id"].eqNullSafe(o["_o_session"]))
-                      & (local["_block"].eqNullSafe(o["_o_block"])))
-    processed = (F.col("_n_local") + F.col("_n_before")).cast("long")
-    stored = (F.col("_ok_local") + F.col("_ok_before")).cast("long")
+                    F.count_if(F.col("decoded")).alias("_ok")))
+    cum = running_sums(buckets, "session_id", "_bucket", ["_n", "_ok"], fanout, levels)
+    processed = F.col("_n_cum").cast("long")
+    stored = F.col("_ok_cum").cast("long")
     # ``sample_no`` is the per-connection counter (dense from 1), so the line
     # for sample N exists exactly when N = bucket * every frames are counted.
     report_at = F.col("_bucket") * F.lit(every)
-    return (rows.where(processed == report_at)
+    return (cum.where(processed == report_at)
             .select("session_id",
                     report_at.alias("sample_no"),
                     processed.alias("processed"),

@@ -29,17 +29,18 @@ def test_one_outcome_per_frame(outs):
 
 
 def test_progress_block_size_does_not_matter(outs):
-    a = ingest_progress(outs, every=10, block=4096).orderBy("session_id", "sample_no").collect()
-    b = ingest_progress(outs, every=10, block=3).orderBy("session_id", "sample_no").collect()
-    assert a == b and len(a) == 100
+    a = ingest_progress(outs, every=10, levels=1).orderBy("session_id", "sample_no").collect()
+    b = ingest_progress(outs, every=10, fanout=3, levels=3).orderBy("session_id", "sample_no").collect()
+    c = ingest_progress(outs, every=10, fanout=2, levels=4).orderBy("session_id", "sample_no").collect()
+    assert a == b == c and len(a) == 100
     assert a[0].processed == 10 and a[-1].processed == 250
 
 
 def test_progress_hot_session(spark):
-    # One session holding every frame: the two-level sum spans many blocks.
+    # One session holding every frame: the multi-level sum spans many blocks.
     rows = [(i, 7, i + 1, dt.datetime(2024, 1, 1), i % 3 != 0, i % 3 != 0, None) for i in range(5000)]
     df = spark.createDataFrame(rows, OUTCOMES)
-    got = ingest_progress(df, every=10, block=16).orderBy("sample_no").collect()
+    got = ingest_progress(df, every=10, fanout=8, levels=3).orderBy("sample_no").collect()
     assert len(got) == 500
     ok = 0
     for i in range(5000):
