@@ -68,3 +68,10 @@ def test_rebuilt_json_parses_to_fields(make_frames):
 def test_other_fields(make_frames):
     r = lenient(make_frames, [GOOD])[0]
     assert r.other_fields.asDict() == {"alt": 150, "pol": "positive", "mds": 8, "mcg": 12}
+
+
+def test_display_time(make_frames):
+    import datetime as dt
+    rows = lenient(make_frames, [GOOD, GOOD.replace("1699564800", "1699564800000000000")])
+    assert rows[0].strike_timestamp == dt.datetime(2023, 11, 9, 21, 20)
+    assert rows[1].strike_timestamp is None and rows[1].time_text == "1699564800000000000" and rows[1].json_ok
