@@ -100,6 +100,8 @@ def _lenient(frames: DataFrame) -> DataFrame:
     x = fence(x.withColumn("_raises", raises)).where(~F.col("_raises")).select(
         "frame_id",
         F.col("time_txt").alias("time_text"),
+        # The time as the diagnostic decoder shows it (NULL = shown raw).
+        D.epoch_to_timestamp(F.col("strike_time")).alias("strike_timestamp"),
         F.col("_lat_d").alias("latitude"),
         "longitude",
         D.truncate_int(F.col("_alt_d"), "long").alias("altitude"),
