@@ -109,7 +109,8 @@ def ingest_batch(frames: DataFrame, root: str, batch_id: str) -> dict[str, str]:
     decoded = decode_frames(frames, "strict").withColumn(
         "received_date", F.to_date(F.col("received_at").cast("timestamp_ntz")))
     decoded.write.mode("overwrite").partitionBy("received_date").parquet(log_path)
-    log = spark.read.parquet(log_path)
+    # Explicit schema: an empty batch leaves no data files to infer it from.
+    log = spark.read.schema(decoded.schema).parquet(log_path)
     write_strikes(accepted_strikes(log, with_date=True), paths["strikes"], batch_id)
     write_outcomes(outcomes(log), paths["outcomes"], batch_id)
     return paths

@@ -70,3 +70,11 @@ def test_batch_ingest_is_idempotent(spark):
     assert strikes.count() == 800
     assert strikes.select("id").distinct().count() == 800
     assert spark.read.parquet(f"{root}/outcomes").count() == 1000
+
+
+def test_empty_batch_ingest(spark):
+    root = fresh_dir(spark, "empty")
+    frames = read_frames_from_events(spark, SF_SMALL).where("frame_id < 0")
+    ingest_batch(frames, root, batch_id="e")
+    ingest_batch(read_frames_from_events(spark, SF_SMALL).where("frame_id < 100"), root, batch_id="f")
+    assert read_strikes(spark, f"{root}/strikes").count() == 76     # 100 frames, 24 in reject classes
