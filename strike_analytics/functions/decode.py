@@ -209,7 +209,7 @@ def with_repaired_longitude(df, text_col: str, out_col: str = "longitude"):
 def repair_longitude(lon_text: Column) -> Column:
     """Single-expression form of the repair, for small ad-hoc projections."""
     v = parse_double(lon_text)
-    return repair_longitude_parts(v, F.when(is_finite(v), integer_digits(v)))
+    return repair_longitude_parts(v, F.when(is_finite(v) & (F.abs(v) > 1000), integer_digits(v)))
 
 
 def epoch_unit(raw: Column) -> Column:

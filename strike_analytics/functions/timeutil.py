@@ -7,7 +7,9 @@ Nothing here depends on ``spark.sql.session.timeZone``:
 * literals are cast from ISO strings (a Python ``datetime`` literal would be
   an instant, re-read in the session zone);
 * epoch offsets are computed from NTZ *fields* (days since epoch + time of
-  day), and added back as a day-time interval, never through a zoned cast.
+  day) -- ``timestamp_diff`` on NTZ goes through a zoned cast and is off
+  around DST changes -- and added back with sub-day ``timestamp_add``
+  units, which are zone-free.
 """
 
 from __future__ import annotations
@@ -52,13 +54,13 @@ def epoch_micros(ts: Column) -> Column:
 def from_epoch(unit: str, value: Column) -> Column:
     """NTZ timestamp ``value`` units after 1970-01-01 (MICROSECOND, MILLISECOND, SECOND).
 
-    ``value`` must be non-negative and at most year 9999 (callers guard it).
+    Sub-day units are plain microsecond arithmetic on an NTZ value (checked
+    equal to a calendar-free construction in DST zones), so no zone enters.
+    ``value`` must stay within year 9999 (callers guard it).
     """
-    us = value.cast("long") * F.lit(_UNIT_MICROS[unit])
-    days = (us - us % MICROS_PER_DAY) / F.lit(MICROS_PER_DAY)
-    secs = (us % MICROS_PER_DAY).cast("decimal(20,0)") / F.lit(1_000_000)
-    return epoch_ntz() + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0),
-                                            secs.cast("decimal(18,6)"))
+    if unit not in _UNIT_MICROS:
+        raise ValueError(f"unsupported unit {unit!r}")
+    return F.timestamp_add(unit, value, epoch_ntz())
 
 
 def floor_hour(ts: Column) -> Column:

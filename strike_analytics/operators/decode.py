@@ -42,7 +42,8 @@ def _parsed(x: DataFrame) -> DataFrame:
         "_mds_d": D.parse_double(F.col("mds_txt")),
         "_mcg_d": D.parse_double(F.col("mcg_txt")),
         "_lon_v": lon_v,
-        "_lon_digits": F.when(D.is_finite(lon_v), D.integer_digits(lon_v)),
+        # Only values above 1000 are repaired; skip the digit text otherwise.
+        "_lon_digits": F.when(D.is_finite(lon_v) & (F.abs(lon_v) > 1000), D.integer_digits(lon_v)),
     })
     x = x.withColumn("longitude", D.repair_longitude_parts(F.col("_lon_v"), F.col("_lon_digits")))
     return x.drop("_lon_v", "_lon_digits")
@@ -70,7 +71,8 @@ def _strict(frames: DataFrame) -> DataFrame:
         "_pol": F.nullif(F.col("pol_txt"), F.lit("mds")),
     })
     pol = F.col("_pol")
-    pol_too_long = F.length(F.rtrim(pol)) > D.POLARITY_MAX_CHARS
+    pol_too_long = F.when(F.length(pol) > D.POLARITY_MAX_CHARS,
+                          F.length(F.rtrim(pol)) > D.POLARITY_MAX_CHARS).otherwise(F.lit(False))
     pol_nul = F.instr(pol, "\u0000") > 0
     storage = (_int32_overflow("alt") | _int32_overflow("mds") | _int32_overflow("mcg")
                | F.coalesce(pol_too_long | pol_nul, F.lit(False)))
