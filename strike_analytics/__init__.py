@@ -1,0 +1,34 @@
+"""strike_analytics: geolocated strike events on Spark.
+
+Public entry points (all DataFrame -> DataFrame unless noted):
+
+* decode:     ``decode_frames``, ``accepted_strikes``, ``outcomes``, ``reject_counts``
+* queries:    ``list_strikes``, ``recent_strikes``, ``nearby_strikes``,
+              ``latest_strikes``, ``nearest_strikes_miles``
+* roll-ups:   ``strike_stats``, ``strike_count``, ``hemisphere_activity``, ``hourly_activity``
+* reports:    ``ingestion_stats``, ``ingest_progress``, ``decode_report``
+* I/O:        ``read_frames``, ``frames_from_kafka``, ``read_strikes``, ``write_strikes``,
+              ``write_outcomes``, ``ingest_batch``
+* streaming:  ``start_ingest``, ``hourly_activity_stream``, ``ingestion_stats_stream``
+* columns:    ``haversine_km``, ``equirect_miles``, ``search_box``, ``pct``, ``py_round``
+"""
+
+from .functions.geo import equirect_miles, haversine_km, search_box
+from .functions.numeric import pct, py_round
+from .operators.aggregates import hemisphere_activity, hourly_activity, strike_count, strike_stats
+from .operators.decode import accepted_strikes, decode_frames, outcomes, reject_counts
+from .operators.ingest_stats import decode_report, ingest_progress, ingestion_stats
+from .operators.queries import (latest_strikes, list_strikes, nearby_strikes,
+                                nearest_strikes_miles, recent_strikes)
+from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_strikes,
+                             write_outcomes, write_strikes)
+from .streaming.ingest import hourly_activity_stream, ingestion_stats_stream, start_ingest
+
+__all__ = [
+    "accepted_strikes", "decode_frames", "decode_report", "equirect_miles", "frames_from_kafka",
+    "haversine_km", "hemisphere_activity", "hourly_activity", "hourly_activity_stream",
+    "ingest_batch", "ingest_progress", "ingestion_stats", "ingestion_stats_stream",
+    "latest_strikes", "list_strikes", "nearby_strikes", "nearest_strikes_miles", "outcomes",
+    "pct", "py_round", "read_frames", "read_strikes", "recent_strikes", "reject_counts",
+    "search_box", "start_ingest", "strike_count", "strike_stats", "write_outcomes", "write_strikes",
+]

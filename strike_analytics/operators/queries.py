@@ -143,4 +143,4 @@ def nearest_strikes_miles(strikes: DataFrame, *, now, lat0: float = 32.7157, lon
 
 
 __all__ = ["list_strikes", "recent_strikes", "nearby_strikes", "latest_strikes",
-           "nearest_strikes_miles", "ntz"]
+           "nearest_strikes_miles"]
