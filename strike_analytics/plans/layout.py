@@ -52,11 +52,12 @@ def clustered(strikes: DataFrame) -> DataFrame:
     """Rows ordered for writing: by date directory, then grid cell, then time.
 
     ``repartition(date)`` would put a hot day (a third of a storm season)
-    into one task; range partitioning on (date, cell) splits hot days across
-    tasks by sampled boundaries instead.
+    into one task. Range partitioning on (date, cell, time, id) splits by
+    sampled boundaries instead, and the trailing time and id keys let those
+    boundaries cut through a single hot cell of a single day as well, so no
+    writer task gets more than its share.
     """
     df = with_layout_columns(strikes).withColumn("_cell", grid_cell(F.col("latitude"), F.col("longitude")))
-    return (df.repartitionByRange(DATE_COLUMN, "_cell")
-              .sortWithinPartitions(DATE_COLUMN, "_cell", "strike_timestamp")
-              .drop("_cell"))
+    keys = [DATE_COLUMN, "_cell", "strike_timestamp", "id"]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_cell")
 

@@ -78,3 +78,21 @@ def test_empty_batch_ingest(spark):
     ingest_batch(frames, root, batch_id="e")
     ingest_batch(read_frames_from_events(spark, SF_SMALL).where("frame_id < 100"), root, batch_id="f")
     assert read_strikes(spark, f"{root}/strikes").count() == 76     # 100 frames, 24 in reject classes
+
+
+def test_hot_cell_is_split_across_writers(spark):
+    from pyspark.sql import functions as F
+    from strike_analytics.plans.layout import clustered
+    # every strike in one grid cell on one day
+    hot = read_strikes_from_events(spark, SF_SMALL).withColumns({
+        "latitude": F.lit(32.5), "longitude": F.lit(-117.5),
+        "strike_timestamp": F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+        + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id").cast("decimal(18,6)"))})
+    # AQE would merge these tiny partitions back into one; look at the split itself.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in clustered(hot).groupBy(F.spark_partition_id().alias("p"))
+                 .agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 4 and max(sizes) < 500
