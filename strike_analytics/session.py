@@ -50,11 +50,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A path under the cluster's shared checkpoint folder.
 
     Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (a local session built elsewhere) a local folder is made once per
-    application, so later calls agree with each other.
+    and the master is ``local[...]`` (tests) a local folder is made once per
+    application; on a cluster an unset setting is an error.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            # Executors cannot see a driver-local folder; never guess on a cluster.
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder on shared storage")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="strike-ckpt-")
