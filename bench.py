@@ -21,7 +21,7 @@ from strike_analytics.plans.registry import NEARBY_ARGS, NOW, QUERIES, entry_que
 from strike_analytics.session import fresh_dir, local_session  # noqa: E402
 from strike_analytics.sources.events import read_frames_from_events  # noqa: E402
 from strike_analytics.sources.tables import ingest_batch, read_frames, read_strikes  # noqa: E402
-from strike_analytics.streaming.ingest import start_ingest  # noqa: E402
+from strike_analytics.streaming.continuous import start_ingest  # noqa: E402
 
 
 def _run(df) -> None:

@@ -22,7 +22,7 @@ from .operators.queries import (latest_strikes, list_strikes, nearby_strikes,
                                 nearest_strikes_miles, recent_strikes)
 from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_strikes,
                              write_outcomes, write_strikes)
-from .streaming.ingest import hourly_activity_stream, ingestion_stats_stream, start_ingest
+from .streaming.continuous import hourly_activity_stream, ingestion_stats_stream, start_ingest
 
 __all__ = [
     "accepted_strikes", "decode_frames", "decode_report", "equirect_miles", "frames_from_kafka",

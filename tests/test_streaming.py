@@ -7,7 +7,7 @@ from strike_analytics.plans.registry import NOW
 from strike_analytics.session import fresh_dir
 from strike_analytics.sources.events import read_frames_from_events
 from strike_analytics.sources.tables import read_frames, read_strikes
-from strike_analytics.streaming.ingest import hourly_activity_stream, ingestion_stats_stream, start_ingest
+from strike_analytics.streaming.continuous import hourly_activity_stream, ingestion_stats_stream, start_ingest
 
 
 def test_stream_equals_batch_and_restart_is_idempotent(spark):
