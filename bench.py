@@ -56,6 +56,12 @@ def main() -> None:
     read_frames_from_events(spark, sf_dir).write.parquet(landed)
     frames = read_frames(spark, landed)
     n_frames = frames.count()
+    # Pure decode throughput on landed frames (no fixture building).
+    from strike_analytics.operators.decode import accepted_strikes, decode_frames
+    spread = ensure_parallelism(frames)
+    decode_s = _best(lambda: _run(accepted_strikes(decode_frames(spread))), repeat)
+    timings["decode_landed_frames"] = decode_s
+
     root = fresh_dir(spark, "bench-tables")
     t0 = time.perf_counter()
     ingest_batch(ensure_parallelism(frames), root, batch_id="0")
@@ -95,6 +101,7 @@ def main() -> None:
         "frames": n_frames,
         "ingest_frames_per_sec": round(n_frames / ingest_s, 1) if ingest_s else None,
         "stream_frames_per_sec": round(n_frames / stream_s, 1) if stream_s else None,
+        "decode_frames_per_sec": round(n_frames / decode_s, 1) if decode_s else None,
     }))
     spark.stop()
 
