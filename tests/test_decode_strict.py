@@ -157,3 +157,13 @@ def test_accepted_schema(make_frames):
     assert df.columns == ["id", "strike_time", "strike_timestamp", "latitude", "longitude",
                           "altitude", "polarity", "mds", "mcg", "inserted_at"]
     assert df.count() == 1
+
+
+def test_reasons_are_the_documented_ones(spark):
+    from conftest import SF_SMALL
+    from strike_analytics.schemas import REJECT_REASONS
+    from strike_analytics.sources.events import read_frames_from_events
+    seen = {r.reason for r in decode_frames(read_frames_from_events(spark, SF_SMALL))
+            .select("reason").distinct().collect()}
+    assert seen - {None} <= set(REJECT_REASONS)
+    assert seen - {None} == set(REJECT_REASONS) - {"bad_longitude"}   # the fixture has no bad longitude
