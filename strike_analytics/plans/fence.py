@@ -26,7 +26,9 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     On a cluster the input already has thousands of splits and this is a
     no-op, so no shuffle is added where it would cost anything.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:   # e.g. Spark Connect: no RDD API; leave the plan alone
+        return df
     return df.repartition(want) if have < want else df
