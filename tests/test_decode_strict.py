@@ -167,3 +167,13 @@ def test_reasons_are_the_documented_ones(spark):
             .select("reason").distinct().collect()}
     assert seen - {None} <= set(REJECT_REASONS)
     assert seen - {None} == set(REJECT_REASONS) - {"bad_longitude"}   # the fixture has no bad longitude
+
+
+def test_invalid_utf8_replaced_like_python(spark):
+    # D2: one U+FFFD per maximal ill-formed subpart, as Python's "replace" handler.
+    from strike_analytics.functions.decode import payload_text
+    cases = [b"a\xc4b", b"a\xe2\x82b", b"a\xf0\x9f\x98b", b"a\xed\xa0\x80b", b"a\xc0\xafb", b"a\xffb",
+             b"a\xf4\x90\x80\x80b", b"a\xe0\x80\x80b", b"\xc4\xc4\x88", b"a\x80\x80b", b"ok\xc4\x88"]
+    df = spark.createDataFrame([(bytearray(c),) for c in cases], "payload binary")
+    got = [r.t for r in df.select(payload_text(F.col("payload")).alias("t")).collect()]
+    assert got == [c.decode("utf-8", "replace") for c in cases]
