@@ -52,3 +52,28 @@ def test_search_box_and_miles(spark):
     got = df.select(equirect_miles(F.col("lat"), F.col("lon"), 32.7157, -117.1611).alias("m")).collect()[0].m
     exp = math.sqrt((69.1 * (33.0 - 32.7157)) ** 2 + (69.1 * (-117.1611 + 117.0) * math.cos(33.0 / 57.3)) ** 2)
     assert abs(got - exp) < 1e-9
+
+
+def _py_float(s):
+    try:
+        return float(s)
+    except ValueError:
+        return None
+
+
+def test_number_parsing_matches_python(spark):
+    # Captures are [0-9.-]+; Python's float() is the reference behaviour.
+    from strike_analytics.functions.decode import parse_double, truncate_int
+    random.seed(11)
+    samples = {"".join(random.choice("0123456789.-") for _ in range(random.randint(1, 12)))
+               for _ in range(3000)}
+    samples |= {"1.", ".5", "-.5", "-0", "00012", "1-2", "--1", "-", ".", "..", "1..2", "9" * 400}
+    samples = sorted(samples)
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    rows = df.select("s", parse_double(F.col("s")).alias("d"),
+                     truncate_int(parse_double(F.col("s")), "long").alias("i")).collect()
+    for r in rows:
+        exp = _py_float(r.s)
+        assert r.d == exp, r.s
+        if exp is not None and math.isfinite(exp) and abs(exp) < 2**63:
+            assert r.i == int(exp), r.s
