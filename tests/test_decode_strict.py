@@ -177,3 +177,31 @@ def test_invalid_utf8_replaced_like_python(spark):
     df = spark.createDataFrame([(bytearray(c),) for c in cases], "payload binary")
     got = [r.t for r in df.select(payload_text(F.col("payload")).alias("t")).collect()]
     assert got == [c.decode("utf-8", "replace") for c in cases]
+
+
+# The field patterns in Python syntax (the behaviour to match).
+PY_PATTERNS = {
+    "time": r'time[":]+(\d+)',
+    "lat": r"lat[:\s]*([0-9.-]+)",
+    "lon": r"lon[:\s]*([0-9.-]+)",
+    "alt": r'"?al"?[:\s]*([0-9.-]+)',
+    "pol": r'pol[:\s]*"?([^"]+)"?',
+    "mds": r"mds[:\s]*([0-9.-]+)",
+    "mcg": r"mcg[:\s]*([0-9.-]+)",
+}
+
+
+def test_patterns_match_python_re(spark):
+    import random
+    import re
+    from strike_analytics.functions.decode import PATTERNS, extract
+    tokens = ["time", "lat", "lon", "al", "alt", "pol", "mds", "mcg", '"', ":", ": ", " ", " ",
+              " ", "\t", "\n", "\x1c", ",", "x", "-", ".", "0", "7", "12", "3.5", "-0.25", "{", "}"]
+    random.seed(5)
+    texts = ["".join(random.choice(tokens) for _ in range(random.randint(1, 18))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", *[extract(F.col("t"), f).alias(f) for f in PATTERNS]).collect()
+    for r in rows:
+        for f, pat in PY_PATTERNS.items():
+            m = re.search(pat, r.t)
+            assert r[f] == (m.group(1) if m else None), (f, r.t)
