@@ -1,7 +1,7 @@
 """Benchmark: registered queries + batch ingest + queries over the written table.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; the best run counts). Prints ONE JSON line.
+BENCH_REPEAT (default 3; the best run counts). Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def _best(fn, repeat: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 
