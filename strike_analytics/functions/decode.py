@@ -90,6 +90,10 @@ MAX_SECONDS = 253402300799
 MAX_MILLIS = 253402300799999
 MAX_MICROS = 253402300799999984
 
+# Fixed value: the longest integer literal Python's json module converts
+# (sys.get_int_max_str_digits() default).
+PY_INT_MAX_DIGITS = 4300
+
 # Storage limits of the strike table (INTEGER columns, VARCHAR(50)).
 INT32_MIN = -2147483648
 INT32_MAX = 2147483647

@@ -123,11 +123,18 @@ def _lenient(frames: DataFrame) -> DataFrame:
         num("mds", "mds"), num("mcg", "mcg"),
     ]
     x = x.withColumn("json", F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+    # The time is judged separately: Python accepts JSON integers of up to
+    # 4300 digits (no leading zero), Spark's parser stops near 1000 digits.
+    time_ok = F.col("time_text").isNull() | (
+        F.col("time_text").rlike("^(0|[1-9][0-9]*)$")
+        & (F.length("time_text") <= D.PY_INT_MAX_DIGITS))
+    parts[0] = F.when(F.col("time_text").isNotNull(), F.lit('"time": 0'))
+    probe = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
     # Everything but time and position, as the diagnostic decoder reports it.
     x = x.withColumn("other_fields", F.struct(
         F.col("altitude").alias("alt"), F.col("polarity").alias("pol"), "mds", "mcg"))
     # Python writes an infinite latitude as ``inf``, which is not JSON.
-    ok = F.try_parse_json(F.col("json")).isNotNull() & \
+    ok = time_ok & F.try_parse_json(probe).isNotNull() & \
         (F.col("latitude").isNull() | D.is_finite(F.col("latitude")))
     x = x.withColumn("json_ok", ok)
     warn_lat = F.when(F.abs("latitude") > 90, F.concat(

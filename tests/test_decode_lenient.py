@@ -75,3 +75,12 @@ def test_display_time(make_frames):
     rows = lenient(make_frames, [GOOD, GOOD.replace("1699564800", "1699564800000000000")])
     assert rows[0].strike_timestamp == dt.datetime(2023, 11, 9, 21, 20)
     assert rows[1].strike_timestamp is None and rows[1].time_text == "1699564800000000000" and rows[1].json_ok
+
+
+def test_long_time_digits_follow_python_json(make_frames):
+    import json
+    rows = lenient(make_frames, [GOOD.replace("1699564800", "1" + "0" * 2999),
+                                 GOOD.replace("1699564800", "1" + "0" * 4300),
+                                 GOOD.replace("1699564800", "0")])
+    assert [r.json_ok for r in rows] == [True, False, True]
+    json.loads(rows[0].json)                      # Python agrees with the first verdict
