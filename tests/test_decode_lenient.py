@@ -84,3 +84,17 @@ def test_long_time_digits_follow_python_json(make_frames):
                                  GOOD.replace("1699564800", "0")])
     assert [r.json_ok for r in rows] == [True, False, True]
     json.loads(rows[0].json)                      # Python agrees with the first verdict
+
+
+def test_polarity_escapes_follow_python_json(make_frames):
+    import json
+    pols = ["\\ud800", "\\ud83d\\ude00", "\\uZZZZ", "\\/", "a\\", "\U0001F600", "\x7f", "\\u0000"]
+    rows = lenient(make_frames, [GOOD.replace("positive", p) for p in pols])
+
+    def py_ok(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+    assert [r.json_ok for r in rows] == [py_ok(r.json) for r in rows]
