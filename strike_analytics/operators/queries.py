@@ -18,9 +18,16 @@ from ..functions.geo import equirect_miles, haversine_km, search_box
 from ..functions.numeric import py_round
 from ..functions.timeutil import ntz, to_datetime
 from ..plans.layout import time_predicate
+from ..schemas import STRIKE_COLUMNS
 
 
 
+def _response(df: DataFrame, *extra: str) -> DataFrame:
+    """The strike response shape: the strike columns (and extras), nothing else
+    (e.g. no ``strike_date`` partition column from the table layout)."""
+    return df.select(*[c for c in STRIKE_COLUMNS if c in df.columns], *extra)
+
+
 def newest_first():
     """Sort keys of every listing: newest first, id breaking timestamp ties."""
     return F.col("strike_timestamp").desc(), F.col("id").desc()
@@ -80,7 +87,7 @@ def list_strikes(strikes: DataFrame, *, limit: int = 100, offset: int = 0,
     df = df.orderBy(*newest_first())
     if offset:
         df = df.offset(offset)
-    return df.limit(limit)
+    return _response(df.limit(limit))
 
 
 def recent_strikes(strikes: DataFrame, *, now, minutes: int = 60, limit: int = 100) -> DataFrame:
@@ -88,8 +95,8 @@ def recent_strikes(strikes: DataFrame, *, now, minutes: int = 60, limit: int = 1
     _check("minutes", minutes, *MINUTES_RANGE)
     _check("limit", limit, *LIMIT_RANGE)
     since = _since(now, minutes)
-    return (strikes.where(time_predicate(strikes, since=since))
-            .orderBy(*newest_first()).limit(limit))
+    return _response(strikes.where(time_predicate(strikes, since=since))
+                     .orderBy(*newest_first()).limit(limit))
 
 
 def nearby_strikes(strikes: DataFrame, *, lat: float, lon: float, radius: float = 50,
@@ -118,12 +125,13 @@ def nearby_strikes(strikes: DataFrame, *, lat: float, lon: float, radius: float
     dist = haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
     near = (box.withColumn("_d", dist).where(F.col("_d") <= radius)
             .withColumn("distance_km", py_round(F.col("_d"), 2)).drop("_d"))
-    return near.orderBy(F.col("distance_km").asc(), *newest_first()).limit(limit)
+    return _response(near.orderBy(F.col("distance_km").asc(), *newest_first()).limit(limit),
+                     "distance_km")
 
 
 def latest_strikes(strikes: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` newest strikes, all columns."""
-    return strikes.orderBy(*newest_first()).limit(n)
+    return _response(strikes.orderBy(*newest_first()).limit(n))
 
 
 def nearest_strikes_miles(strikes: DataFrame, *, now, lat0: float = 32.7157, lon0: float = -117.1611,
