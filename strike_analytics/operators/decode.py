@@ -141,8 +141,12 @@ def _lenient(frames: DataFrame) -> DataFrame:
         F.lit("Invalid latitude: "), F.col("latitude").cast("string"), F.lit(" (must be -90 to 90)")))
     warn_lon = F.when(F.abs("longitude") > 180, F.concat(
         F.lit("Invalid longitude: "), F.col("longitude").cast("string"), F.lit(" (must be -180 to 180)")))
-    warnings = F.when(F.col("json_ok"), F.array_compact(F.array(warn_lat, warn_lon))) \
-                .otherwise(F.array().cast("array<string>"))
+    # concat of 0/1-element arrays (array_compact would be a lambda filter,
+    # which has no code generation).
+    none = F.array().cast("array<string>")
+    warnings = F.when(F.col("json_ok"), F.concat(
+        F.when(warn_lat.isNotNull(), F.array(warn_lat)).otherwise(none),
+        F.when(warn_lon.isNotNull(), F.array(warn_lon)).otherwise(none))).otherwise(none)
     return fence(x.withColumn("warnings", warnings))
 
 

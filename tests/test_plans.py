@@ -96,3 +96,16 @@ def test_hot_cell_is_split_across_writers(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) >= 4 and max(sizes) < 500
+
+
+def test_every_projection_and_filter_is_codegen(spark):
+    # An expression without code generation (from_json, lambda functions, ...)
+    # silently pushes its whole fused stage out of whole-stage codegen.
+    for name, fn in QUERIES.items():
+        df = fn(spark, SF_SMALL)
+        df.collect()                      # adaptive plans get codegen stages when they run
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        for line in final.splitlines():
+            node = line.lstrip(" :+-")
+            if node.startswith(("Project [", "Filter ", "Generate ")):
+                raise AssertionError(f"{name}: not in codegen: {node[:80]}")
