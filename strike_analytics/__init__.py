@@ -9,7 +9,8 @@ Public entry points (all DataFrame -> DataFrame unless noted):
 * reports:    ``ingestion_stats``, ``ingest_progress``, ``decode_report``
 * I/O:        ``read_frames``, ``frames_from_kafka``, ``read_strikes``, ``write_strikes``,
               ``write_outcomes``, ``ingest_batch``
-* streaming:  ``start_ingest``, ``hourly_activity_stream``, ``ingestion_stats_stream``
+* streaming:  ``start_ingest``, ``hourly_activity_stream``, ``ingestion_stats_stream``,
+              ``decode_report_stream``
 * columns:    ``haversine_km``, ``equirect_miles``, ``search_box``, ``pct``, ``py_round``
 """
 
@@ -22,10 +23,12 @@ from .operators.queries import (latest_strikes, list_strikes, nearby_strikes,
                                 nearest_strikes_miles, recent_strikes)
 from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_strikes,
                              write_outcomes, write_strikes)
-from .streaming.continuous import hourly_activity_stream, ingestion_stats_stream, start_ingest
+from .streaming.continuous import (decode_report_stream, hourly_activity_stream,
+                                   ingestion_stats_stream, start_ingest)
 
 __all__ = [
-    "accepted_strikes", "decode_frames", "decode_report", "equirect_miles", "frames_from_kafka",
+    "accepted_strikes", "decode_frames", "decode_report", "decode_report_stream", "equirect_miles",
+    "frames_from_kafka",
     "haversine_km", "hemisphere_activity", "hourly_activity", "hourly_activity_stream",
     "ingest_batch", "ingest_progress", "ingestion_stats", "ingestion_stats_stream",
     "latest_strikes", "list_strikes", "nearby_strikes", "nearest_strikes_miles", "outcomes",

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import pct
 from ..functions.timeutil import epoch_micros, from_epoch
+from ..operators.decode import decode_frames
 from ..sources.tables import ingest_batch
 
 # Local property the stream execution thread carries: the query's stable id.
@@ -83,3 +84,19 @@ def ingestion_stats_stream(outcome_rows: DataFrame) -> DataFrame:
         F.max("received_at").alias("last_strike_time"),
         F.max("received_at").alias("updated_at"))
     return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
+
+
+def decode_report_stream(frames: DataFrame) -> DataFrame:
+    """The diagnostic decoder's running report over a frame stream
+    (``complete`` output mode): samples, documents that parse as JSON,
+    success rate (%, 1 dp) and documents with coordinate warnings.
+
+    The lenient decode is per-row; the report is one global group, so the
+    streaming state is a single row however long the feed runs.
+    """
+    lenient = decode_frames(frames, "lenient")
+    agg = lenient.groupBy().agg(
+        F.count(F.lit(1)).alias("samples_processed"),
+        F.count_if(F.col("json_ok")).alias("successful_decodes"),
+        F.count_if(F.col("json_ok") & (F.size("warnings") > 0)).alias("validation_warnings"))
+    return agg.withColumn("success_rate", pct(F.col("successful_decodes"), F.col("samples_processed"), 1))

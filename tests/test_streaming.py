@@ -41,3 +41,19 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     q.awaitTermination()
     r = spark.table("istats_t").collect()[0]
     assert (r.total_received, r.total_stored, r.total_failed, r.success_rate) == (1000, 800, 200, 80.0)
+
+
+def test_live_decode_report_equals_batch(spark):
+    from strike_analytics.operators.decode import decode_frames
+    from strike_analytics.operators.ingest_stats import decode_report
+    from strike_analytics.streaming.continuous import decode_report_stream
+    src = fresh_dir(spark, "frames-report")
+    frames = read_frames_from_events(spark, SF_SMALL)
+    frames.repartition(3).write.parquet(src)
+    q = (decode_report_stream(read_frames(spark, src, streaming=True, max_files_per_trigger=1))
+         .writeStream.format("memory").queryName("report_t").outputMode("complete")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    live = spark.table("report_t").collect()[0].asDict()
+    batch = decode_report(decode_frames(frames, "lenient")).collect()[0].asDict()
+    assert live == batch and live["samples_processed"] == 1000
