@@ -10,7 +10,7 @@ Public entry points (all DataFrame -> DataFrame unless noted):
 * I/O:        ``read_frames``, ``frames_from_kafka``, ``read_strikes``, ``write_strikes``,
               ``write_outcomes``, ``ingest_batch``
 * streaming:  ``start_ingest``, ``hourly_activity_stream``, ``ingestion_stats_stream``,
-              ``decode_report_stream``
+              ``decode_report_stream``, ``ingest_progress_stream``
 * columns:    ``haversine_km``, ``equirect_miles``, ``search_box``, ``pct``, ``py_round``
 """
 
@@ -24,13 +24,14 @@ from .operators.queries import (latest_strikes, list_strikes, nearby_strikes,
 from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_strikes,
                              write_outcomes, write_strikes)
 from .streaming.continuous import (decode_report_stream, hourly_activity_stream,
-                                   ingestion_stats_stream, start_ingest)
+                                   ingest_progress_stream, ingestion_stats_stream, start_ingest)
 
 __all__ = [
     "accepted_strikes", "decode_frames", "decode_report", "decode_report_stream", "equirect_miles",
     "frames_from_kafka",
     "haversine_km", "hemisphere_activity", "hourly_activity", "hourly_activity_stream",
-    "ingest_batch", "ingest_progress", "ingestion_stats", "ingestion_stats_stream",
+    "ingest_batch", "ingest_progress", "ingest_progress_stream", "ingestion_stats",
+    "ingestion_stats_stream",
     "latest_strikes", "list_strikes", "nearby_strikes", "nearest_strikes_miles", "outcomes",
     "pct", "py_round", "read_frames", "read_strikes", "recent_strikes", "reject_counts",
     "search_box", "start_ingest", "strike_count", "strike_stats", "write_outcomes", "write_strikes",

@@ -100,3 +100,18 @@ def decode_report_stream(frames: DataFrame) -> DataFrame:
         F.count_if(F.col("json_ok")).alias("successful_decodes"),
         F.count_if(F.col("json_ok") & (F.size("warnings") > 0)).alias("validation_warnings"))
     return agg.withColumn("success_rate", pct(F.col("successful_decodes"), F.col("samples_processed"), 1))
+
+
+def ingest_progress_stream(outcome_rows: DataFrame) -> DataFrame:
+    """The live progress line per connection (``update`` output mode): after
+    each micro-batch, every connection that received frames gets its
+    cumulative processed / stored (decoded) / failed counts and rate (%, 1 dp).
+
+    State is one row per connection (``session_id``), not per frame.
+    """
+    agg = outcome_rows.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("processed"),
+        F.count_if(F.col("decoded")).alias("stored"),
+        F.max("sample_no").alias("sample_no"))
+    return (agg.withColumn("failed", F.col("processed") - F.col("stored"))
+               .withColumn("success_rate", pct(F.col("stored"), F.col("processed"), 1)))

@@ -57,3 +57,27 @@ def test_live_decode_report_equals_batch(spark):
     live = spark.table("report_t").collect()[0].asDict()
     batch = decode_report(decode_frames(frames, "lenient")).collect()[0].asDict()
     assert live == batch and live["samples_processed"] == 1000
+
+
+def test_live_progress_matches_batch_at_session_end(spark):
+    from strike_analytics.operators.decode import decode_frames, outcomes
+    from strike_analytics.operators.ingest_stats import ingest_progress
+    from strike_analytics.streaming.continuous import ingest_progress_stream
+    root = fresh_dir(spark, "prog")
+    frames = read_frames_from_events(spark, SF_SMALL)
+    outcomes(decode_frames(frames)).repartition(2).write.parquet(root)
+    schema = spark.read.parquet(root).schema
+    q = (ingest_progress_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root))
+         .writeStream.format("memory").queryName("prog_t").outputMode("update")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    # last update per session = the batch progress line at its last sample (250)
+    live = {r.session_id: r for r in spark.table("prog_t").collect()}
+    batch = {r.session_id: r for r in ingest_progress(outcomes(decode_frames(frames)))
+             .where("sample_no = 250").collect()}
+    assert set(live) == set(batch) and len(batch) == 4
+    for sid, b in batch.items():
+        got = max((r for r in spark.table("prog_t").collect() if r.session_id == sid),
+                  key=lambda r: r.processed)
+        assert (got.processed, got.stored, got.failed, got.success_rate) == \
+            (b.processed, b.stored, b.failed, b.success_rate)
