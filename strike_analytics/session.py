@@ -53,15 +53,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     and the master is ``local[...]`` (tests) a local folder is made once per
     application; on a cluster an unset setting is an error.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    app = spark.sparkContext.applicationId
+    base = (spark.conf.get(CHECKPOINT_CONF, None) or _LOCAL_FALLBACK.get(app)
+            or spark.sparkContext.getCheckpointDir())
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             # Executors cannot see a driver-local folder; never guess on a cluster.
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder on shared storage")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_FALLBACK:
-            _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="strike-ckpt-")
-        base = _LOCAL_FALLBACK[app]
+        base = _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="strike-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base.rstrip("/") + "/rdd")
     return "/".join([base.rstrip("/"), *parts]) if parts else base
