@@ -101,60 +101,75 @@ def frames_from_events(events: DataFrame) -> DataFrame:
 
     Defect class = ``event_id % 40``; classes 0-8 fail strict decoding,
     9-13 exercise repairs and quirks, the rest are clean.
+
+    Built in stages of named columns: each intermediate value is computed
+    once and referenced by name, which keeps the generated code small
+    (reusing one Column object in several places copies its whole tree).
     """
     eid = F.col("event_id")
     even = F.col("user_id") % 2 == 0
-    cls = eid % DEFECT_CLASSES
-    micros = epoch_micros(F.col("ts"))
-    unit = eid % 3
-    raw = (F.when(cls == 1, micros * 1000)
-            .when(unit == 0, micros)
-            .when(unit == 1, _idiv(micros, 1000))
-            .otherwise(_idiv(micros, 1000000))).cast("long").cast("string")
-    fam = eid % 5
-    t_text = (F.when(fam == 0, F.translate(raw, "0123456789", DIGIT_FAMILIES[0]))
-               .when(fam == 1, F.translate(raw, "0123456789", DIGIT_FAMILIES[1]))
-               .when(fam == 2, F.translate(raw, "0123456789", DIGIT_FAMILIES[2]))
-               .otherwise(raw))
-
-    def point(txt: Column) -> Column:
-        return F.when(fam == 0, F.translate(txt, ".", ENCODED_POINT)).otherwise(txt)
-
-    lat_txt = point(F.when(cls == 3, F.lit("95.000")).otherwise(_milli_text(_lat_milli(eid, even))))
-    lon_txt = point(F.when(cls == 4, F.lit("16040089"))
-                     .when(cls == 5, F.lit("99999"))
-                     .otherwise(_milli_text(_lon_milli(eid, even))))
-    pol = _polarity(F.col("event_type"))
-    quote = F.when(eid % 7 == 1, F.lit("İ")).otherwise(F.lit('"'))
-    mds = _props_k(F.col("props")).cast("string")
-    mcg = F.col("value").try_cast("decimal(12,2)").cast("string")
-
+    base = events.select(
+        eid.alias("frame_id"), "user_id", "ts",
+        (eid % DEFECT_CLASSES).alias("_cls"), (eid % 5).alias("_fam"), (eid % 7).alias("_var"),
+        (eid % 3).alias("_unit"),
+        epoch_micros(F.col("ts")).alias("_us"),
+        _lat_milli(eid, even).alias("_lat_m"), _lon_milli(eid, even).alias("_lon_m"),
+        _polarity(F.col("event_type")).alias("_pol"),
+        _props_k(F.col("props")).cast("string").alias("_mds"),
+        F.col("value").try_cast("decimal(12,2)").cast("string").alias("_mcg"),
+    )
+    cls, fam, us = F.col("_cls"), F.col("_fam"), F.col("_us")
+    texts = base.withColumns({
+        "_raw": (F.when(cls == 1, us * 1000)
+                  .when(F.col("_unit") == 0, us)
+                  .when(F.col("_unit") == 1, _idiv(us, 1000))
+                  .otherwise(_idiv(us, 1000000))).cast("long").cast("string"),
+        "_lat_dec": F.when(cls == 3, F.lit("95.000")).otherwise(_milli_text(F.col("_lat_m"))),
+        "_lon_dec": (F.when(cls == 4, F.lit("16040089")).when(cls == 5, F.lit("99999"))
+                      .otherwise(_milli_text(F.col("_lon_m")))),
+    })
+    raw = F.col("_raw")
+
+    def point(c: str) -> Column:
+        return F.when(fam == 0, F.translate(F.col(c), ".", ENCODED_POINT)).otherwise(F.col(c))
+
+    encoded = texts.withColumns({
+        "_t": (F.when(fam == 0, F.translate(raw, "0123456789", DIGIT_FAMILIES[0]))
+                .when(fam == 1, F.translate(raw, "0123456789", DIGIT_FAMILIES[1]))
+                .when(fam == 2, F.translate(raw, "0123456789", DIGIT_FAMILIES[2]))
+                .otherwise(raw)),
+        "_lat_txt": point("_lat_dec"),
+        "_lon_txt": point("_lon_dec"),
+        "_quote": F.when(F.col("_var") == 1, F.lit("İ")).otherwise(F.lit('"')),
+    })
+    pol = F.col("_pol")
     parts = [
-        F.when(cls == 0, F.concat(F.lit('"time' + COLON), t_text))
-         .otherwise(F.concat(F.lit('"time":'), t_text)),
-        F.when(cls == 2, F.concat(F.lit('"lat":'), lat_txt))
-         .otherwise(F.concat(F.lit('"lat' + COLON), lat_txt)),
-        F.concat(F.lit('"lon' + COLON), lon_txt),
+        F.when(cls == 0, F.concat(F.lit('"time' + COLON), F.col("_t")))
+         .otherwise(F.concat(F.lit('"time":'), F.col("_t"))),
+        F.when(cls == 2, F.concat(F.lit('"lat":'), F.col("_lat_txt")))
+         .otherwise(F.concat(F.lit('"lat' + COLON), F.col("_lat_txt"))),
+        F.concat(F.lit('"lon' + COLON), F.col("_lon_txt")),
         F.concat(F.when(cls == 9, F.lit('"alt' + COLON)).otherwise(F.lit('"al' + COLON)),
                  F.col("user_id").cast("string")),
         F.when(cls == 6, F.lit('"pol' + COLON + '"' + "z" * 60 + '"'))
          .when(cls == 10, F.lit('"pol' + COLON + "0"))
          .when(cls == 13, F.lit('"pol' + COLON + '"back\\slash"'))
-         .when(pol.isNotNull(), F.concat(F.lit('"pol' + COLON), quote, pol, quote)),
+         .when(pol.isNotNull(), F.concat(F.lit('"pol' + COLON), F.col("_quote"), pol, F.col("_quote"))),
         F.concat(F.lit('"mds' + COLON),
-                 F.when(cls == 7, F.lit("99999999999")).when(cls == 11, F.lit("-12.9")).otherwise(mds)),
-        F.concat(F.lit('"mcg' + COLON), F.when(cls == 8, F.lit("1.2.3")).otherwise(mcg)),
+                 F.when(cls == 7, F.lit("99999999999")).when(cls == 11, F.lit("-12.9")).otherwise(F.col("_mds"))),
+        F.concat(F.lit('"mcg' + COLON), F.when(cls == 8, F.lit("1.2.3")).otherwise(F.col("_mcg"))),
     ]
-    lead = F.when(eid % 7 == 0, F.lit("{Ā")).otherwise(F.lit("{"))
-    text = F.concat(lead, F.concat_ws(",", *parts), F.lit(","))
-    payload = F.when(cls == 12, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("FF")))) \
-               .otherwise(F.encode(text, "UTF-8"))
-    return events.select(
-        eid.alias("frame_id"),
-        _idiv(eid, SESSION_FRAMES).alias("session_id"),
-        (eid % SESSION_FRAMES + 1).cast("long").alias("sample_no"),
+    lead = F.when(F.col("_var") == 0, F.lit("{Ā")).otherwise(F.lit("{"))
+    text = encoded.withColumn("_text", F.concat(lead, F.concat_ws(",", *parts), F.lit(",")))
+    utf8 = F.encode(F.col("_text"), "UTF-8")
+    payload = F.when(cls == 12, F.concat(utf8, F.unhex(F.lit("FF")))).otherwise(utf8)
+    fid = F.col("frame_id")
+    return text.select(
+        fid,
+        _idiv(fid, SESSION_FRAMES).alias("session_id"),
+        (fid % SESSION_FRAMES + 1).cast("long").alias("sample_no"),
         F.timestamp_add("SECOND", F.lit(1), F.col("ts")).cast("timestamp").alias("received_at"),
-        (eid % 2 == 1).alias("is_text"),
+        (fid % 2 == 1).alias("is_text"),
         payload.alias("payload"),
     )
 
