@@ -101,6 +101,16 @@ def test_hot_cell_is_split_across_writers(spark):
 def test_every_projection_and_filter_is_codegen(spark):
     # An expression without code generation (from_json, lambda functions, ...)
     # silently pushes its whole fused stage out of whole-stage codegen.
+    # Without fallback a generated class that fails to compile raises instead
+    # of silently running interpreted.
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        _check_codegen(spark)
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
+def _check_codegen(spark):
     for name, fn in QUERIES.items():
         df = fn(spark, SF_SMALL)
         df.collect()                      # adaptive plans get codegen stages when they run
