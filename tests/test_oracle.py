@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_ORACLE
+from strike_analytics.plans.registry import ORACLE_SQL
 from tools.check_oracle import _rows, duck
 
 
@@ -12,7 +13,7 @@ def con():
     return duck(SF_ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_ORACLE)
     got = _rows([tuple(r) for r in df.collect()], df.columns)
