@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from strike_analytics.llm import decontam
+from strike_analytics.llm import bpe, decontam, langid, simhash
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op8_decontaminate": decontam.op8_decontaminate,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE_SQL = {
