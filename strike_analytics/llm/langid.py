@@ -3,8 +3,8 @@
 Filters of several widths run over the bytes of a window, each is max-pooled
 over the window, and a softmax gives the languages. Everything is numpy: the
 network is trained with Adam on windows of a bounded sample of labelled
-documents (``SAMPLE`` for each language, those whose ids hash lowest; a window
-at a hashed place of each), and applied to batches of fixed-length windows
+documents (about ``SAMPLE`` for each of the ``LANGUAGES`` most frequent
+languages, those whose ids hash lowest; windows at a hashed place of each), and applied to batches of fixed-length windows
 that together cover every text whole.
 
 A filter's input is a byte, so the network is applied by adding up table rows:
@@ -16,9 +16,9 @@ Windows are lower-cased in ASCII with ASCII non-letters made spaces and runs of
 spaces made one, so that digits, addresses and marks say nothing. A text's
 score is the softmax of the mean of its windows' logits, weighted by length.
 
-Scale: the sample's ids are the first of a window by language, of which each
-task keeps no more than the sample; the weights (some 100 KB) go to the executors with the task. The
-texts are read once for scoring; no text is shuffled.
+Scale: rows are counted by language, then each row decides by its own hash
+whether it is in the sample. The weights (some 10 KB) go to the executors with
+the task. The texts are read once for scoring; no text is shuffled.
 
 Defined results: ``und`` and score 0 for null and empty texts and those
 without a letter; a text with letters gets a language even when short; with no
@@ -33,12 +33,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strike_analytics.llm.common import keep_texts, map_texts, read_table
 
-WINDOW, SAMPLE, WIDTHS, FILTERS, EMBED = 256, 1500, (2, 3, 4), 8, 8
+WINDOW, SAMPLE, LANGUAGES, WIDTHS, FILTERS, EMBED = 256, 1500, 200, (2, 3, 4), 8, 8
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -191,17 +191,19 @@ class Identifier:
 
 def train_identifier(labelled: DataFrame, sample: int = SAMPLE, per_text: int = 4, seed: int = 7) -> Identifier:
     """From rows (doc_id, text, lang) without nulls in lang. Of each language the
-    ``sample`` ids that hash lowest are used: of each text at most ``per_text``
-    windows that begin at places drawn from a seeded generator."""
-    h = F.xxhash64("doc_id")
-    lowest = Window.partitionBy("lang").orderBy("h")
-    cut = (labelled.select("lang", h.alias("h")).withColumn("n", F.row_number().over(lowest)).where(f"n <= {sample}")
-           .groupBy("lang").agg(F.max("h").alias("most")))
+    ids that hash lowest are used, about ``sample``: of each text at most
+    ``per_text`` windows that begin at places drawn from a seeded generator."""
+    # Hashes are even, so a share of their range is that share of the ids.
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return Identifier(None)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], sample / r["count"])])
     # Only the surroundings of the windows leave the executors, never whole texts.
     size = 3 * WINDOW
     place = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.char_length("text") - size, F.lit(1))).cast("int")
-    rows = (labelled.where("text IS NOT NULL").withColumn("h", h).join(cut, "lang").where("h <= most")
-            .select("lang", "h", F.substring("text", place, F.lit(size)).alias("t"))
+    rows = (labelled.where(part < share[F.col("lang")]).where("text IS NOT NULL")
+            .select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", place, F.lit(size)).alias("t"))
             .groupBy("lang", "h").agg(F.min("t").alias("t"))  # repeated ids count once: the bound holds
             .orderBy("lang", "h").collect())
     rng = np.random.default_rng(seed)
