@@ -10,9 +10,11 @@ any character is formed, so a character split over several tokens comes back.
 Texts are encoded in Arrow batches. Without offsets a text is cut at single
 spaces between two other characters; the split pattern never looks to the left
 and always begins a match at such a space, so the pieces encode as the text
-does (tested). Equal pieces are encoded once and remembered, by worker, in a
-table of bounded size that starts anew when full: encoding cost follows the
-number of different pieces. With offsets the library gets whole texts.
+does (tested). A piece is split into its pre-tokens, each is spelled in the
+model's alphabet, and the library's model tokenizes it. Pieces and pre-tokens
+are remembered, by worker, in tables of bounded size that start anew when
+full: encoding cost follows the number of different ones. With offsets the
+library gets whole texts.
 
 Scale: one pass, no shuffle; memory follows ``common.slices``, not the batch
 or the longest text.
@@ -26,21 +28,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from strike_analytics.llm.common import map_texts, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
-#: Different pieces that a worker remembers, and the longest one (characters).
-REMEMBERED, PIECE = 400_000, 64
+#: Different pieces, and pre-tokens, that a worker remembers, and the longest one (characters).
+REMEMBERED, PIECE = 500_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -108,52 +114,90 @@ def decode(ids: np.ndarray | list[int], table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
+#: White space other than space and line feed.
+_RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680,
+                          *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: A space that no pre-token spans: other characters, not white space, on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+_MARKS = set(".,;:!?")
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before single spaces; joined they are the text."""
-    if not text:
-        return []
-    first, *rest = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-    return [first, *map(" ".__add__, rest)]
+    """``text`` cut at single spaces, which are left out."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 class PieceEncoder:
     """Encodes texts by their pieces; ids come as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, made)}
+    def __init__(self, tokenizer, pattern: str):
+        self.model, self.split = tokenizer.model, regex.compile(pattern).findall
+        self.spell = dict(enumerate(byte_characters()))
+        self.known: dict[str, bytes] = {}  # pieces behind a space
+        self.tokens: dict[str, bytes] = {}  # pre-tokens
+
+    def _pretoken(self, text: str) -> bytes:
+        spelled = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spell)
+        made = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(text) <= PIECE:
+            if len(self.tokens) >= REMEMBERED:
+                self.tokens.clear()
+            self.tokens[text] = made
+        return made
+
+    def _piece(self, text: str) -> bytes:
+        get = self.tokens.get
+        return b"".join([get(p) or self._pretoken(p) for p in self.split(text)])
+
+    def _after_space(self, piece: str) -> bytes:
+        """Of a space and ``piece``. Most are a word, or a word and one mark; those need no pattern."""
+        if piece.isalpha():
+            word, mark = " " + piece, ""
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            word, mark = " " + piece[:-1], piece[-1]
+        else:
+            return self._piece(" " + piece)
+        get = self.tokens.get
+        made = get(word) or self._pretoken(word)
+        return made + (get(mark) or self._pretoken(mark)) if mark else made
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = pieces(text)
+        found = list(map(self.known.get, rest))
+        if None in found:
+            for i, made in enumerate(found):
+                if made is None:
+                    piece = rest[i]
+                    made = found[i] = self.known.get(piece) or self._after_space(piece)
+                    if len(piece) <= PIECE:
+                        if len(self.known) >= REMEMBERED:
+                            self.known.clear()
+                        self.known[piece] = made
+        return self._piece(first) + b"".join(found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        new = list({p for c in cut for p in c if p not in self.known})
-        here = self._learn([p for p in new if len(p) > PIECE])  # long ones hardly come again
-        short = [p for p in new if len(p) <= PIECE]
-        if len(self.known) + len(short) > REMEMBERED:
-            self.known = {}
-            short = list({p for c in cut for p in c if len(p) <= PIECE})
-        self.known.update(self._learn(short))
-        known = self.known
-        if here:
-            return [b"".join([known[p] if p in known else here[p] for p in c]) for c in cut]
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        return list(map(self.encode, texts))
 
 
 @lru_cache(maxsize=4)
 def encoder_from_ranks(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_from_ranks(path, pattern))
+    return PieceEncoder(tokenizer_from_ranks(path, pattern), pattern)
 
 
 @lru_cache(maxsize=4)
-def encoder_from_file(path: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_from_file(path))
+def encoder_from_file(path: str) -> Callable[[list[str]], list[bytes]]:
+    """By pieces if the file's tokenizer is plain byte-level BPE, else by whole texts."""
+    tokenizer = tokenizer_from_file(path)
+    made = json.loads(tokenizer.to_str())
+    before = made["pre_tokenizer"] or {}
+    plain = (made["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"]
+             and before["use_regex"] and made["model"]["type"] == "BPE" and not made["model"]["dropout"])
+    if plain:
+        return PieceEncoder(tokenizer, public_tokenizers.PATTERN)
+    return lambda texts: [np.array(e.ids, "<u4").tobytes()
+                          for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str], offsets: bool = False) -> DataFrame:
