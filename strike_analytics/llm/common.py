@@ -13,12 +13,17 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. Also lets Python workers that share this
-    machine's files import the package; elsewhere ship it with --py-files."""
+def let_workers_import(spark: SparkSession) -> None:
+    """Lets Python workers that see this machine's files import the package;
+    elsewhere ship it with --py-files."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,22 +1,23 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier learns from confirmed toxic texts (positive) and other texts
-that may or may not be toxic (unlabelled). With the class prior pi, the risk
+The classifier learns from confirmed toxic texts (positive) and from texts of
+all kinds, toxic or not (unlabelled). With the class prior pi, the risk
 
     pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)])
 
 takes the share of toxic texts in the unlabelled sample out of its negative
 part; when that part falls below zero, which only overfitting does, the step
 goes the other way (the non-negative estimator's rule). f is a logistic model
-in numpy over the presence of words, whose loss makes the sigmoid of f the
+in numpy over the presence of words and of beginnings of words (which stand
+for words that the sample lacks), whose loss makes the sigmoid of f the
 probability of the label. Its words are those, in ``LEAST_TEXTS`` positive
 texts and more, whose share among these exceeds that among the unlabelled ones
 by ``LEAST_Z`` standard errors and more, the ``WORDS`` strongest; other words
 say nothing, so a long text gathers no noise from them.
 
 The prior is the toxic share of the labelled texts. Training uses a bounded,
-documented sample: of each class the ids that hash lowest, at most
-``POSITIVE`` and ``UNLABELLED``.
+documented sample: of each class the ids that hash lowest, about ``POSITIVE``
+and ``UNLABELLED``.
 
 Scale: the sample is chosen by ids alone, its words are counted as a Spark
 aggregate, and only the chosen words' presence (bounded by the sample) comes to
@@ -34,13 +35,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strike_analytics.llm.common import map_texts, read_table
 from strike_analytics.session import fresh_dir
 
-POSITIVE, UNLABELLED, WORDS, LEAST_Z, LEAST_TEXTS = 4000, 12000, 2048, 4.0, 3
+POSITIVE, UNLABELLED, WORDS, LEAST_Z, LEAST_TEXTS = 4000, 12000, 512, 4.0, 3
+PREFIXES = (8, 7, 6)
 THRESHOLD = 0.7
 
 #: What is no ASCII letter, lower-cased, separates words; other characters are parts of words.
@@ -48,7 +50,11 @@ _SEPARATORS = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() e
 
 
 def words_of(text: str) -> set[bytes]:
-    return set(text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split())
+    """The words of a text, and the beginnings (bytes ``PREFIXES``, with a mark) of longer ones."""
+    words = set(text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split())
+    for n in PREFIXES:
+        words.update([w[:n] + b"-" for w in words if len(w) > n])
+    return words
 
 
 def held_out() -> Column:
@@ -57,18 +63,20 @@ def held_out() -> Column:
 
 
 def choose(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc_id, positive) of the sample, POSITIVE + UNLABELLED rows at most, and the class prior."""
+    """(doc_id, positive) of the sample, about POSITIVE + UNLABELLED rows, and the class prior."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out())
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out())
-    named = ids.join(known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")), "doc_id", "left")
-    named = named.select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"))
-    lowest = Window.partitionBy("positive").orderBy(F.xxhash64("doc_id"))
-    rank = F.row_number().over(lowest)
-    return (named.withColumn("rank", rank).where(f"rank <= {max(POSITIVE, UNLABELLED)}")
-            .where(F.col("rank") <= F.when(F.col("positive"), POSITIVE).otherwise(UNLABELLED))
-            .select("doc_id", "positive").distinct()), prior
+    toxic = known.where("toxic = 1").select("doc_id")
+    # The unlabelled sample stands for all texts, so confirmed ones may be in it too.
+    named = (ids.join(toxic, "doc_id", "left_semi").withColumn("positive", F.lit(True))
+             .unionByName(ids.withColumn("positive", F.lit(False))))
+    # Hashes are even, so a share of their range is that share of the ids.
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    n = {r["positive"]: r["count"] for r in named.groupBy("positive").count().collect()}
+    share = F.when(F.col("positive"), POSITIVE / n.get(True, 1)).otherwise(UNLABELLED / n.get(False, 1))
+    return named.where(part < share).distinct(), prior
 
 
 class Classifier:
@@ -83,8 +91,8 @@ class Classifier:
         return (1 / (1 + np.exp(-np.clip(sums, -500, 500)))).tolist()
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05,
-        decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1,
+        decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
     w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -111,7 +119,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
     chosen, prior = choose(docs, labels)
-    # The sample's bound is that of POSITIVE and UNLABELLED: it may be broadcast.
+    # POSITIVE and UNLABELLED bound the sample's ids: they may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +132,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     path = fresh_dir(spark, "toxicity-sample")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, positive boolean, words array<binary>"
-    texts.select("doc_id", "positive", "text").mapInArrow(split, schema).dropDuplicates(["doc_id"]).write.parquet(path)
+    texts.select("doc_id", "positive", "text").mapInArrow(split, schema).dropDuplicates(["doc_id", "positive"]).write.parquet(path)
     sample = spark.read.schema(schema).parquet(path)
     totals = sample.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
     if not totals["p"] or not totals["u"] or not 0 < prior < 1:
@@ -146,7 +154,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), pa.array(at, pa.list_(pa.int32()))],
                                              names=["doc_id", "positive", "at"])
 
-    rows = sample.mapInArrow(present, f"doc_id {kind}, positive boolean, at array<int>").orderBy("doc_id").collect()
+    rows = sample.mapInArrow(present, f"doc_id {kind}, positive boolean, at array<int>").orderBy("doc_id", "positive").collect()
     x = np.zeros((len(rows), len(words)), np.float32)
     for k, r in enumerate(rows):
         x[k, r["at"]] = 1
