@@ -48,6 +48,7 @@ def map_texts(df: DataFrame, carry: list[str], rows: Callable[[list[str]], dict[
     empty string) and returns one list for each column of ``added`` (name ->
     Spark's and Arrow's type). No other column of ``df`` is read.
     """
+    let_workers_import(df.sparkSession)
     df = df.select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema),
                         *(f"{n} {t}" for n, (t, _) in added.items())])
@@ -73,4 +74,5 @@ def keep_texts(df: DataFrame, keep: Callable[[list[str]], list[bool]], chars: in
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([k for s in slices(texts, chars) for k in keep(texts[s])], pa.bool_()))
 
+    let_workers_import(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strike_analytics.llm.common import read_table
 
@@ -128,8 +129,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
             b = b.append_column(pa.field("first", pa.int32()), pa.array(first, pa.int32()))
             yield b.append_column(pa.field("last", pa.int32()), pa.array(last, pa.int32()))
 
-    urls = urls.mapInArrow(deal_urls, urls.schema.add("part", "int"))
-    rules = rules.mapInArrow(deal_rules, rules.schema.add("first", "int").add("last", "int"))
+    urls = urls.mapInArrow(deal_urls, urls.schema.add("part", T.IntegerType()))
+    rules = rules.mapInArrow(deal_rules, rules.schema.add("first", T.IntegerType()).add("last", T.IntegerType()))
     columns = ["part", "key", "kind", "salt", "id", "host", "path", "rule", "verdict"]
     none = F.lit(None)
     every = rules.select(F.explode(F.sequence("first", "last")).alias("part"), "key", F.lit(0).alias("kind"),
