@@ -40,6 +40,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from strike_analytics.llm.common import map_texts, read_table
 
@@ -227,7 +228,7 @@ def decode_ids(df: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())],
                                              schema=batch.schema.append(pa.field("text", pa.string())))
 
-    return df.mapInArrow(run, df.schema.add("text", "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

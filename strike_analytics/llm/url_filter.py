@@ -72,8 +72,7 @@ LOWEST = -(1 << 63)
 
 
 def sweep(batches: Iterator[pa.RecordBatch], default: str, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of one range after another: rules before the urls of their
-    key. Rules have no row number (a null ``path_rank``)."""
+    """Judges the sorted rows of one range after another: of a key rules (kind 0) come before urls."""
     here = None
     stack: list[tuple[bytes, list[tuple[str, str, str]]]] = []  # host key, its rules (path, rule, verdict)
     for batch in batches:
@@ -129,8 +128,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
             b = b.append_column(pa.field("first", pa.int32()), pa.array(first, pa.int32()))
             yield b.append_column(pa.field("last", pa.int32()), pa.array(last, pa.int32()))
 
-    urls = urls.mapInArrow(deal_urls, urls.schema.add("part", T.IntegerType()))
-    rules = rules.mapInArrow(deal_rules, rules.schema.add("first", T.IntegerType()).add("last", T.IntegerType()))
+    def wider(df: DataFrame, *names: str) -> T.StructType:
+        return T.StructType([*df.schema.fields, *(T.StructField(n, T.IntegerType()) for n in names)])
+
+    urls = urls.mapInArrow(deal_urls, wider(urls, "part"))
+    rules = rules.mapInArrow(deal_rules, wider(rules, "first", "last"))
     columns = ["part", "key", "kind", "salt", "id", "host", "path", "rule", "verdict"]
     none = F.lit(None)
     every = rules.select(F.explode(F.sequence("first", "last")).alias("part"), "key", F.lit(0).alias("kind"),
