@@ -7,10 +7,11 @@ Public entry points (all DataFrame -> DataFrame unless noted):
               ``latest_strikes``, ``nearest_strikes_miles``
 * roll-ups:   ``strike_stats``, ``strike_count``, ``hemisphere_activity``, ``hourly_activity``
 * reports:    ``ingestion_stats``, ``ingest_progress``, ``decode_report``
-* I/O:        ``read_frames``, ``frames_from_kafka``, ``read_strikes``, ``write_strikes``,
-              ``write_outcomes``, ``ingest_batch``
-* streaming:  ``start_ingest``, ``hourly_activity_stream``, ``ingestion_stats_stream``,
-              ``decode_report_stream``, ``ingest_progress_stream``
+* I/O:        ``read_frames``, ``frames_from_kafka``, ``read_kafka``, ``read_strikes``,
+              ``read_outcomes``, ``write_strikes``, ``ingest_batch``
+* streaming:  ``start_ingest``, ``decode_report_stream``; roll-ups of the written tables
+              ``hourly_rollup_stream``, ``ingestion_rollup_stream``, ``progress_rollup_stream``
+              with ``hourly_activity_of``, ``ingestion_stats_of``, ``progress_of``, ``settled``
 * columns:    ``haversine_km``, ``equirect_miles``, ``search_box``, ``pct``, ``py_round``
 """
 
@@ -21,18 +22,19 @@ from .operators.decode import accepted_strikes, decode_frames, outcomes, reject_
 from .operators.ingest_stats import decode_report, ingest_progress, ingestion_stats
 from .operators.queries import (latest_strikes, list_strikes, nearby_strikes,
                                 nearest_strikes_miles, recent_strikes)
-from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_strikes,
-                             write_outcomes, write_strikes)
-from .streaming.continuous import (decode_report_stream, hourly_activity_stream,
-                                   ingest_progress_stream, ingestion_stats_stream, start_ingest)
+from .sources.tables import (frames_from_kafka, ingest_batch, read_frames, read_kafka, read_outcomes,
+                             read_strikes, write_strikes)
+from .streaming.continuous import (decode_report_stream, hourly_activity_of, hourly_rollup_stream,
+                                   ingestion_rollup_stream, ingestion_stats_of, progress_of,
+                                   progress_rollup_stream, settled, start_ingest)
 
 __all__ = [
     "accepted_strikes", "decode_frames", "decode_report", "decode_report_stream", "equirect_miles",
     "frames_from_kafka",
-    "haversine_km", "hemisphere_activity", "hourly_activity", "hourly_activity_stream",
-    "ingest_batch", "ingest_progress", "ingest_progress_stream", "ingestion_stats",
-    "ingestion_stats_stream",
+    "haversine_km", "hemisphere_activity", "hourly_activity", "hourly_activity_of", "hourly_rollup_stream",
+    "ingest_batch", "ingest_progress", "ingestion_rollup_stream", "ingestion_stats", "ingestion_stats_of",
     "latest_strikes", "list_strikes", "nearby_strikes", "nearest_strikes_miles", "outcomes",
-    "pct", "py_round", "read_frames", "read_strikes", "recent_strikes", "reject_counts",
-    "search_box", "start_ingest", "strike_count", "strike_stats", "write_outcomes", "write_strikes",
+    "pct", "progress_of", "progress_rollup_stream", "py_round", "read_frames", "read_kafka", "read_outcomes",
+    "read_strikes", "recent_strikes", "reject_counts", "search_box", "settled", "start_ingest", "strike_count",
+    "strike_stats", "write_strikes",
 ]

@@ -198,24 +198,6 @@ def repair_longitude_parts(v: Column, digits: Column) -> Column:
              .otherwise(moved))
 
 
-def with_repaired_longitude(df, text_col: str, out_col: str = "longitude"):
-    """Add ``out_col`` = repaired longitude of the text column ``text_col``.
-
-    Staged as three projections so the parsed value and its digits are
-    computed once per row instead of being inlined into every branch.
-    """
-    v, d = f"_{out_col}_v", f"_{out_col}_digits"
-    df = df.withColumn(v, parse_double(F.col(text_col)))
-    df = df.withColumn(d, F.when(is_finite(F.col(v)), integer_digits(F.col(v))))
-    return df.withColumn(out_col, repair_longitude_parts(F.col(v), F.col(d))).drop(v, d)
-
-
-def repair_longitude(lon_text: Column) -> Column:
-    """Single-expression form of the repair, for small ad-hoc projections."""
-    v = parse_double(lon_text)
-    return repair_longitude_parts(v, F.when(is_finite(v) & (F.abs(v) > 1000), integer_digits(v)))
-
-
 def epoch_unit(raw: Column) -> Column:
     """'us' above 1e15, 'ms' above 1e12, else 's' (comparisons are strict)."""
     return (F.when(raw > F.lit(MICROS_THRESHOLD), F.lit("us"))

@@ -24,11 +24,12 @@ _UNIT_MICROS = {"MICROSECOND": 1, "MILLISECOND": 1_000, "SECOND": 1_000_000}
 
 
 def to_datetime(value: str | _dt.datetime | _dt.date) -> _dt.datetime:
+    """A naive UTC datetime; values with an offset are converted to UTC."""
     if isinstance(value, str):
-        return _dt.datetime.fromisoformat(value)
-    if isinstance(value, _dt.datetime):
-        return value
-    return _dt.datetime(value.year, value.month, value.day)
+        value = _dt.datetime.fromisoformat(value)
+    if not isinstance(value, _dt.datetime):
+        return _dt.datetime(value.year, value.month, value.day)
+    return value.astimezone(_dt.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
 
 
 def ntz(value: str | _dt.datetime | Column) -> Column:
@@ -63,6 +64,11 @@ def from_epoch(unit: str, value: Column) -> Column:
     return F.timestamp_add(unit, value, epoch_ntz())
 
 
+def utc(instant: str) -> Column:
+    """The UTC wall clock of a zoned TIMESTAMP column, whatever the session zone."""
+    return from_epoch("MICROSECOND", F.unix_micros(F.col(instant)))
+
+
 def floor_hour(ts: Column) -> Column:
     """Truncate an NTZ timestamp to the hour, staying NTZ."""
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
+from ..functions.timeutil import utc
 from ..plans.fence import fence
 
 
@@ -137,6 +138,7 @@ def _lenient(frames: DataFrame) -> DataFrame:
     ok = time_ok & F.try_parse_json(probe).isNotNull() & \
         (F.col("latitude").isNull() | D.is_finite(F.col("latitude")))
     x = x.withColumn("json_ok", ok)
+    # The wording of the warnings.
     warn_lat = F.when(F.abs("latitude") > 90, F.concat(
         F.lit("Invalid latitude: "), F.col("latitude").cast("string"), F.lit(" (must be -90 to 90)")))
     warn_lon = F.when(F.abs("longitude") > 180, F.concat(
@@ -165,7 +167,7 @@ def accepted_strikes(decoded: DataFrame, with_date: bool = False) -> DataFrame:
         F.col("frame_id").alias("id"),
         "strike_time", "strike_timestamp", "latitude", "longitude",
         "altitude", "polarity", "mds", "mcg",
-        F.col("received_at").cast("timestamp_ntz").alias("inserted_at"),
+        utc("received_at").alias("inserted_at"),
     ]
     out = decoded.where(F.col("reason").isNull()).select(*cols)
     if with_date:
@@ -173,14 +175,14 @@ def accepted_strikes(decoded: DataFrame, with_date: bool = False) -> DataFrame:
     return out
 
 
-def outcomes(decoded: DataFrame) -> DataFrame:
-    """One row per frame: was it decoded, was it stored, and why not."""
+def outcomes(decoded: DataFrame, *more: str) -> DataFrame:
+    """One row per frame: was it decoded, was it stored, and why not; and the columns ``more``."""
     return decoded.select(
         "frame_id", "session_id", "sample_no",
-        F.col("received_at").cast("timestamp_ntz").alias("received_at"),
+        utc("received_at").alias("received_at"),
         (F.col("reason").isNull() | (F.col("reason") == "storage")).alias("decoded"),
         F.col("reason").isNull().alias("stored"),
-        "reason",
+        "reason", *more,
     )
 
 

@@ -37,36 +37,45 @@ def ingestion_stats(outcomes: DataFrame) -> DataFrame:
 
 def ingest_progress(outcomes: DataFrame, every: int = 10, fanout: int = PROGRESS_FANOUT,
                     levels: int = 3) -> DataFrame:
-    """The periodic progress line: every ``every`` frames of a connection,
-    cumulative processed / stored / failed and the success rate (%, 1 dp).
+    """The periodic progress line: at every ``every``-th frame of a connection
+    and at its last one (the closing line), cumulative processed / stored /
+    failed and the success rate (%, 1 dp).
 
-    "stored" counts frames that decoded, including those the table later
-    refused (that is what the source's progress line reports).
+    Frames are counted by rank: ``sample_no`` orders a connection's frames,
+    and may begin anywhere and have gaps. "stored" counts frames that decoded,
+    including those the table later refused (that is what the source's
+    progress line reports).
 
-    Scales with skew: frames are first pre-aggregated to one row per
-    (session, bucket of ``every`` frames) with a partial aggregate; the
-    running sums over buckets are then a multi-level scan
-    (``plans.prefix.running_sums``), so a session holding a third of all
-    frames is still spread over many tasks.
+    Scales with skew: frames are first gathered into one row per (session,
+    range of ``every`` sample numbers); the running sums over these are then a
+    multi-level scan (``plans.prefix.running_sums``), so a session holding a
+    third of all frames is still spread over many tasks.
     """
+    frame = F.struct("sample_no", "decoded")
     buckets = (outcomes
-               .withColumn("_bucket", F.ceil(F.col("sample_no") / F.lit(every)).cast("long"))
+               .withColumn("_bucket", F.floor(F.col("sample_no") / F.lit(every)).cast("long"))
                .groupBy("session_id", "_bucket")
-               .agg(F.count(F.lit(1)).alias("_n"),
-                    F.count_if(F.col("decoded")).alias("_ok")))
+               .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("decoded")).alias("_ok"),
+                    F.sort_array(F.collect_list(frame)).alias("_frames")))
     cum = running_sums(buckets, "session_id", "_bucket", ["_n", "_ok"], fanout, levels)
-    processed = F.col("_n_cum").cast("long")
-    stored = F.col("_ok_cum").cast("long")
-    # ``sample_no`` is the per-connection counter (dense from 1), so the line
-    # for sample N exists exactly when N = bucket * every frames are counted.
-    report_at = F.col("_bucket") * F.lit(every)
-    return (cum.where(processed == report_at)
-            .select("session_id",
-                    report_at.alias("sample_no"),
-                    processed.alias("processed"),
-                    stored.alias("stored"),
-                    (processed - stored).alias("failed"),
-                    pct(stored, processed, 1).alias("success_rate")))
+    # At most one frame of a bucket has a rank that is a multiple of ``every``,
+    # unless sample numbers repeat; then there are more frames and more lines.
+    before = F.col("_n_cum") - F.col("_n")
+    first = (every - before % every).cast("int")
+    places = F.when(first <= F.col("_n"), F.sequence(first, F.col("_n").cast("int"), F.lit(every)))
+    lines = cum.select("session_id", "_frames", before.alias("_before"),
+                       (F.col("_ok_cum") - F.col("_ok")).alias("_ok_before"), F.explode(places).alias("_at"))
+    ok = F.size(F.array_remove(F.slice("_frames.decoded", F.lit(1), F.col("_at")), F.lit(False)))
+    periodic = lines.select("session_id", F.get("_frames", F.col("_at") - 1)["sample_no"].alias("sample_no"),
+                            (F.col("_before") + F.col("_at")).cast("long").alias("processed"),
+                            (F.col("_ok_before") + ok).cast("long").alias("stored"))
+    closing = buckets.groupBy("session_id").agg(
+        F.max(F.get("_frames", F.size("_frames") - 1)["sample_no"]).alias("sample_no"),
+        F.sum("_n").alias("processed"), F.sum("_ok").alias("stored")).where(F.col("processed") % every != 0)
+    return (periodic.unionByName(closing)
+            .select("session_id", "sample_no", "processed", "stored",
+                    (F.col("processed") - F.col("stored")).alias("failed"),
+                    pct(F.col("stored"), F.col("processed"), 1).alias("success_rate")))
 
 
 def decode_report(lenient: DataFrame) -> DataFrame:

@@ -100,15 +100,15 @@ def recent_strikes(strikes: DataFrame, *, now, minutes: int = 60, limit: int = 1
 
 
 def nearby_strikes(strikes: DataFrame, *, lat: float, lon: float, radius: float = 50,
-                   minutes: int = 60, limit: int = 100, now, exact: bool = False) -> DataFrame:
+                   minutes: int = 60, limit: int = 100, now, recency_prelimit: bool = False) -> DataFrame:
     """Strikes within ``radius`` km of a point in the trailing window.
 
-    As in the source service, the newest ``2 * limit`` strikes inside the
-    coarse search box are taken first, then refined by exact great-circle
-    distance (``<= radius`` on the unrounded distance) and sorted by the
-    distance rounded to 0.01 km the way Python rounds (ties: newest first). So it is not a true
-    k-nearest query; ``exact=True`` skips the recency pre-limit and returns
-    the ``limit`` nearest strikes of the window instead.
+    The ``limit`` nearest strikes of the window: a coarse search box, refined
+    by exact great-circle distance (``<= radius`` on the unrounded distance)
+    and sorted by the distance rounded to 0.01 km the way Python rounds (ties:
+    newest first). ``recency_prelimit=True`` is for compatibility only: like
+    the source service it looks at the newest ``2 * limit`` strikes of the box
+    alone, and so may miss nearer ones.
     """
     _check("lat", lat, *LAT_RANGE)
     _check("lon", lon, *LON_RANGE)
@@ -120,7 +120,7 @@ def nearby_strikes(strikes: DataFrame, *, lat: float, lon: float, radius: float
     box = (strikes.where(time_predicate(strikes, since=since))
            .where(F.col("latitude").between(min_lat, max_lat))
            .where(F.col("longitude").between(min_lon, max_lon)))
-    if not exact:
+    if recency_prelimit:
         box = box.orderBy(*newest_first()).limit(limit * 2)
     dist = haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
     near = (box.withColumn("_d", dist).where(F.col("_d") <= radius)

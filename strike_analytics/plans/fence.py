@@ -17,18 +17,3 @@ from pyspark.sql import functions as F
 
 def fence(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy, narrow job over at least ``min_partitions`` tasks.
-
-    Small inputs (one file, few row groups) otherwise run on one or two cores.
-    On a cluster the input already has thousands of splits and this is a
-    no-op, so no shuffle is added where it would cost anything.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:   # e.g. Spark Connect: no RDD API; leave the plan alone
-        return df
-    return df.repartition(want) if have < want else df

@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decode import epoch_unit
-from ..functions.geo import search_box
 from ..functions.numeric import pct_sql, py_round_sql
 from ..operators import aggregates as A
 from ..operators import ingest_stats as I
 from ..operators import queries as Q
 from ..operators.decode import accepted_strikes, decode_frames, outcomes, reject_counts
 from ..schemas import STRIKE_COLUMNS
+from ..session import fresh_dir
 from ..sources.events import frames_from_events, read_events, read_strikes_from_events
-from .fence import ensure_parallelism
+from ..sources.tables import ingest_batch, read_outcomes, read_strikes
 
 NOW = _dt.datetime(2024, 1, 31)
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -49,10 +49,23 @@ def _strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
-    # Building and decoding frames is CPU work per row: spread the (small,
-    # few-row-group) events file over all cores first. No-op at scale.
-    frames = frames_from_events(ensure_parallelism(read_events(spark, sf_dir)))
-    return decode_frames(frames, profile)
+    return decode_frames(frames_from_events(read_events(spark, sf_dir)), profile)
+
+
+_TABLES: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The tables that ``ingest_batch`` writes from the frames; once for each application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        frames = frames_from_events(read_events(spark, sf_dir))
+        _TABLES[key] = ingest_batch(frames, fresh_dir(spark, "query-tables"), "0")
+    return _TABLES[key]
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_strikes(spark, _tables(spark, sf_dir)["strikes"])
 
 
 def _round6(df: DataFrame, *cols: str) -> DataFrame:
@@ -71,11 +84,11 @@ def q_recent_strikes(spark, sf_dir):
 
 
 def q_nearby_strikes(spark, sf_dir):
-    return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, **NEARBY_ARGS)
+    return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, recency_prelimit=True, **NEARBY_ARGS)
 
 
 def q_nearby_strikes_exact(spark, sf_dir):
-    return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, exact=True, **NEARBY_ARGS)
+    return Q.nearby_strikes(_strikes(spark, sf_dir), now=NOW, **NEARBY_ARGS)
 
 
 def q_latest_strikes(spark, sf_dir):
@@ -121,10 +134,40 @@ def q_ingest_progress(spark, sf_dir):
     return I.ingest_progress(outcomes(_decoded(spark, sf_dir)), every=10)
 
 
+def q_ingest_progress_gaps(spark, sf_dir):
+    """Sample numbers that begin at 1003 and leave gaps, as those of a broker do."""
+    rows = outcomes(_decoded(spark, sf_dir)).withColumn("sample_no", F.col("sample_no") * 3 + 1000)
+    return I.ingest_progress(rows, every=10)
+
+
+def q_table_strike_stats(spark, sf_dir):
+    return _round6(A.strike_stats(_written(spark, sf_dir), since=LIST_ARGS["since"], until=LIST_ARGS["until"]),
+                   "avg_latitude", "avg_longitude")
+
+
+def q_table_recent_strikes(spark, sf_dir):
+    return Q.recent_strikes(_written(spark, sf_dir), now=NOW, minutes=1440, limit=100)
+
+
+def q_table_nearby_strikes(spark, sf_dir):
+    return Q.nearby_strikes(_written(spark, sf_dir), now=NOW, **NEARBY_ARGS)
+
+
+def q_table_list_strikes(spark, sf_dir):
+    return Q.list_strikes(_written(spark, sf_dir), **LIST_ARGS)
+
+
+def q_table_ingestion_stats(spark, sf_dir):
+    return I.ingestion_stats(read_outcomes(spark, _tables(spark, sf_dir)["outcomes"]))
+
+
 def q_decode_frames_lenient(spark, sf_dir):
     return _decoded(spark, sf_dir, "lenient").select(
         "frame_id", "time_text", "latitude", "longitude", "altitude", "polarity",
-        "mds", "mcg", "json_ok", F.size("warnings").alias("n_warnings"))
+        "mds", "mcg", "json_ok", F.size("warnings").alias("n_warnings"),
+        F.array_join("warnings", "; ").alias("warnings"),
+        F.col("other_fields.alt").alias("other_alt"), F.col("other_fields.pol").alias("other_pol"),
+        F.col("other_fields.mds").alias("other_mds"), F.col("other_fields.mcg").alias("other_mcg"))
 
 
 def q_decode_report(spark, sf_dir):
@@ -157,6 +200,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_rejects": q_decode_rejects,
     "ingestion_stats": q_ingestion_stats,
     "ingest_progress": q_ingest_progress,
+    "ingest_progress_gaps": q_ingest_progress_gaps,
+    "table_strike_stats": q_table_strike_stats,
+    "table_recent_strikes": q_table_recent_strikes,
+    "table_nearby_strikes": q_table_nearby_strikes,
+    "table_list_strikes": q_table_list_strikes,
+    "table_ingestion_stats": q_table_ingestion_stats,
     "decode_frames_lenient": q_decode_frames_lenient,
     "decode_report": q_decode_report,
     "longitude_repair": q_longitude_repair,
@@ -209,20 +258,20 @@ def _in(classes) -> str:
     return "(" + ", ".join(str(c) for c in classes) + ")"
 
 
-def _sql_nearby(exact: bool = False) -> str:
+def _sql_nearby(exact: bool = False, strikes: str = STRIKES_CTE) -> str:
     lat, lon = SAN_DIEGO
     r, limit = NEARBY_ARGS["radius"], NEARBY_ARGS["limit"]
-    a, b, c, d = search_box(lat, lon, r)
     since = NOW - _dt.timedelta(minutes=NEARBY_ARGS["minutes"])
     hav = (f"6371.0 * (2 * asin(sqrt(pow(sin(radians(latitude - {lat!r}) / 2), 2) + "
            f"cos(radians({lat!r})) * cos(radians(latitude)) * "
            f"pow(sin(radians(longitude - ({lon!r})) / 2), 2))))")
     cols = ", ".join(STRIKE_COLUMNS)
-    return f"""WITH {STRIKES_CTE},
+    return f"""WITH {strikes},
 pre AS (
   SELECT * FROM strikes
   WHERE strike_timestamp >= TIMESTAMP '{since}'
-    AND latitude BETWEEN {a!r} AND {b!r} AND longitude BETWEEN {c!r} AND {d!r}
+    AND abs(latitude - ({lat!r})) <= {r} / 111.0
+    AND abs(longitude - ({lon!r})) <= {r} / (111.0 * cos(radians({lat!r})))
   {"" if exact else f"ORDER BY strike_timestamp DESC, id DESC LIMIT {2 * limit}"}),
 dist AS (SELECT *, {hav} AS d FROM pre)
 SELECT {cols}, {py_round_sql('d', 2)} AS distance_km
@@ -323,9 +372,10 @@ c AS (
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT session_id, sample_no, processed, stored, processed - stored AS failed,
        {pct_sql('stored', 'processed', 1)} AS success_rate
-FROM c WHERE sample_no % 10 = 0""",
+FROM c QUALIFY processed % 10 = 0 OR processed = max(processed) OVER (PARTITION BY session_id)""",
 
     "decode_frames_lenient": f"""WITH {FRAMES_CTE}
+SELECT *, altitude AS other_alt, polarity AS other_pol, mds AS other_mds, mcg AS other_mcg FROM (
 SELECT event_id AS frame_id,
        CASE WHEN cls = 0 THEN NULL ELSE CAST({_RAW_TIME} AS VARCHAR) END AS time_text,
        CASE WHEN cls = 2 THEN NULL WHEN cls = 3 THEN 95.0 ELSE CAST(lat_m AS DOUBLE) / 1000.0 END AS latitude,
@@ -337,8 +387,10 @@ SELECT event_id AS frame_id,
        CASE WHEN cls = 7 THEN 99999999999 WHEN cls = 11 THEN -12 ELSE CAST(k AS BIGINT) END AS mds,
        CASE WHEN cls = 8 THEN NULL ELSE CAST(trunc(value) AS BIGINT) END AS mcg,
        cls <> 13 AS json_ok,
-       CASE WHEN cls IN (3, 5) THEN 1 ELSE 0 END AS n_warnings
-FROM f""",
+       CASE WHEN cls IN (3, 5) THEN 1 ELSE 0 END AS n_warnings,
+       CASE cls WHEN 3 THEN 'Invalid latitude: 95.0 (must be -90 to 90)'
+                WHEN 5 THEN 'Invalid longitude: 99999.0 (must be -180 to 180)' ELSE '' END AS warnings
+FROM f)""",
 
     "decode_report": f"""WITH {FRAMES_CTE}, c AS (
   SELECT count(*) AS samples_processed,
@@ -362,4 +414,15 @@ SELECT event_id AS frame_id, {_RAW_TIME} AS strike_time,
 FROM f WHERE cls <> 0""",
 }
 
+# The written tables hold the decoded frames; what each must be follows from its defect class.
+_TABLE_CTE = ORACLE_SQL["decode_frames_strict"].replace("\nSELECT event_id AS id", ",\nstrikes AS (SELECT event_id AS id", 1) + ")"
+_TABLE_CTE = _TABLE_CTE.removeprefix("WITH ")
+ORACLE_SQL |= {f"table_{k}": ORACLE_SQL[k].replace(STRIKES_CTE, _TABLE_CTE) for k in ("strike_stats", "recent_strikes", "list_strikes")}
+ORACLE_SQL["table_strike_stats"] += """
+WHERE strike_timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND strike_timestamp <= TIMESTAMP '2024-01-20 23:59:59'"""
+ORACLE_SQL["table_nearby_strikes"] = _sql_nearby(True, _TABLE_CTE)
+ORACLE_SQL["table_ingestion_stats"] = ORACLE_SQL["ingestion_stats"]
+ORACLE_SQL["ingest_progress_gaps"] = ORACLE_SQL["ingest_progress"].replace(
+    "event_id % 250 + 1 AS sample_no", "(event_id % 250 + 1) * 3 + 1000 AS sample_no")
+
 assert set(ORACLE_SQL) == set(QUERIES)

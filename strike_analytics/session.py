@@ -36,11 +36,9 @@ def local_session(cores: int | str = "*", app: str = "strike_analytics",
         # time for the wide decode projections; error messages lose the
         # Python line only.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Deep pages of a listing sort by ranges; only shallow ones gather their rows.
+        .config("spark.sql.execution.topKSortFallbackThreshold", "100000")
     )
-    existing = SparkSession.getActiveSession()
-    if existing is None:
-        # Only tests and local benches get here; a cluster sets its own.
-        builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="strike-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -168,7 +168,7 @@ def frames_from_events(events: DataFrame) -> DataFrame:
         fid,
         _idiv(fid, SESSION_FRAMES).alias("session_id"),
         (fid % SESSION_FRAMES + 1).cast("long").alias("sample_no"),
-        F.timestamp_add("SECOND", F.lit(1), F.col("ts")).cast("timestamp").alias("received_at"),
+        F.timestamp_micros(epoch_micros(F.col("ts")) + 1_000_000).alias("received_at"),
         (fid % 2 == 1).alias("is_text"),
         payload.alias("payload"),
     )

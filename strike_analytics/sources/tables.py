@@ -3,22 +3,37 @@
 Layout at scale:
 
 * ``frames``   -- raw landed frames (or a Kafka topic with ``value BINARY``).
-* ``decoded``  -- every frame with its decoded fields and reject reason,
-  partitioned by receive date. Written once by the ingest job; it is the
-  durable, replayable log (no mutable counters anywhere).
-* ``strikes``  -- accepted strikes, partitioned by ``strike_date`` and
-  clustered by grid cell and time inside each date (see plans/layout.py).
-* ``outcomes`` -- a projection of ``decoded`` (one row per frame).
+* ``decoded``  -- every frame with its decoded fields and reject reason, by
+  batch and receive date. Written once by the ingest job; it is the durable,
+  replayable log (no mutable counters anywhere). Outcomes are a projection of
+  it, four columns read from the file.
+* ``strikes``  -- accepted strikes, by batch and ``strike_date``, clustered by
+  grid cell and time inside each date (see plans/layout.py).
+
+The batch is the outer folder of both tables and is replaced whole, so a batch
+that is run again with other content leaves nothing of the first run behind.
+``run`` (when the batch was ingested, in microseconds) tells the runs of one
+batch apart for streaming readers, which see the files of both.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.timeutil import utc
 from ..operators.decode import accepted_strikes, decode_frames, outcomes
 from ..plans.layout import DATE_COLUMN, clustered
-from ..schemas import FRAMES
+from ..schemas import FRAMES, STRIKES
+
+_BATCH = [T.StructField("run", T.LongType()), T.StructField("batch_id", T.StringType())]
+#: What readers expect of the tables; an empty table has no file to tell it.
+STRIKE_TABLE = T.StructType([*STRIKES.fields, *_BATCH, T.StructField(DATE_COLUMN, T.DateType())])
+LOG_TABLE = T.StructType([*(f for f in FRAMES.fields if f.name in ("frame_id", "session_id", "sample_no", "received_at")),
+                          T.StructField("reason", T.StringType()), *_BATCH, T.StructField("received_date", T.DateType())])
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False,
@@ -52,65 +67,58 @@ def frames_from_kafka(records: DataFrame, frame_id_bits: int = 40) -> DataFrame:
     )
 
 
-def read_strikes(spark: SparkSession, path: str) -> DataFrame:
-    """The strike table; keeps ``strike_date`` so time filters prune partitions."""
-    return spark.read.parquet(path).drop("batch_id")
-
+def _read(spark: SparkSession, path: str, schema: T.StructType, streaming: bool) -> DataFrame:
+    return (spark.readStream if streaming else spark.read).schema(schema).parquet(path)
 
-def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
+def read_strikes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """The strike table; keeps ``strike_date`` so time filters prune partitions.
+    A stream also has ``batch_id`` and ``run`` (see ``streaming.continuous.settled``)."""
+    df = _read(spark, path, STRIKE_TABLE, streaming)
+    return df if streaming else df.drop("batch_id", "run")
 
-def write_strikes(strikes: DataFrame, path: str, batch_id: str | None = None) -> None:
-    """Write strikes partitioned by date (and batch), clustered for row-group skipping.
 
-    With a ``batch_id`` the write replaces exactly that batch's partitions
-    (dynamic partition overwrite), so re-running a failed or repeated batch
-    never duplicates rows; without one it appends.
-    """
-    df = clustered(strikes)
-    parts = [DATE_COLUMN]
-    if batch_id is not None:
-        df, parts = df.withColumn("batch_id", F.lit(str(batch_id))), parts + ["batch_id"]
-    _write(df, path, parts, batch_id is not None)
+def read_outcomes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """One row per frame, from the decoded log; a stream also has ``batch_id`` and ``run``."""
+    log = _read(spark, path, LOG_TABLE, streaming)
+    return outcomes(log, "batch_id", "run") if streaming else outcomes(log)
 
 
-def write_outcomes(outcome_rows: DataFrame, path: str, batch_id: str | None = None) -> None:
-    df = outcome_rows.withColumn("received_date", F.to_date("received_at"))
-    parts = ["received_date"]
-    if batch_id is not None:
-        df, parts = df.withColumn("batch_id", F.lit(str(batch_id))), parts + ["batch_id"]
-    _write(df, path, parts, batch_id is not None)
+def write_strikes(strikes: DataFrame, path: str, batch_id: str, run: int | None = None) -> None:
+    """Write the strikes of a batch by date, clustered for row-group skipping; replaces the batch whole."""
+    _write_batch(clustered(strikes), path, batch_id, run, DATE_COLUMN)
 
 
-def _write(df: DataFrame, path: str, parts: list[str], idempotent: bool) -> None:
-    w = df.write.partitionBy(*parts).option("maxRecordsPerFile", 5_000_000)
-    if idempotent:
-        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        w = w.mode("append")
-    w.parquet(path)
+def _write_batch(df: DataFrame, path: str, batch_id: str, run: int | None, by: str) -> str:
+    folder = f"{path.rstrip('/')}/batch_id={batch_id}"
+    (df.withColumn("run", F.lit(run or time.time_ns() // 1000).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(by).option("maxRecordsPerFile", 5_000_000).parquet(folder))
+    return folder
 
 
 def ingest_batch(frames: DataFrame, root: str, batch_id: str) -> dict[str, str]:
     """Batch ingest of one batch of landed frames; safe to re-run.
 
-    Decodes once and writes the decoded log to ``root/decoded/batch_id=<id>``
-    (the barrier between the CPU-heavy decode and its two consumers, and the
-    lineage cut: a lost executor recomputes from that file, not from the
-    decode). The strike and outcome tables are then scans of that log with
-    the ``reason`` predicate pushed into Parquet, written with dynamic
-    partition overwrite keyed by ``batch_id``: a retried or repeated batch
-    replaces its own partitions and nothing else.
+    Decodes once and writes the decoded log (the barrier between the CPU-heavy
+    decode and its consumers, and the lineage cut: a lost executor recomputes
+    from that file, not from the decode). The strike table is then a scan of
+    that log with the ``reason`` predicate pushed into Parquet; outcomes are
+    read from the log itself.
     """
     spark = frames.sparkSession
-    paths = {k: f"{root.rstrip('/')}/{k}" for k in ("decoded", "strikes", "outcomes")}
-    log_path = f"{paths['decoded']}/batch_id={batch_id}"
-    decoded = decode_frames(frames, "strict").withColumn(
-        "received_date", F.to_date(F.col("received_at").cast("timestamp_ntz")))
-    decoded.write.mode("overwrite").partitionBy("received_date").parquet(log_path)
+    paths = {"decoded": f"{root.rstrip('/')}/decoded", "strikes": f"{root.rstrip('/')}/strikes"}
+    run = time.time_ns() // 1000
+    decoded = decode_frames(frames, "strict")
+    decoded = decoded.withColumn("received_date", F.to_date(utc("received_at")))
+    folder = _write_batch(decoded, paths["decoded"], batch_id, run, "received_date")
     # Explicit schema: an empty batch leaves no data files to infer it from.
-    log = spark.read.schema(decoded.schema).parquet(log_path)
-    write_strikes(accepted_strikes(log, with_date=True), paths["strikes"], batch_id)
-    write_outcomes(outcomes(log), paths["outcomes"], batch_id)
-    return paths
+    log = spark.read.schema(decoded.schema).parquet(folder)
+    write_strikes(accepted_strikes(log, with_date=True), paths["strikes"], batch_id, run)
+    return paths | {"outcomes": paths["decoded"]}
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, streaming: bool = True, **options: str) -> DataFrame:
+    """Frames of a Kafka topic (needs the Kafka connector on the classpath)."""
+    reader = (spark.readStream if streaming else spark.read).format("kafka").options(**options)
+    return frames_from_kafka(reader.option("kafka.bootstrap.servers", servers).option("subscribe", topic).load())

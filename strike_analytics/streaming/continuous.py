@@ -4,19 +4,21 @@
 keeps the strike and outcome tables up to date through ``foreachBatch`` with
 idempotent, batch-keyed writes (exactly-once on replay).
 
-``hourly_activity_stream`` is the hourly roll-up as an event-time tumbling
-window with a watermark, emitted once per hour when the hour is final.
-``ingestion_stats_stream`` keeps the ingestion counters as streaming state.
+The roll-ups over the written tables (``*_rollup_stream``) keep one state row
+for each run of a batch and key, in ``update`` or ``complete`` mode: late rows
+count in their hour, and the newest hours are there at once. A batch that is
+ingested again shows up as a second run; ``settled`` keeps the newest run of
+each batch, so nothing is counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import pct
-from ..functions.timeutil import epoch_micros, from_epoch
+from ..functions.timeutil import floor_hour
 from ..operators.decode import decode_frames
 from ..sources.tables import ingest_batch
 
@@ -35,18 +37,20 @@ def start_ingest(frames: DataFrame, root: str, checkpoint: str,
     """Continuously decode a frame stream into the strike and outcome tables.
 
     One query, one decode per micro-batch: each micro-batch goes through
-    ``ingest_batch`` (decoded log, then strikes and outcomes written with
-    dynamic partition overwrite keyed by the batch). The key is the
-    streaming query id (stable across restarts from the same checkpoint)
-    plus the epoch, so a micro-batch replayed after a failure replaces its
-    own partitions: exactly-once output without a second decode.
+    ``ingest_batch`` (decoded log, then strikes, each in the batch's own
+    folder). The key is the streaming query id (stable across restarts from
+    the same checkpoint) plus the epoch, so a micro-batch replayed after a
+    failure replaces its own folders: exactly-once output without a second
+    decode.
 
     ``root`` and ``checkpoint`` must be on shared storage (see
     ``session.shared_dir``). ``trigger`` is ``"availableNow"`` or a
     processing-time interval such as ``"10 seconds"``.
     """
     def write(batch, epoch: int) -> None:
-        query_id = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID_PROPERTY) or name
+        query_id = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID_PROPERTY)
+        if not query_id:  # any other key could be that of another ingest into the same root
+            raise RuntimeError(f"{QUERY_ID_PROPERTY} is not set")
         ingest_batch(batch, root, batch_id=f"{query_id}-{epoch}")
 
     writer = (frames.writeStream.foreachBatch(write)
@@ -54,38 +58,43 @@ def start_ingest(frames: DataFrame, root: str, checkpoint: str,
     return _trigger(writer, trigger).start()
 
 
-def hourly_activity_stream(strikes: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Per clock hour: strike count and % positive polarity, in append mode.
+def hourly_rollup_stream(strikes: DataFrame) -> DataFrame:
+    """Per batch run and clock hour: strikes and positive ones. No watermark:
+    an hour's row is updated whenever rows of that hour arrive."""
+    positive = F.count_if(F.col("polarity") == "positive")
+    return (strikes.groupBy("batch_id", "run", floor_hour(F.col("strike_timestamp")).alias("hour"))
+            .agg(F.count(F.lit(1)).alias("strike_count"), positive.alias("positive")))
 
-    The watermark column must be a zoned TIMESTAMP: the NTZ wall clock is
-    mapped to the instant with the same UTC wall clock (through epoch
-    microseconds, not a cast in the session zone), and the window start is
-    mapped back the same way, so hours align to wall-clock hours everywhere.
-    """
-    ts = F.timestamp_micros(epoch_micros(F.col("strike_timestamp")))
-    positive = F.when(F.col("polarity") == "positive", 1).otherwise(0)
-    return (strikes.withColumn("_event_time", ts)
-            .withWatermark("_event_time", watermark)
-            .groupBy(F.window("_event_time", "1 hour"))
-            .agg(F.count(F.lit(1)).alias("strike_count"), (F.avg(positive) * 100).alias("pct_positive"))
-            .select(from_epoch("MICROSECOND", F.unix_micros(F.col("window.start"))).alias("hour"),
-                    "strike_count", "pct_positive"))
 
+def hourly_activity_of(rollup: DataFrame) -> DataFrame:
+    """Per clock hour: strike count and % positive polarity, of the newest runs."""
+    sums = settled(rollup).groupBy("hour").agg(F.sum("strike_count").alias("strike_count"), F.sum("positive").alias("positive"))
+    return sums.select("hour", "strike_count", (F.col("positive") / F.col("strike_count") * 100).alias("pct_positive"))
 
-def ingestion_stats_stream(outcome_rows: DataFrame) -> DataFrame:
-    """Running ingestion counters as streaming state (``complete`` output mode).
 
-    One global group: the state is a single row however large the stream is.
-    """
-    agg = outcome_rows.groupBy().agg(
-        F.count(F.lit(1)).alias("total_received"),
-        F.count_if(F.col("stored")).alias("total_stored"),
-        F.count_if(~F.col("stored")).alias("total_failed"),
-        F.max("received_at").alias("last_strike_time"),
-        F.max("received_at").alias("updated_at"))
+def ingestion_rollup_stream(outcome_rows: DataFrame) -> DataFrame:
+    """Per batch run: frames received and stored, last time received."""
+    return outcome_rows.groupBy("batch_id", "run").agg(
+        F.count(F.lit(1)).alias("received"), F.count_if("stored").alias("stored"), F.max("received_at").alias("last"))
+
+
+def ingestion_stats_of(rollup: DataFrame) -> DataFrame:
+    """The counters of ``ingestion_stats``, summed over the newest runs."""
+    agg = settled(rollup).agg(
+        F.coalesce(F.sum("received"), F.lit(0)).alias("total_received"),
+        F.coalesce(F.sum("stored"), F.lit(0)).alias("total_stored"),
+        F.coalesce(F.sum(F.col("received") - F.col("stored")), F.lit(0)).alias("total_failed"),
+        F.max("last").alias("last_strike_time"), F.max("last").alias("updated_at"))
     return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
 
 
+def settled(rollup: DataFrame) -> DataFrame:
+    """The rows of the newest run of each batch. ``rollup`` has one current row
+    for each key: of an update-mode sink, the last row written for it."""
+    newest = F.max("run").over(Window.partitionBy("batch_id"))
+    return rollup.withColumn("_newest", newest).where("run = _newest").drop("_newest")
+
+
 def decode_report_stream(frames: DataFrame) -> DataFrame:
     """The diagnostic decoder's running report over a frame stream
     (``complete`` output mode): samples, documents that parse as JSON,
@@ -102,16 +111,20 @@ def decode_report_stream(frames: DataFrame) -> DataFrame:
     return agg.withColumn("success_rate", pct(F.col("successful_decodes"), F.col("samples_processed"), 1))
 
 
-def ingest_progress_stream(outcome_rows: DataFrame) -> DataFrame:
-    """The live progress line per connection (``update`` output mode): after
-    each micro-batch, every connection that received frames gets its
-    cumulative processed / stored (decoded) / failed counts and rate (%, 1 dp).
+def progress_rollup_stream(outcome_rows: DataFrame) -> DataFrame:
+    """Per batch run and connection: frames processed and decoded, the highest sample number.
 
-    State is one row per connection (``session_id``), not per frame.
+    State is one row for each connection of a batch run, not for each frame.
     """
-    agg = outcome_rows.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("processed"),
-        F.count_if(F.col("decoded")).alias("stored"),
+    return outcome_rows.groupBy("batch_id", "run", "session_id").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("decoded")).alias("stored"),
         F.max("sample_no").alias("sample_no"))
+
+
+def progress_of(rollup: DataFrame) -> DataFrame:
+    """The live progress line of each connection: cumulative processed / stored
+    (decoded) / failed counts and the rate (%, 1 dp), of the newest runs."""
+    agg = settled(rollup).groupBy("session_id").agg(
+        F.sum("processed").alias("processed"), F.sum("stored").alias("stored"), F.max("sample_no").alias("sample_no"))
     return (agg.withColumn("failed", F.col("processed") - F.col("stored"))
                .withColumn("success_rate", pct(F.col("stored"), F.col("processed"), 1)))

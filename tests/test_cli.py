@@ -20,6 +20,10 @@ def test_cli_endpoints(spark):
     assert len(run(["recent", "--strikes", s, "--minutes", "1440", "--limit", "7",
                     "--now", "2024-01-31T00:00:00"])) == 7
     assert len(run(["list", "--strikes", s, "--limit", "3", "--min-lat", "30"])) == 3
+    late = ["--strikes", s, "--now", "2024-01-31T12:00:00+12:00"]
+    assert len(run(["latest", "--strikes", s])) == 5 and len(run(["miles", *late, "--minutes", "1440"])) == 10
+    assert len(run(["hemisphere", *late, "--hours", "744"])) == 2 and len(run(["hourly", *late])) > 10
+    assert run(["report", "--frames", landed])[0]["samples_processed"] == 1000
     assert run(["stats", "--strikes", s])[0]["total_strikes"] == 800
-    r = run(["ingestion", "--outcomes", f"{root}/outcomes"])[0]
+    r = run(["ingestion", "--outcomes", f"{root}/decoded"])[0]
     assert (r["total_received"], r["total_stored"], r["success_rate"]) == (1000, 800, 80.0)

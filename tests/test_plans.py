@@ -69,7 +69,7 @@ def test_batch_ingest_is_idempotent(spark):
     strikes = read_strikes(spark, f"{root}/strikes")
     assert strikes.count() == 800
     assert strikes.select("id").distinct().count() == 800
-    assert spark.read.parquet(f"{root}/outcomes").count() == 1000
+    assert spark.read.parquet(f"{root}/decoded").count() == 1000
 
 
 def test_empty_batch_ingest(spark):

@@ -56,8 +56,8 @@ def test_recent_window_inclusive_and_stats_empty(strikes):
 
 def test_nearby_is_not_k_nearest(strikes):
     args = dict(now=NOW, lat=32.7157, lon=-117.1611, radius=500, minutes=1440, limit=3)
-    pre = Q.nearby_strikes(strikes, **args).collect()
-    exact = Q.nearby_strikes(strikes, exact=True, **args).collect()
+    pre = Q.nearby_strikes(strikes, recency_prelimit=True, **args).collect()
+    exact = Q.nearby_strikes(strikes, **args).collect()
     assert len(pre) == len(exact) == 3
     assert max(r.distance_km for r in exact) <= max(r.distance_km for r in pre)
     assert [r.distance_km for r in pre] == sorted(r.distance_km for r in pre)

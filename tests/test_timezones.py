@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from strike_analytics.functions.timeutil import epoch_micros, floor_hour, from_epoch, ntz
+from strike_analytics.functions.timeutil import epoch_micros, floor_hour, from_epoch, ntz, to_datetime
+from strike_analytics.operators.decode import decode_frames, outcomes
 from strike_analytics.plans.registry import QUERIES
 
 VALS = [dt.datetime(2024, 7, 15, 10, 30, 5, 123456), dt.datetime(2024, 1, 15, 10, 30, 5, 123456),
@@ -42,3 +43,15 @@ def test_queries_are_zone_free(spark, zone):
         base = QUERIES[name](spark, SF_SMALL).collect()
         spark.conf.set("spark.sql.session.timeZone", zone)
         assert QUERIES[name](spark, SF_SMALL).collect() == base, name
+
+
+def test_offsets_are_converted():
+    plus12 = dt.timezone(dt.timedelta(hours=12))
+    for v in ("2024-01-10T00:00:00+12:00", dt.datetime(2024, 1, 10, tzinfo=plus12)):
+        assert to_datetime(v) == dt.datetime(2024, 1, 9, 12)
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles"], indirect=True)
+def test_inserted_at_is_the_utc_time(spark, zone, make_frames):
+    frames = make_frames(["x"]).withColumn("received_at", F.timestamp_micros(F.lit(1704067201000000)))
+    assert outcomes(decode_frames(frames)).first().received_at == dt.datetime(2024, 1, 1, 0, 0, 1)
