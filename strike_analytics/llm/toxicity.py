@@ -94,20 +94,19 @@ class Classifier:
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1,
         decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
+    n, (rows, cols) = len(x), np.nonzero(x)  # few words of many are in a text
     w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    xp, xu = x[positive], x[~positive]
+    n_p, n_u = positive.sum(), (~positive).sum()
     for t in range(1, steps + 1):
-        fp, fu = xp @ w + b, xu @ w + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        gp, gu = prior * (sp - 1) / len(fp), su / len(fu)  # of pi E_P[l(f)] and E_U[l(-f)]
-        gn = -prior * sp / len(fp)  # of - pi E_P[l(-f)]
-        if negative >= 0:
-            rp, ru = gp + gn, gu
-        else:
-            rp, ru = -gn, -gu  # away from the negative part's descent
-        g = np.append(xp.T @ rp + xu.T @ ru + decay * w, rp.sum() + ru.sum())
+        f = np.bincount(rows, w[cols], n) + b
+        loss, s = np.logaddexp(0, f), 1 / (1 + np.exp(-f))
+        negative = loss[~positive].mean() - prior * loss[positive].mean()
+        # Derivatives by f of E_U[l(-f)] - pi E_P[l(-f)], and of pi E_P[l(f)].
+        of_negative = np.where(positive, -prior * s / n_p, s / n_u)
+        of_positive = np.where(positive, prior * (s - 1) / n_p, 0)
+        r = of_positive + of_negative if negative >= 0 else -of_negative  # away from the negative part's descent
+        g = np.append(np.bincount(cols, r[rows], len(w)) + decay * w, r.sum())
         first += 0.1 * (g - first)
         second += 0.001 * (g * g - second)
         step = rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
