@@ -126,14 +126,16 @@ def surprise(token: Column, name: Column) -> Column:
     changes = F.char_length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
     z_runs = (changes - 0.5 - CHANGES * (n - 1)) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
 
+    # From sums alone: a mean within the lambdas would be computed anew for every character.
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    centre = total(codes) / n
-    around = F.transform(codes, lambda c: c - centre)
-    spread = total(F.transform(around, lambda c: c * c))
     length = F.char_length(body) - 1
-    together = total(F.zip_with(F.slice(around, 1, length), F.slice(around, 2, length), lambda a, b: a * b))
-    z_serial = F.when(spread > 0, together / spread * F.sqrt(n)).otherwise(F.lit(2 * FAR))
+    products = F.zip_with(F.slice(codes, 1, length), F.slice(codes, 2, length), lambda a, b: a * b)
+    centre = total(codes) / n
+    spread = total(F.transform(codes, lambda c: c * c)) - n * centre * centre
+    ends = F.ascii(F.substring(body, 1, 1)) + F.ascii(F.substring(body, -1, 1))
+    together = total(products) - centre * (2 * n * centre - ends) + (n - 1) * centre * centre
+    z_serial = F.when(spread > 1e-6, together / spread * F.sqrt(n)).otherwise(F.lit(2 * FAR))
 
     z = (z_chi + z_runs) / math.sqrt(2)
     uniform = (F.abs(z_uniform) <= FAR) & (F.abs(z_serial) <= FAR)

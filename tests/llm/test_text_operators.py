@@ -146,7 +146,7 @@ def base(text):
 
 #: Base32 has few classes, so only long strings can be told from shouted words.
 KEYS = ["qL9vZ3xT7mB2nK8wRjY5cHd1", "Zm9vYmFyQ2F0MTIz+Xw/9aBcDeFgHiJk",
-        "".join(random.Random(8).choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(120))]
+        "".join(random.Random(8).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=120))]
 
 
 def secret_rows():
@@ -172,6 +172,13 @@ def test_secret_scan(spark):
     assert all("random" not in got[k][1] for k in range(60))
 
 
+def test_a_very_long_token(spark):
+    """Work grows with its length, not with the square."""
+    token = "".join(random.Random(3).choices("ABCDEFGHabcdefgh0123456789+/xyzXYZ", k=60_000))
+    docs = spark.createDataFrame([(1, token)], "doc_id long, text string")
+    assert docs.select(secret_scan.candidates(docs.text).alias("c")).first().c[0].length == 15
+
+
 def test_redaction(spark, edges, no_rows):
     docs = spark.createDataFrame([(1, "é token = 'abcdefgh' and 0123456789abcdef0123456789!", 7), (2, "clean", 5), (3, None, None)],
                                  "doc_id long, text string, n_chars int")
