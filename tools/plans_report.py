@@ -42,7 +42,7 @@ def main(argv):
     ingest_batch(read_frames_from_events(spark, sf_dir), root, batch_id="p")
     strikes = read_strikes(spark, f"{root}/strikes")
     sections = [
-        ("Nearby over the written strike table (partition + row-group pruning, nested top-k)",
+        ("Nearby over the written strike table (partition + row-group pruning, exact top-k)",
          Q.nearby_strikes(strikes, now=NOW, **NEARBY_ARGS)),
         ("Hourly activity over the written table (partial + final aggregate)",
          A.hourly_activity(strikes, now=NOW, hours=24)),
