@@ -36,8 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import read_table
-from strike_analytics.session import fresh_dir
+from strike_analytics.llm.common import read_table, written
 
 #: White space, symbols, and the base rules' limits.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,13 +52,6 @@ SUBSET, PRIOR, FINE = 0.6, 50, 16
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (and n_lines)."""
     text = F.coalesce(F.col("text"), F.lit(""))

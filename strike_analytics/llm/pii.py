@@ -39,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import read_table
-from strike_analytics.session import fresh_dir
+from strike_analytics.llm.common import read_table, written
 
 #: Titles and the gender they tell.
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m",
@@ -231,13 +230,6 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tupl
     return "".join([*out, text[at:]]), kinds
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _OCCURRENCE = pa.schema([("document", pa.int64()), ("kind", pa.string()), ("value", pa.string())])
 
 

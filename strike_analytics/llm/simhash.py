@@ -40,8 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import map_texts, read_table
-from strike_analytics.session import fresh_dir
+from strike_analytics.llm.common import map_texts, read_table, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -243,14 +242,6 @@ def links_of(cells: DataFrame, radius: int) -> DataFrame:
             .select(*names, "fp").mapInArrow(run, "a long, b long"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node
     of ``links`` (a, b) but those smallest ones themselves.
