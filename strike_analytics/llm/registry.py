@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strike_analytics.llm import (bpe, decontam, id_store, langid, outliers, pii, secret_scan, simhash, toxicity,
-                                  url_filter)
+from strike_analytics.llm import (bpe, decontam, hard_negatives, id_store, langid, outliers, pii, secret_scan, simhash,
+                                  toxicity, url_filter)
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_language_id": langid.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op8_decontaminate": decontam.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
