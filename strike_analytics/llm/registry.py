@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strike_analytics.llm import (bpe, decontam, hard_negatives, id_store, langid, outliers, pii, secret_scan, simhash,
+from strike_analytics.llm import (bpe, decontam, hard_negatives, id_store, langid, outliers, pii, ppm, secret_scan, simhash,
                                   toxicity, url_filter)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_lm_scoring": ppm.op12_lm_scoring,
 }
 
 ORACLE_SQL = {
