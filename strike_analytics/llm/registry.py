@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strike_analytics.llm import (bpe, decontam, hard_negatives, id_store, langid, outliers, pii, ppm, secret_scan, simhash,
-                                  toxicity, url_filter)
+from strike_analytics.llm import (bpe, decontam, hard_negatives, id_store, langid, outliers, phrases, pii, ppm, secret_scan,
+                                  simhash, toxicity, url_filter)
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_lm_scoring": ppm.op12_lm_scoring,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 
 ORACLE_SQL = {
     "op8_decontaminate": decontam.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_phrase_mining": phrases.OP13_SQL,
 }
