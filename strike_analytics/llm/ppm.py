@@ -41,18 +41,19 @@ columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strike_analytics.llm.common import let_workers_import, map_texts, read_table, written
 
-ORDER, BLOCK = 4, 8 << 20
+ORDER, BLOCK = 4, 32 << 20
 END, SYMBOLS = 256, 257
 #: A gram in 64 bits: order, context (its last byte lowest), symbol.
 ORDER_BIT, SYMBOL_BITS = 49, 9
@@ -84,19 +85,6 @@ def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield key, text
 
 
-def counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different values and how often each occurs."""
-    keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for part in parts:
-        k, c = np.unique(part, return_counts=True)
-        keys.append(k)
-        n.append(c)
-    if len(keys) == 2:
-        return keys[1], n[1]
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(n), len(key)).astype(np.int64)
-
-
 def in_blocks(docs: DataFrame, block: int) -> DataFrame:
     """Rows with ``block``: of consecutive rows, about so many characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,35 +104,64 @@ def in_blocks(docs: DataFrame, block: int) -> DataFrame:
 NEEDS = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
-def needs_of(blocks: DataFrame, order: int, block: int) -> DataFrame:
-    """(block, gram or word, n): what each block needs, and how often it was learned there."""
-    def tell(number: int, texts: list[bytes], learn: list[bool]) -> Iterator[pa.RecordBatch]:
-        learned, other = [t for t, x in zip(texts, learn) if x], [t for t, x in zip(texts, learn) if not x]
-        known, n = counted(g for g, _ in grams(learned, order))
-        more = np.setdiff1d(counted(g for g, _ in grams(other, order))[0], known, assume_unique=True)
-        words = pa.array([w for t in learned for w in t.split()], pa.binary()).value_counts()
-        seen, often = words.field("values"), words.field("counts")
-        rest = pa.array(list({w for t in other for w in t.split()}.difference(seen.to_pylist())), pa.binary())
-        for gram, word, count in ((known, None, n), (more, None, np.zeros(len(more), np.int64)), (None, seen, often),
-                                  (None, rest, np.zeros(len(rest), np.int64))):
+class Needs:
+    """The different grams and words of a block, with their counts in learned texts."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.held = {True: 0, False: 0}  # bytes of texts not yet counted
+        self.texts: dict[bool, list[bytes]] = {True: [], False: []}
+        self.grams: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.times: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.words: Counter = Counter()
+        self.others: set[bytes] = set()
+
+    def add(self, text: bytes, learn: bool) -> None:
+        self.held[learn] += len(text) + 1
+        self.texts[learn].append(text)
+        if self.held[learn] >= SPAN:
+            self._count(learn)
+        (self.words if learn else self.others).update(text.split())
+
+    def _count(self, learn: bool) -> None:
+        for keys, _ in grams(self.texts[learn], self.order):
+            key, n = np.unique(keys, return_counts=True)
+            self.grams[learn].append(key)
+            self.times[learn].append(n)
+        self.texts[learn], self.held[learn] = [], 0
+
+    def _summed(self, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+        self._count(learn)
+        if not self.grams[learn]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, at = np.unique(np.concatenate(self.grams[learn]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate(self.times[learn]), len(key)).astype(np.int64)
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        known, n = self._summed(True)
+        more = np.setdiff1d(self._summed(False)[0], known, assume_unique=True)
+        rest = list(self.others.difference(self.words))
+        for gram, word, count in ((known, None, n), (more, None, np.zeros(len(more), np.int64)),
+                                  (None, list(self.words), list(self.words.values())), (None, rest, [0] * len(rest))):
             size = len(count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(size, number), pa.int64()), pa.nulls(size, pa.int64()) if gram is None else pa.array(gram),
-                 pa.nulls(size, pa.binary()) if word is None else word, pa.array(count, pa.int64())], schema=NEEDS)
+                 pa.array(word if gram is None else [None] * size, pa.binary()), pa.array(count, pa.int64())], schema=NEEDS)
+
 
+def needs_of(blocks: DataFrame, order: int) -> DataFrame:
+    """(block, gram or word, n): what each block needs, and how often it was learned there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, texts, learn = None, 0, [], []
+        number, held = None, Needs(order)
         for b in batches:
             for k, t, x in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), b.column("learn").to_pylist()):
-                if texts and (k != number or size >= block):
-                    yield from tell(number, texts, learn)
-                    size, texts, learn = 0, [], []
+                if number is not None and k != number:
+                    yield from held.rows(number)
+                    held = Needs(order)
                 number = k
-                texts.append(symbols(t))
-                learn.append(x)
-                size += len(texts[-1])
-        if texts:
-            yield from tell(number, texts, learn)
+                held.add(symbols(t), x)
+        if number is not None:
+            yield from held.rows(number)
 
     return blocks.select("block", "text", "learn").mapInArrow(run, "block long, gram long, word binary, n long")
 
@@ -213,28 +230,37 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, block: int =
         raise ValueError("order must be 0 to 5")
     let_workers_import(docs.sparkSession)
     learn = F.coalesce(learn, F.lit(True))
-    blocks = written(in_blocks(docs.select("doc_id", "text", learn.alias("learn")), block), "ppm-texts")
-    needs = written(needs_of(blocks, order, block), "ppm-needs")
+    blocks = written(in_blocks(docs.select("doc_id", "text", learn.alias("learn")), block), "ppm-texts", "zstd")
+    needs = written(needs_of(blocks, order), "ppm-needs", "zstd")
     gram_needs, word_needs = needs.where("gram is not null"), needs.where("word is not null")
     values = log_probabilities(written(gram_needs.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams"), order)
-    words = written(word_needs.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    # A word has at most one row of each block and task, far fewer than it has occurrences.
+    of_word = Window.partitionBy("word").orderBy("block")
+    every = of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    words = written(word_needs.select("block", "word", "n", F.sum("n").over(every).alias("total"), (F.row_number().over(of_word) == 1).alias("first"))
+                    .where("first or n != total"), "ppm-words")
     ended = blocks.where("learn").count()
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tokens, different = sums[0] + ended, sums[1] + (ended > 0)
+    tokens = word_needs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + ended
+    different = words.where("first and total > 0").count() + (ended > 0)
 
     def score(key: tuple, texts: pa.Table, sent: pa.Table) -> pa.Table:
+        data = [symbols(t) for t in texts.column("text").to_pylist()]
         of_words = pc.is_valid(sent.column("word"))
         known = sent.filter(of_words)
-        count = dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist()))
+        # Words that no other block learned are not sent: the block counts its own.
+        count = Counter()
+        for t, learn in zip(data, texts.column("learn").to_pylist()):
+            if learn:
+                count.update(t.split())
+        count = dict(count) | dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist()))
         sent = sent.filter(pc.invert(of_words)).sort_by("gram")
         gram, value = sent.column("gram").to_numpy(), sent.column("value").to_numpy()
-        data = [symbols(t) for t in texts.column("text").to_pylist()]
         scores = np.zeros(len(data))
         for keys, text in grams(data, order):
             scores += np.bincount(text, value[np.searchsorted(gram, keys)], len(data))
         n_tokens, n_known, base = [], [], []
         for t in data:
-            c = np.array([*map(count.__getitem__, t.split()), ended], np.float64)
+            c = np.array([*(count.get(w, 0) for w in t.split()), ended], np.float64)
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 1) / (tokens + different + 1)).sum()))
@@ -244,8 +270,8 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, block: int =
 
     sent = (gram_needs.select("block", "gram").join(values, "gram")
             .select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-            .unionByName(word_needs.select("block", "word").join(words, "word")
-                         .select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))))
+            .unionByName(words.where("n != total").select("block", F.lit(None).cast("long").alias("gram"), "word",
+                                                          F.col("total").cast("double").alias("value"))))
     kind = blocks.schema["doc_id"].dataType.simpleString()
     return (blocks.groupBy("block").cogroup(sent.groupBy("block"))
             .applyInArrow(score, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
