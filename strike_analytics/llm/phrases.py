@@ -51,7 +51,7 @@ from strike_analytics.llm.common import let_workers_import, read_table, written
 WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice and bits of the filter (8 MB).
-SLICE, FILTER_BITS = 4 << 20, 1 << 26
+SLICE, FILTER_BITS = 1 << 20, 1 << 26
 UNKNOWN = "und"
 
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
