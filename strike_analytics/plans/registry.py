@@ -23,11 +23,12 @@ from ..functions.numeric import pct_sql, py_round_sql
 from ..operators import aggregates as A
 from ..operators import ingest_stats as I
 from ..operators import queries as Q
+from ..operators import rollups as R
 from ..operators.decode import accepted_strikes, decode_frames, outcomes, reject_counts
 from ..schemas import STRIKE_COLUMNS
 from ..session import fresh_dir
 from ..sources.events import frames_from_events, read_events, read_strikes_from_events
-from ..sources.tables import ingest_batch, read_outcomes, read_strikes
+from ..sources.tables import compact, ingest_batch, read_counters, read_frames, read_hourly, read_outcomes, read_strikes
 
 NOW = _dt.datetime(2024, 1, 31)
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -37,6 +38,8 @@ WHOLE_MONTH_HOURS = 24 * 31
 LIST_ARGS = dict(limit=100, offset=20, since=_dt.datetime(2024, 1, 10),
                  until=_dt.datetime(2024, 1, 20, 23, 59, 59),
                  min_lat=30.0, max_lat=35.0, min_lon=-120.0, max_lon=-115.0)
+#: Incomplete hours at both ends.
+ROLLUP_WINDOW = (_dt.datetime(2024, 1, 10, 5, 17, 3), _dt.datetime(2024, 1, 20, 21, 42, 11))
 NEARBY_ARGS = dict(lat=SAN_DIEGO[0], lon=SAN_DIEGO[1], radius=100, minutes=1440, limit=10)
 ENTRY_ARGS = dict(lat=SAN_DIEGO[0], lon=SAN_DIEGO[1], radius=500, minutes=1440, limit=100)
 
@@ -48,20 +51,56 @@ def _strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_strikes_from_events(spark, sf_dir)
 
 
-def _decoded(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
-    return decode_frames(frames_from_events(read_events(spark, sf_dir)), profile)
+#: Made once for each application and input.
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
 
+def land_frames(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the frames of ``events`` as a feed lands them, in many files; gives the folder."""
+    path = fresh_dir(spark, "query-frames")
+    files = 2 * spark.sparkContext.defaultParallelism
+    frames_from_events(read_events(spark, sf_dir)).repartition(files).write.parquet(path)
+    return path
 
-_TABLES: dict[tuple[str, str], dict[str, str]] = {}
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_frames(spark, _once("frames", spark, sf_dir, lambda: land_frames(spark, sf_dir)))
+
+
+def _decoded(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
+    return decode_frames(_frames(spark, sf_dir), profile)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """The tables that ``ingest_batch`` writes from the frames; once for each application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
-        frames = frames_from_events(read_events(spark, sf_dir))
-        _TABLES[key] = ingest_batch(frames, fresh_dir(spark, "query-tables"), "0")
-    return _TABLES[key]
+    """The tables that ``ingest_batch`` writes from the frames."""
+    return _once("tables", spark, sf_dir, lambda: ingest_batch(_frames(spark, sf_dir), fresh_dir(spark, "query-tables"), "0"))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> str:
+    """A root of four batches by connection, one of them ingested twice, whose
+    first three are merged; the fourth came with all frames of another at first."""
+    def make() -> str:
+        root, frames = fresh_dir(spark, "query-compacted"), _frames(spark, sf_dir)
+        part = lambda k: frames.where(F.col("session_id") % 4 == k)
+        for k in (0, 1, 1, 2):
+            ingest_batch(part(k), root, str(k))
+        ingest_batch(part(0), root, "3")
+        compact(spark, root)
+        ingest_batch(part(3), root, "3")
+        return root
+
+    return _once("compacted", spark, sf_dir, make)
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    return _tables(spark, sf_dir)["strikes"].rpartition("/")[0]
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,10 +200,40 @@ def q_table_ingestion_stats(spark, sf_dir):
     return I.ingestion_stats(read_outcomes(spark, _tables(spark, sf_dir)["outcomes"]))
 
 
+def q_table_rollup_stats(spark, sf_dir):
+    """From the roll-ups kept with each batch, and the strikes of the incomplete hours."""
+    strikes, hourly = _written(spark, sf_dir), read_hourly(spark, _root(spark, sf_dir))
+    return _round6(R.stats_of(R.in_window(hourly, strikes, *ROLLUP_WINDOW)), "avg_latitude", "avg_longitude")
+
+
+def q_table_rollup_hemisphere(spark, sf_dir):
+    strikes, hourly = _written(spark, sf_dir), read_hourly(spark, _root(spark, sf_dir))
+    return _round6(R.hemisphere_of(R.in_window(hourly, strikes, *ROLLUP_WINDOW)), "avg_lat", "avg_lon")
+
+
+def q_table_rollup_hourly(spark, sf_dir):
+    strikes, hourly = _written(spark, sf_dir), read_hourly(spark, _root(spark, sf_dir))
+    return _round6(R.hourly_of(R.in_window(hourly, strikes, *ROLLUP_WINDOW)), "pct_positive")
+
+
+def q_compacted_strike_stats(spark, sf_dir):
+    strikes = read_strikes(spark, f"{_compacted(spark, sf_dir)}/strikes")
+    return _round6(A.strike_stats(strikes, since=LIST_ARGS["since"], until=LIST_ARGS["until"]), "avg_latitude", "avg_longitude")
+
+
+def q_compacted_list_strikes(spark, sf_dir):
+    return Q.list_strikes(read_strikes(spark, f"{_compacted(spark, sf_dir)}/strikes"), **LIST_ARGS)
+
+
+def q_compacted_ingestion_stats(spark, sf_dir):
+    """From the counters of each batch; taken back where a batch came in again."""
+    return R.ingestion_of(read_counters(spark, _compacted(spark, sf_dir)))
+
+
 def q_decode_frames_lenient(spark, sf_dir):
     return _decoded(spark, sf_dir, "lenient").select(
         "frame_id", "time_text", "latitude", "longitude", "altitude", "polarity",
-        "mds", "mcg", "json_ok", F.size("warnings").alias("n_warnings"),
+        "mds", "mcg", "json", "json_ok", F.size("warnings").alias("n_warnings"),
         F.array_join("warnings", "; ").alias("warnings"),
         F.col("other_fields.alt").alias("other_alt"), F.col("other_fields.pol").alias("other_pol"),
         F.col("other_fields.mds").alias("other_mds"), F.col("other_fields.mcg").alias("other_mcg"))
@@ -206,6 +275,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_nearby_strikes": q_table_nearby_strikes,
     "table_list_strikes": q_table_list_strikes,
     "table_ingestion_stats": q_table_ingestion_stats,
+    "table_rollup_stats": q_table_rollup_stats,
+    "table_rollup_hemisphere": q_table_rollup_hemisphere,
+    "table_rollup_hourly": q_table_rollup_hourly,
+    "compacted_strike_stats": q_compacted_strike_stats,
+    "compacted_list_strikes": q_compacted_list_strikes,
+    "compacted_ingestion_stats": q_compacted_ingestion_stats,
     "decode_frames_lenient": q_decode_frames_lenient,
     "decode_report": q_decode_report,
     "longitude_repair": q_longitude_repair,
@@ -375,7 +450,11 @@ SELECT session_id, sample_no, processed, stored, processed - stored AS failed,
 FROM c QUALIFY processed % 10 = 0 OR processed = max(processed) OVER (PARTITION BY session_id)""",
 
     "decode_frames_lenient": f"""WITH {FRAMES_CTE}
-SELECT *, altitude AS other_alt, polarity AS other_pol, mds AS other_mds, mcg AS other_mcg FROM (
+SELECT *, altitude AS other_alt, polarity AS other_pol, mds AS other_mds, mcg AS other_mcg,
+       '{{' || concat_ws(', ', '"time": ' || time_text, '"lat": ' || CAST(latitude AS VARCHAR), '"lon": ' || CAST(longitude AS VARCHAR),
+                        '"alt": ' || CAST(altitude AS VARCHAR), '"pol": "' || polarity || '"', '"mds": ' || CAST(mds AS VARCHAR),
+                        '"mcg": ' || CAST(mcg AS VARCHAR)) || '}}' AS json
+FROM (
 SELECT event_id AS frame_id,
        CASE WHEN cls = 0 THEN NULL ELSE CAST({_RAW_TIME} AS VARCHAR) END AS time_text,
        CASE WHEN cls = 2 THEN NULL WHEN cls = 3 THEN 95.0 ELSE CAST(lat_m AS DOUBLE) / 1000.0 END AS latitude,
@@ -422,6 +501,11 @@ ORACLE_SQL["table_strike_stats"] += """
 WHERE strike_timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND strike_timestamp <= TIMESTAMP '2024-01-20 23:59:59'"""
 ORACLE_SQL["table_nearby_strikes"] = _sql_nearby(True, _TABLE_CTE)
 ORACLE_SQL["table_ingestion_stats"] = ORACLE_SQL["ingestion_stats"]
+_WINDOW_SQL = "strike_timestamp >= TIMESTAMP '{}' AND strike_timestamp <= TIMESTAMP '{}'".format(*ROLLUP_WINDOW)
+ORACLE_SQL["table_rollup_stats"] = ORACLE_SQL["strike_stats"].replace(STRIKES_CTE, _TABLE_CTE) + "\nWHERE " + _WINDOW_SQL
+ORACLE_SQL |= {f"table_rollup_{k}": ORACLE_SQL[f"{k}_activity"].replace(STRIKES_CTE, _TABLE_CTE).replace(
+    f"strike_timestamp > {NOW_SQL} - INTERVAL {WHOLE_MONTH_HOURS} HOUR", _WINDOW_SQL) for k in ("hemisphere", "hourly")}
+ORACLE_SQL |= {f"compacted_{k}": ORACLE_SQL[f"table_{k}"] for k in ("strike_stats", "list_strikes", "ingestion_stats")}
 ORACLE_SQL["ingest_progress_gaps"] = ORACLE_SQL["ingest_progress"].replace(
     "event_id % 250 + 1 AS sample_no", "(event_id % 250 + 1) * 3 + 1000 AS sample_no")
 

@@ -7,8 +7,11 @@ idempotent, batch-keyed writes (exactly-once on replay).
 The roll-ups over the written tables (``*_rollup_stream``) keep one state row
 for each run of a batch and key, in ``update`` or ``complete`` mode: late rows
 count in their hour, and the newest hours are there at once. A batch that is
-ingested again shows up as a second run; ``settled`` keeps the newest run of
-each batch, so nothing is counted twice.
+ingested again shows up as a second run; ``settled`` keeps the runs of the
+batch list (``sources.commits.runs_of``), so nothing is counted twice, and a
+run without any row takes back the one before it. Where the folders of batches
+are compacted, ask the roll-ups that ingest keeps itself (``read_hourly``,
+``read_counters``): they follow the list without a stream.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ def start_ingest(frames: DataFrame, root: str, checkpoint: str,
     """Continuously decode a frame stream into the strike and outcome tables.
 
     One query, one decode per micro-batch: each micro-batch goes through
-    ``ingest_batch`` (decoded log, then strikes, each in the batch's own
-    folder). The key is the streaming query id (stable across restarts from
-    the same checkpoint) plus the epoch, so a micro-batch replayed after a
-    failure replaces its own folders: exactly-once output without a second
-    decode.
+    ``ingest_batch`` (all tables, then one entry of the batch list). The key is
+    the streaming query id (stable across restarts from the same checkpoint)
+    plus the epoch, so a micro-batch replayed after a failure replaces its own
+    entry: exactly-once output without a second decode. ``sources.tables.compact``
+    merges the folders of many micro-batches while this goes on.
 
     ``root`` and ``checkpoint`` must be on shared storage (see
     ``session.shared_dir``). ``trigger`` is ``"availableNow"`` or a
@@ -66,9 +69,9 @@ def hourly_rollup_stream(strikes: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("strike_count"), positive.alias("positive")))
 
 
-def hourly_activity_of(rollup: DataFrame) -> DataFrame:
-    """Per clock hour: strike count and % positive polarity, of the newest runs."""
-    sums = settled(rollup).groupBy("hour").agg(F.sum("strike_count").alias("strike_count"), F.sum("positive").alias("positive"))
+def hourly_activity_of(rollup: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Per clock hour: strike count and % positive polarity, of the settled runs."""
+    sums = settled(rollup, runs).groupBy("hour").agg(F.sum("strike_count").alias("strike_count"), F.sum("positive").alias("positive"))
     return sums.select("hour", "strike_count", (F.col("positive") / F.col("strike_count") * 100).alias("pct_positive"))
 
 
@@ -78,9 +81,9 @@ def ingestion_rollup_stream(outcome_rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("received"), F.count_if("stored").alias("stored"), F.max("received_at").alias("last"))
 
 
-def ingestion_stats_of(rollup: DataFrame) -> DataFrame:
-    """The counters of ``ingestion_stats``, summed over the newest runs."""
-    agg = settled(rollup).agg(
+def ingestion_stats_of(rollup: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The counters of ``ingestion_stats``, summed over the settled runs."""
+    agg = settled(rollup, runs).agg(
         F.coalesce(F.sum("received"), F.lit(0)).alias("total_received"),
         F.coalesce(F.sum("stored"), F.lit(0)).alias("total_stored"),
         F.coalesce(F.sum(F.col("received") - F.col("stored")), F.lit(0)).alias("total_failed"),
@@ -88,9 +91,16 @@ def ingestion_stats_of(rollup: DataFrame) -> DataFrame:
     return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
 
 
-def settled(rollup: DataFrame) -> DataFrame:
-    """The rows of the newest run of each batch. ``rollup`` has one current row
-    for each key: of an update-mode sink, the last row written for it."""
+def settled(rollup: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The rows of the runs that count: those of the batch list, ``runs``
+    (batch_id, run). ``rollup`` has one current row for each key: of an
+    update-mode sink, the last row written for it.
+
+    Without ``runs`` the newest run that has a row counts for its batch; that
+    can't see that a batch was run again without leaving a row.
+    """
+    if runs is not None:
+        return rollup.join(runs, ["batch_id", "run"], "left_semi")
     newest = F.max("run").over(Window.partitionBy("batch_id"))
     return rollup.withColumn("_newest", newest).where("run = _newest").drop("_newest")
 
@@ -121,10 +131,10 @@ def progress_rollup_stream(outcome_rows: DataFrame) -> DataFrame:
         F.max("sample_no").alias("sample_no"))
 
 
-def progress_of(rollup: DataFrame) -> DataFrame:
+def progress_of(rollup: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """The live progress line of each connection: cumulative processed / stored
-    (decoded) / failed counts and the rate (%, 1 dp), of the newest runs."""
-    agg = settled(rollup).groupBy("session_id").agg(
+    (decoded) / failed counts and the rate (%, 1 dp), of the settled runs."""
+    agg = settled(rollup, runs).groupBy("session_id").agg(
         F.sum("processed").alias("processed"), F.sum("stored").alias("stored"), F.max("sample_no").alias("sample_no"))
     return (agg.withColumn("failed", F.col("processed") - F.col("stored"))
                .withColumn("success_rate", pct(F.col("stored"), F.col("processed"), 1)))

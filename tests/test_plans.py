@@ -8,7 +8,7 @@ from strike_analytics.operators import queries as Q
 from strike_analytics.plans.registry import NEARBY_ARGS, NOW, QUERIES
 from strike_analytics.session import fresh_dir
 from strike_analytics.sources.events import read_frames_from_events, read_strikes_from_events
-from strike_analytics.sources.tables import ingest_batch, read_strikes
+from strike_analytics.sources.tables import ingest_batch, read_outcomes, read_strikes
 
 
 def plan(df):
@@ -69,7 +69,7 @@ def test_batch_ingest_is_idempotent(spark):
     strikes = read_strikes(spark, f"{root}/strikes")
     assert strikes.count() == 800
     assert strikes.select("id").distinct().count() == 800
-    assert spark.read.parquet(f"{root}/decoded").count() == 1000
+    assert read_outcomes(spark, f"{root}/decoded").count() == 1000
 
 
 def test_empty_batch_ingest(spark):
