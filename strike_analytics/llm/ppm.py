@@ -43,8 +43,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -125,9 +127,9 @@ class Needs:
 
     def _count(self, learn: bool) -> None:
         for keys, _ in grams(self.texts[learn], self.order):
-            key, n = np.unique(keys, return_counts=True)
-            self.grams[learn].append(key)
-            self.times[learn].append(n)
+            found = pa.array(keys).value_counts()
+            self.grams[learn].append(found.field("values").to_numpy())
+            self.times[learn].append(found.field("counts").to_numpy())
         self.texts[learn], self.held[learn] = [], 0
 
     def _summed(self, learn: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -253,14 +255,17 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, block: int =
             if learn:
                 count.update(t.split())
         count = dict(count) | dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist()))
-        sent = sent.filter(pc.invert(of_words)).sort_by("gram")
-        gram, value = sent.column("gram").to_numpy(), sent.column("value").to_numpy()
+        sent = sent.filter(pc.invert(of_words))
+        # A block that two tasks told its needs has some grams twice.
+        gram, first = np.unique(sent.column("gram").to_numpy(), return_index=True)
+        gram, value = pd.Index(gram), sent.column("value").to_numpy()[first]
         scores = np.zeros(len(data))
         for keys, text in grams(data, order):
-            scores += np.bincount(text, value[np.searchsorted(gram, keys)], len(data))
+            scores += np.bincount(text, value[gram.get_indexer(keys)], len(data))
         n_tokens, n_known, base = [], [], []
         for t in data:
-            c = np.array([*(count.get(w, 0) for w in t.split()), ended], np.float64)
+            words = t.split()
+            c = np.append(np.fromiter(map(count.get, words, repeat(0)), np.float64, len(words)), ended)
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 1) / (tokens + different + 1)).sum()))
