@@ -10,11 +10,12 @@ judge it.
   length and the letter frequencies of writing; a secret lies far below.
 * Runs: how often the class (lower, upper, digit, mark) changes between
   neighbours. Writing changes seldom, secrets often.
-* Serial correlation of neighbouring characters, which must be near zero, as
-  the chi-squared statistic must be near that of a uniform source: sequences
-  and repeated patterns pass neither.
+* Serial correlation of neighbouring characters, in size: a uniform source has
+  none, patterns such as sequences have much.
 
-The first two give one conservative p-value for each candidate. Over all
+The three are combined (Stouffer) into one conservative p-value for each
+candidate; one whose chi-squared statistic lies far above a uniform source's,
+as of repeated patterns, is none at any p-value. Over all
 candidates of the table, the Benjamini-Hochberg rule holds the share of false
 discoveries under ``rate``, apart for every encoding and length class
 (doublings), since short strings can't be told apart as long ones can.
@@ -36,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import read_table
+from strike_analytics.llm.common import free_names, read_table
 
 #: The kinds, in order, with their patterns.
 PATTERNS = {
@@ -56,29 +57,52 @@ ENCODINGS = {"hex": (16, 0.13, 0.025), "HEX": (16, 0.13, 0.025), "base32": (32,
 #: How often neighbours differ in class in writing; how far (in standard
 #: deviations) a uniform source may lie from its mean; steps of p-values.
 CHANGES, FAR, STEPS, STEP = 0.15, 4.0, 4000, 0.05
+#: The serial correlation of patterns, in size.
+SERIAL = 0.3
 
 
-def matches(text: Column, pattern: str, kind: int, extra=None) -> Column:
+#: Values that ``running`` adds up one by one; blocks of them are added up again.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, add) -> Column:
+    """The running results of ``add`` over an array: block by block, so that the
+    work is in proportion to the array and not to its square."""
+    def plain(part: Column) -> Column:
+        step = lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(add(F.element_at(done, F.greatest(F.size(done), F.lit(1))), x))))
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    def whole(parts: Column) -> Column:
+        return let(plain(F.transform(parts, lambda p: F.element_at(p, -1))), lambda totals: F.flatten(F.transform(
+            parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda x: add(F.get(totals, k - 1), x))))))
+
+    starts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK))
+    return F.when(F.size(values) > 0, let(F.transform(starts, lambda s: plain(F.slice(values, s + 1, F.lit(BLOCK)))), whole)).otherwise(
+        F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str, kind: int) -> Column:
     """[{start, end, kind, match}] of the leftmost matches that don't overlap.
 
     The texts between the matches and the matches alternate; their lengths
     add up to the positions.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     span = "struct<start:int,end:int,kind:int,match:string>"
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["between"])
-        end = start + F.char_length(x["found"])
-        made = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["made"], F.array(made)).alias("made"))
+    def placed(found: Column) -> Column:
+        # split() and regexp_extract_all() find the same matches.
+        between = F.split(text, pattern, -1)
+        sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.char_length(b) + F.char_length(f))
+        return let(sizes, lambda sizes: F.zip_with(found, running(sizes, lambda x, y: x + y), lambda f, end: F.struct(
+            (end - F.char_length(f)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), f.alias("match"))))
 
-    pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(1))), found,
-                       lambda b, f: F.struct(b.alias("between"), f.alias("found")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("made"))
     # Most texts have no match; only for the others the rest is computed.
-    return F.when(text.rlike(pattern), F.aggregate(pairs, state, add)["made"]).otherwise(
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(
         F.array().cast(f"array<{span}>"))
 
 
@@ -135,10 +159,11 @@ def surprise(token: Column, name: Column) -> Column:
     spread = total(F.transform(codes, lambda c: c * c)) - n * centre * centre
     ends = F.ascii(F.substring(body, 1, 1)) + F.ascii(F.substring(body, -1, 1))
     together = total(products) - centre * (2 * n * centre - ends) + (n - 1) * centre * centre
-    z_serial = F.when(spread > 1e-6, together / spread * F.sqrt(n)).otherwise(F.lit(2 * FAR))
+    serial = F.when(spread > 1e-6, F.least(F.abs(together / spread), F.lit(1.0))).otherwise(F.lit(1.0))
+    z_serial = (SERIAL - serial) * F.sqrt(n)
 
-    z = (z_chi + z_runs) / math.sqrt(2)
-    uniform = (F.abs(z_uniform) <= FAR) & (F.abs(z_serial) <= FAR)
+    z = (z_chi + z_runs + z_serial) / math.sqrt(3)
+    uniform = F.abs(z_uniform) <= FAR
     # exp(-z^2 / 2) / 2 is an upper bound of the normal tail.
     return F.when(uniform & (z > 0), z * z / 2 + math.log(2)).otherwise(F.lit(0.0))
 
@@ -185,12 +210,27 @@ def _limit(c: Column, least: dict[tuple[str, int], int], otherwise: Column) -> C
     return out
 
 
+def apart(random: Column, base: Column) -> Column:
+    """The spans of ``random``, which don't overlap one another, that overlap no
+    span of ``base``. In the order of starts, one of ``base`` overlaps if it
+    ends behind the start, or comes next and starts before the end."""
+    known = len(PATTERNS)
+
+    def clear(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda s: F.when(s["kind"] < known, s["end"]).otherwise(F.lit(0))), F.greatest)
+        return let(ends, lambda ends: F.filter(all_, lambda s, k: (s["kind"] == known) & (F.get(ends, k) <= s["start"])
+                                               & F.coalesce(F.get(all_, k + 1)["start"] >= s["end"], F.lit(True))))
+
+    return F.when(F.size(random) == 0, random).when(F.size(base) == 0, random).otherwise(
+        let(F.array_sort(F.concat(base, random)), clear))
+
+
 def with_spans(docs: DataFrame, rate: float, base: str = "base", every: str = "every") -> DataFrame:
     """``docs`` with two arrays of {start, kind, end}: known forms, and all spans."""
     known, random = spans(F.col("text"), thresholds(docs, rate))
-    apart = F.filter("__random", lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return (docs.withColumn(base, known).withColumn("__random", random)
-            .withColumn(every, F.array_sort(F.concat(base, apart))).drop("__random"))
+    free, = free_names(docs.withColumns({base: known, every: known}), "random")
+    found = docs.withColumn(base, known).withColumn(free, random)
+    return found.withColumn(every, F.array_sort(F.concat(base, apart(F.col(free), F.col(base))))).drop(free)
 
 
 def spelled(found: str) -> Column:
@@ -210,19 +250,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str, rate: float = 0.01) -> Dat
 def redact_secrets(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark`` (overlapping
     spans by one); n_chars follows. Other rows and columns stay as they are."""
-    base, every = (next(n for n in (f"{x}{'_' * k}" for k in range(99)) if n not in docs.columns) for x in ("base", "every"))
+    base, every = free_names(docs, "base", "every")
     found = with_spans(docs, rate, base, every)
 
-    def add(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        more = F.when(apart, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]),
-                                      F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
+    def rebuilt(ends: Column) -> Column:
+        """What lies between the spans, joined by the mark. In UTF-32 a place is found without counting characters."""
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
+        first = F.filter(F.transform(every, lambda s, k: F.struct(before(k).alias("from"), s["start"].alias("to"))), lambda g: g["from"] <= g["to"])
+        last = F.struct(F.element_at(ends, -1).alias("from"), F.char_length("text").alias("to"))
+        gaps = F.concat(first, F.array(last))
+        return let(F.encode("text", "UTF-32"), lambda data: F.array_join(F.transform(gaps, lambda g: F.decode(
+            F.substring(data, 4 * g["from"] + 1, 4 * (g["to"] - g["from"])), "UTF-32")), mark))
 
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(every, state, add, lambda s: F.concat(s["out"], F.substring(
-        F.col("text"), s["at"] + 1, F.char_length("text"))))
     some = F.size(every) > 0
+    text = let(running(F.transform(every, lambda s: s["end"]), F.greatest), rebuilt)
     found = found.withColumn("text", F.when(some, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
