@@ -40,10 +40,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+#: For tables with values of about a megabyte: a page is looked at after each
+#: row (Parquet's default is a hundred), and a file's rows are few.
+LARGE_VALUES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "maxRecordsPerFile": "128"}
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**options).option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,7 @@ no phrase. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,12 +47,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import let_workers_import, read_table, written
+from strike_analytics.llm.common import LARGE_VALUES, let_workers_import, read_table, written
 
 WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
-#: Characters of a slice and bits of the filter (8 MB).
-SLICE, FILTER_BITS = 1 << 20, 1 << 26
+#: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
+SLICE, HELD, FILTER_BITS = 1 << 20, 8, 1 << 26
 UNKNOWN = "und"
 
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
@@ -86,14 +87,17 @@ def sliced(docs: DataFrame, slice_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bool], list[str]] = {}
-        size = 0
+        size: Counter = Counter()
         for b in batches:
             for text, lang, sampled in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "sampled"))):
-                held.setdefault((lang, sampled), []).append(text)
-                size += len(text)
-                if size >= slice_chars:
-                    yield from (made(*x) for x in held.items())
-                    held, size = {}, 0
+                key = lang, sampled
+                held.setdefault(key, []).append(text)
+                size[key] += len(text) + 1
+                # A whole slice, or the largest one of more than a task should hold.
+                if size[key] >= slice_chars or size.total() >= HELD * slice_chars:
+                    key = max(size, key=size.get)
+                    yield made(key, held.pop(key))
+                    del size[key]
         yield from (made(*x) for x in held.items())
 
     let_workers_import(docs.sparkSession)
@@ -225,7 +229,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, fraction: int = FR
     all words."""
     chosen = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
                          (F.pmod(F.xxhash64("doc_id"), F.lit(fraction)) == 0).alias("sampled"))
-    slices = written(sliced(chosen, slice_chars), "phrases-slices")
+    slices = written(sliced(chosen, slice_chars), "phrases-slices", **LARGE_VALUES)
     lowered = max(2, int(LOWERED * support / fraction))
     empty = np.zeros(FILTER_BITS // 64, np.uint64)
     _, proposed = mined(slices.where("sampled"), lowered, empty)
