@@ -11,17 +11,18 @@ Texts are encoded in Arrow batches. Without offsets a text is cut at single
 spaces between two other characters; the split pattern never looks to the left
 and always begins a match at such a space, so the pieces encode as the text
 does (tested). A piece is split into its pre-tokens, each is spelled in the
-model's alphabet, and the library's model tokenizes it. Pieces and pre-tokens
-are remembered, by worker, in tables of bounded size that start anew when
-full: encoding cost follows the number of different ones. With offsets the
-library gets whole texts.
+model's alphabet, and the library's model tokenizes it. Pieces are remembered,
+by worker, in two tables of bounded size: a full one becomes the older one,
+and what is asked for again moves back. Encoding cost follows the number of
+different pieces. With offsets the library gets whole texts.
 
 Scale: one pass, no shuffle; memory follows ``common.slices``, not the batch
 or the longest text.
 
 Defined results: null and empty texts have no tokens; repeated rows are each
-encoded; special tokens' strings in a text are ordinary text; other columns
-are not read.
+encoded; the ranks know no special tokens, so their strings are ordinary text;
+a tokenizer's file may have some, whose strings in a text become their ids, as
+the library has it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,9 +95,7 @@ def tokenizer_from_file(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=4)
@@ -118,9 +117,9 @@ def decode(ids: np.ndarray | list[int], table: list[bytes]) -> bytes:
 #: White space other than space and line feed.
 _RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680,
                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_MARKS = frozenset(".,;:!?")
 #: A space that no pre-token spans: other characters, not white space, on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = set(".,;:!?")
 
 
 def pieces(text: str) -> list[str]:
@@ -134,14 +133,19 @@ class PieceEncoder:
     """Encodes texts by their pieces; ids come as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, pattern: str):
-        self.model, self.split = tokenizer.model, regex.compile(pattern).findall
+        self.tokenizer, self.tokenize, self.split = tokenizer, tokenizer.model.tokenize, regex.compile(pattern).findall
         self.spell = dict(enumerate(byte_characters()))
+        self.space = self.spell[0x20]
         self.known: dict[str, bytes] = {}  # pieces behind a space
-        self.tokens: dict[str, bytes] = {}  # pre-tokens
+        self.before: dict[str, bytes] = {}  # the table before this one
+        self.tokens: dict[str, bytes] = {}  # pre-tokens that are no word behind a space
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, spelled: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _pretoken(self, text: str) -> bytes:
-        spelled = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spell)
-        made = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        made = self._ids(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spell))
         if len(text) <= PIECE:
             if len(self.tokens) >= REMEMBERED:
                 self.tokens.clear()
@@ -152,30 +156,41 @@ class PieceEncoder:
         get = self.tokens.get
         return b"".join([get(p) or self._pretoken(p) for p in self.split(text)])
 
-    def _after_space(self, piece: str) -> bytes:
-        """Of a space and ``piece``. Most are a word, or a word and one mark; those need no pattern."""
-        if piece.isalpha():
-            word, mark = " " + piece, ""
-        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
-            word, mark = " " + piece[:-1], piece[-1]
-        else:
-            return self._piece(" " + piece)
-        get = self.tokens.get
-        made = get(word) or self._pretoken(word)
-        return made + (get(mark) or self._pretoken(mark)) if mark else made
+    def _word(self, word: str) -> bytes:
+        """A space and a word of letters."""
+        if word.isascii():
+            return self._ids(self.space + word)
+        return self._ids(self.space + word.encode().decode("latin-1").translate(self.spell))
+
+    def _new(self, piece: str) -> bytes:
+        """A space and ``piece``. Most are a word, a word and one mark, or such a
+        one before a new line; those need no pattern."""
+        made = self.before.get(piece)
+        if made is None:
+            get = self.tokens.get
+            line, new, rest = piece.partition("\n")
+            if piece.isalpha():
+                made = self._word(piece)
+            elif piece[-1] in _MARKS and piece[:-1].isalpha():
+                made = (self.known.get(piece[:-1]) or self._new(piece[:-1])) + (get(piece[-1]) or self._pretoken(piece[-1]))
+            elif line[-1:] in _MARKS and line[:-1].isalpha() and rest and not rest[0].isspace():
+                made = (self.known.get(line) or self._new(line)) + (get(new) or self._pretoken(new)) + self._piece(rest)
+            else:
+                made = self._piece(" " + piece)
+        if len(piece) <= PIECE:
+            if len(self.known) >= REMEMBERED:
+                self.before, self.known = self.known, {}
+            self.known[piece] = made
+        return made
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):  # the library looks for these before anything else
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         first, *rest = pieces(text)
-        found = list(map(self.known.get, rest))
+        get = self.known.get
+        found = list(map(get, rest))
         if None in found:
-            for i, made in enumerate(found):
-                if made is None:
-                    piece = rest[i]
-                    made = found[i] = self.known.get(piece) or self._after_space(piece)
-                    if len(piece) <= PIECE:
-                        if len(self.known) >= REMEMBERED:
-                            self.known.clear()
-                        self.known[piece] = made
+            found = [made or self.known.get(piece) or self._new(piece) for piece, made in zip(rest, found)]
         return self._piece(first) + b"".join(found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:

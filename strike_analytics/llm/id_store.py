@@ -22,13 +22,16 @@ system it knows. A task writes to a name of its own and renames at the end:
 tasks that are repeated, or run twice at a time, leave one whole shard, since
 a range's rows and their order don't depend on the attempt.
 
-Scale: the texts are shuffled once, in ranges that Spark samples; a writer
+Scale: the texts are shuffled once, in ranges that Spark samples, of doc_id,
+the text's hash and the row's number, so that neither one id of many rows nor
+many equal rows are one task's work; a writer
 holds one document's ids and its shard's index. The manifest has one row for
 each shard, and only there the ids before a shard are added up.
 
 Defined results: null and empty texts have the end id only; null doc_ids come
-first; rows of one doc_id are all written, in the order of their texts; an
-empty table gives no shard.
+first; rows of one doc_id are all written, in the order of their texts' hashes;
+an empty table gives no shard. Special tokens are as the tokenizer's file has
+them.
 """
 
 from __future__ import annotations
@@ -58,8 +61,18 @@ HEADER = "<8s32sB"
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 2048, 64 << 10, 3
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark takes it to have, as pyarrow spells it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, rest = full.split(":", 1)
+    if scheme == "file":
+        return "file://" + "/" + rest.lstrip("/")
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}"
+
+
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(folder)
 
 
 def id_type(tokenizer_path: str) -> str:
@@ -91,19 +104,23 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
 
 
 def with_end(encoded: bytes, end_id: int) -> np.ndarray:
-    return np.append(np.frombuffer(encoded, "<u4"), np.uint32(end_id))
+    return np.frombuffer(encoded + struct.pack("<I", end_id), "<u4")
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-MANIFEST = "shard string, n_docs long, n_ids long, low long, dictionary string"
+#: ``low`` and ``high``: doc_id and text hash of a shard's first and last document.
+MANIFEST = "shard string, n_docs long, n_ids long, low long, low_hash long, high long, high_hash long, dictionary string"
+_MANIFEST = pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("low_hash", pa.int64()),
+                       ("high", pa.int64()), ("high_hash", pa.int64()), ("dictionary", pa.string())])
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Writes ``docs`` (doc_id, text) and gives the manifest: shard, n_docs, n_ids,
-    low (the first doc_id) and the dictionary's hash."""
+    its first and last document and the dictionary's hash."""
+    spark_folder, folder = folder, qualified(docs.sparkSession, folder)
     dictionary = train_dictionary(docs, tokenizer_path, end_id)
     digest = hashlib.sha256(dictionary).digest()
     where, base = file_system(folder)
@@ -119,7 +136,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         kind, encode = id_type(tokenizer_path), encoder_from_file(tokenizer_path)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         temporary = posixpath.join(base, f"_{uuid.uuid4().hex}")
-        ids, keys, index = 0, [], []
+        ids, keys, index, last = 0, [], [], first
         named = hashlib.sha256()
         with where.open_output_stream(temporary) as out:
             out.write(struct.pack(HEADER, MAGIC, digest, int(kind[-1])))
@@ -140,7 +157,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
             put(first)
             for batch in batches:
-                put(batch)
+                if batch.num_rows:
+                    put(batch)
+                    last = batch
             index.append((ids, at))
             out.write(np.array(index, "<u8").tobytes())
             out.write(np.array([k or 0 for k in keys], "<i8").tobytes())
@@ -150,14 +169,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         named.update(np.array([k or 0 for k in keys], "<i8").tobytes())
         shard = f"{named.hexdigest()[:32]}.ids"
         where.move(temporary, posixpath.join(base, shard))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(keys)], "n_ids": [ids], "low": [keys[0]],
-                                          "dictionary": [digest.hex()]},
-                                         schema=pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
-                                                           ("low", pa.int64()), ("dictionary", pa.string())]))
-
-    manifest = posixpath.join(folder, "manifest.parquet")
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-     .sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(manifest))
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(keys), "n_ids": ids, "low": keys[0], "low_hash": first.column("hash")[0].as_py(),
+                                           "high": keys[-1], "high_hash": last.column("hash")[-1].as_py(),
+                                           "dictionary": digest.hex()}], schema=_MANIFEST)
+
+    manifest = posixpath.join(spark_folder, "manifest.parquet")
+    # The row's number tells equal rows apart, so that any number of them can be dealt to several shards.
+    order = ["doc_id", "hash", "text", "row"]
+    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"),
+                 F.monotonically_increasing_id().alias("row"))
+     .repartitionByRange("doc_id", "hash", "row").sortWithinPartitions(*order).select("doc_id", "text", "hash")
+     .mapInArrow(run, MANIFEST).write.parquet(manifest))
     return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
@@ -194,7 +216,8 @@ class Shard:
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
     """The manifest with ``before``, the ids of all shards before; one row for each shard is summed."""
-    order = Window.orderBy(F.col("low").asc_nulls_first(), "shard")
+    order = Window.orderBy(*(F.col(c).asc_nulls_first() for c in ("low", "low_hash", "high", "high_hash")), "shard").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     return manifest.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids"))
 
 
@@ -202,6 +225,7 @@ def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
     """For each document, from the files: doc_id, start (ids of all documents
     before it), n_tokens, ids_crc32, and with ``with_ids`` the ids."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    folder = qualified(manifest.sparkSession, folder)
     out = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -66,12 +67,16 @@ def test_offsets_cover_the_text(spark):
 def test_id_store_round_trip(spark, edges, tmp_path):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    folder = f"file://{tmp_path}/ids"
-    manifest = id_store.write_shards(edges, folder, path)
+    special = [(20, "a<|endoftext|>b", "en", "a", 1), (21, "<|endoftext|> a  <|endoftext|>", "en", "a", 1)]
+    rows = [*EDGES, *special, *EDGES[5:6] * 40]  # many equal rows: dealt to several shards
+    docs = edges.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame(rows[len(EDGES):], edges.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    folder = f"{tmp_path}/ids"  # no scheme: where Spark takes it to be
+    manifest = id_store.write_shards(docs, folder, path)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in id_store.read_shards(manifest, folder).collect())
     at, want = 0, []
-    for doc_id, text in sorted(((r[0], r[1]) for r in EDGES), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    tied = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, tied(r[1]))):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         want.append((at, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
