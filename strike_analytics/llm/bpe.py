@@ -233,8 +233,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str
 
 
 def decode_ids(df: DataFrame, ranks_path: str) -> DataFrame:
-    """``df`` with ``text``, decoded from its column ``ids``; bytes that form no
-    character become U+FFFD. A null list stays null."""
+    """``df`` with ``text``, decoded from its column ``ids``, in place of any
+    column of that name; bytes that form no character become U+FFFD. A null list stays null."""
+    df = df.drop(*(c for c in df.columns if c.lower() == "text"))
+
     def run(batches):
         table = byte_table(ranks_path)
         for batch in batches:

@@ -71,9 +71,11 @@ def map_texts(df: DataFrame, carry: list[str], rows: Callable[[list[str]], dict[
 
     Runs in ``mapInArrow``: ``rows`` gets the texts of a slice (null as the
     empty string) and returns one list for each column of ``added`` (name ->
-    Spark's and Arrow's type). No other column of ``df`` is read.
+    Spark's and Arrow's type). No other column of ``df`` is read. A column of
+    ``carry`` whose name one of ``added`` has gives way to it.
     """
     let_workers_import(df.sparkSession)
+    carry = [c for c in carry if c.lower() not in {n.lower() for n in added}]
     df = df.select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema),
                         *(f"{n} {t}" for n, (t, _) in added.items())])

@@ -3,9 +3,10 @@
 Filters of several widths run over the bytes of a window, each is max-pooled
 over the window, and a softmax gives the languages. Everything is numpy: the
 network is trained with Adam on windows of a bounded sample of labelled
-documents (about ``SAMPLE`` for each of the ``LANGUAGES`` most frequent
-languages, those whose ids hash lowest; windows at a hashed place of each), and applied to batches of fixed-length windows
-that together cover every text whole.
+documents (about ``SAMPLE`` for each language, however rare, those whose ids
+hash lowest; windows at a hashed place of each), and applied to batches of
+fixed-length windows that together cover every text whole. The network has an
+output for each language; it and their counts are what the driver holds.
 
 A filter's input is a byte, so the network is applied by adding up table rows:
 the embedding and each filter position make one row for each byte, and
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strike_analytics.llm.common import keep_texts, map_texts, read_table
 
-WINDOW, SAMPLE, LANGUAGES, WIDTHS, FILTERS, EMBED = 256, 1500, 200, (2, 3, 4), 8, 8
+WINDOW, SAMPLE, WIDTHS, FILTERS, EMBED = 256, 1500, (2, 3, 4), 8, 8
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -195,7 +196,7 @@ def train_identifier(labelled: DataFrame, sample: int = SAMPLE, per_text: int =
     ``per_text`` windows that begin at places drawn from a seeded generator."""
     # Hashes are even, so a share of their range is that share of the ids.
     part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return Identifier(None)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], sample / r["count"])])

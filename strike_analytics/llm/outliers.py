@@ -9,9 +9,12 @@ covariance determinant estimate of their language and source.
 The estimate is found by concentration steps from two deterministic starts
 (medians with quartile ranges; all rows), each step keeping the share
 ``SUBSET`` of a group's rows with the smallest distances; of the two results
-the one with the smaller determinant is taken. A step is one aggregate: rows
-are summed by group and step of ln distance, and the subset is the run of
-lowest steps, so no group's rows are ever sorted or gathered. The vectors are
+the one with the smaller determinant is taken. Steps go on until no group's
+determinant falls any further. A step is one aggregate: rows are summed by
+group and step of ln distance, and the subset is the run of lowest steps that
+holds the share (so it may hold more, by the rows of its last step), and no
+group's rows are ever sorted or gathered. The final estimate is that of the
+subset, without reweighting. The vectors are
 integers in units of 1/4096 and their sums exact, whatever the order of rows.
 
 As in the regularised form of the estimator, a fixed variance (``FLOOR``) is
@@ -36,7 +39,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strike_analytics.llm.common import read_table, written
+from strike_analytics.llm.common import free_names, read_table, written
 
 #: White space, symbols, and the base rules' limits.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -49,30 +52,33 @@ P = 5
 #: worth of the language's estimate; steps of distance a unit of its logarithm.
 FLOOR = (0.05, 0.01, 0.04, 0.0225, 0.0064)
 SUBSET, PRIOR, FINE = 0.6, 50, 16
+#: A determinant has settled when a step lowers its logarithm by no more.
+SETTLED = 1e-3
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
 def text_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (and n_lines)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(*carry, text.alias("__text"))
+    text_, words_, lines_, windows_, placed_ = free_names(docs.select(*carry), "text", "words", "lines", "windows", "placed")
+    df = docs.select(*carry, text.alias(text_))
     df = df.select(
         *carry,
-        F.filter(F.split("__text", SPACE), lambda w: w != "").alias("__words"),
-        F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-        F.char_length(F.regexp_replace("__text", SPACE, "")).alias("word_chars"),
-        F.char_length(F.regexp_replace("__text", NO_SYMBOL, "")).alias("n_symbols"))
-    windows = F.transform(F.sequence(F.lit(0), F.size("__words") - RUN),
-                          lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(RUN)]))
-    df = df.select(*carry, F.size("__words").alias("n_words"), "word_chars", "n_symbols",
-                   F.size("__lines").alias("n_lines"),
-                   (F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-                   F.when(F.size("__words") >= RUN, windows).otherwise(F.array().cast("array<bigint>")).alias("__windows"))
+        F.filter(F.split(text_, SPACE), lambda w: w != "").alias(words_),
+        F.filter(F.split(text_, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines_),
+        F.char_length(F.regexp_replace(text_, SPACE, "")).alias("word_chars"),
+        F.char_length(F.regexp_replace(text_, NO_SYMBOL, "")).alias("n_symbols"))
+    windows = F.transform(F.sequence(F.lit(0), F.size(words_) - RUN),
+                          lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(RUN)]))
+    df = df.select(*carry, F.size(words_).alias("n_words"), "word_chars", "n_symbols",
+                   F.size(lines_).alias("n_lines"),
+                   (F.size(lines_) - F.size(F.array_distinct(lines_))).alias("n_dup_lines"),
+                   F.when(F.size(words_) >= RUN, windows).otherwise(F.array().cast("array<bigint>")).alias(windows_))
     # Most texts repeat no window; the places are only sorted for the others.
-    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("__placed", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), placed))
-    same = lambda x, k: F.coalesce(F.get("__placed", k)["h"] == x["h"], F.lit(False))
-    again = F.filter("__placed", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    placed = F.sort_array(F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(placed_, F.when(F.size(F.array_distinct(windows_)) < F.size(windows_), placed))
+    same = lambda x, k: F.coalesce(F.get(placed_, k)["h"] == x["h"], F.lit(False))
+    again = F.filter(placed_, lambda x, k: same(x, k - 1) | same(x, k + 1))
     starts = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(starts, F.struct(F.lit(-RUN).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(
         i.alias("last"), (s["n"] + F.least(F.lit(RUN), i - s["last"])).alias("n")), lambda s: s["n"])
@@ -161,30 +167,44 @@ def distance() -> Column:
     return sum(((1 if i == j else 2) * F.col(f"w{i}{j}") * e[i] * e[j] for i, j in PAIRS), F.lit(0.0))
 
 
-def mcd(vectors: DataFrame, group: str, outer: str | None, prior: DataFrame | None, steps: int, name: str) -> DataFrame:
-    """(group, m*, c*, w*) of the regularised MCD estimate for every value of ``group``."""
+def mcd(vectors: DataFrame, group: str, outer: str | None, prior: DataFrame | None, steps: int | None, name: str) -> DataFrame:
+    """(group, m*, c*, w*) of the regularised MCD estimate for every value of
+    ``group``; after ``steps`` steps, or else when each determinant has settled."""
     alpha = chi2_quantile(SUBSET, P)
     factor = SUBSET / chi2_cdf(alpha, P + 2)  # makes the subset's covariance consistent for normal data
     rows = vectors.select(F.col(group).alias("group"), F.col(outer or group).alias("outer"), *[f"q{i}" for i in range(P)])
     keys = ["group", "outer", "start"]
     first = written(rows.groupBy("group", "outer").agg(*moments(), *[
-        F.percentile_approx(f"q{i}", [0.25, 0.5, 0.75], 10000).alias(f"u{i}") for i in range(P)]), name)
+        F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY q{i})") for p in (0.25, 0.5, 0.75)]).alias(f"u{i}")
+        for i in range(P)]), name)  # exact: of few different values
     everything = estimates(first.withColumn("start", F.lit(0)), keys, prior, 1.0)
     spread = {f"c{i}{j}": F.pow((F.get(f"u{i}", F.lit(2)) - F.get(f"u{i}", F.lit(0))) / UNIT / 1.349, 2) if i == j else F.lit(0.0)
               for i, j in PAIRS}
     middle = inverted(first.withColumn("start", F.lit(1)).withColumns({f"m{i}": F.get(f"u{i}", F.lit(1)) / UNIT for i in range(P)})
                       .withColumns(spread), keys)
-    state = written(everything.unionByName(middle), name)
+    state = written(everything.unionByName(middle).withColumn("open", F.lit(True)), name)
     low = Window.partitionBy("group", "outer", "start").orderBy("at")
-    for _ in range(steps):
-        near = (rows.join(state.drop("outer"), "group")
-                .withColumn("at", F.floor(F.log(F.greatest(distance(), F.lit(1e-6))) * FINE).cast("int"))
-                .groupBy(*keys, "at").agg(*moments()))
+    done = 0
+    while done < steps if steps is not None else not done or state.where("open").limit(1).count():
+        # Written: partial counts meet by (group, start, step) before the steps of a group do.
+        near = written(rows.join(state.where("open").drop("outer", "open"), "group")
+                       .withColumn("at", F.floor(F.log(F.greatest(distance(), F.lit(1e-6))) * FINE).cast("int"))
+                       .groupBy(*keys, "at").agg(*moments()), name)
         subset = (near.withColumn("before", F.sum("n").over(low) - F.col("n"))
                   .withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
                   .where(F.col("before") < F.ceil(SUBSET * F.col("all"))))
         sums = subset.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in near.columns if c not in (*keys, "at")])
-        state = written(estimates(sums, keys, prior, factor), name)
+        moved = estimates(sums, keys, prior, factor)
+        if steps is not None or not done:  # what came before the first step is no estimate of a subset yet
+            state = written(moved.withColumn("open", F.lit(True)), name)
+        else:
+            # A step that lowers the determinant no further is the last one; the better estimate stays.
+            old = state.select("group", "start", F.col("logdet").alias("old"))
+            better = moved.join(old, ["group", "start"]).where(F.col("logdet") < F.col("old") - SETTLED).drop("old").select(*moved.columns)
+            stay = state.join(better.select("group", "start"), ["group", "start"], "left_anti").select(*moved.columns)
+            state = written(better.withColumn("open", F.lit(True)).unionByName(stay.withColumn("open", F.lit(False))), name)
+        done += 1
+    state = state.drop("open")
     best = Window.partitionBy("group").orderBy("logdet", "start")
     return written(state.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "start"), name)
 
@@ -195,7 +215,7 @@ def key(*columns: str) -> Column:
     return F.concat_ws("\0,", *parts)
 
 
-def judge(docs: DataFrame, tail: float = 1e-5, steps: int = 3) -> DataFrame:
+def judge(docs: DataFrame, tail: float = 1e-5) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, lang, source): doc_id, the counts,
     base_failed, distance (squared; null if base_failed) and kept: not failed,
     and the distance within the chi-squared quantile at 1 - ``tail``."""
@@ -203,8 +223,8 @@ def judge(docs: DataFrame, tail: float = 1e-5, steps: int = 3) -> DataFrame:
     table = written(counts.select("*", key("lang").alias("by_lang"), key("lang", "source").alias("by_both"), *statistics())
                     .drop("lang", "source"), "quality-rows")
     passed = table.where(~F.col("base_failed"))
-    outer = mcd(passed, "by_lang", None, None, steps, "quality-lang")
-    inner = mcd(passed, "by_both", "by_lang", outer, steps, "quality-both")
+    outer = mcd(passed, "by_lang", None, None, None, "quality-lang")
+    inner = mcd(passed, "by_both", "by_lang", outer, None, "quality-both")
     limit = chi2_quantile(1 - tail, P)
     found = table.join(inner.withColumnRenamed("group", "by_both").drop("outer"), "by_both", "left")
     return (found.withColumn("distance", F.when(~F.col("base_failed"), distance()))

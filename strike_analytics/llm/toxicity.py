@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from strike_analytics.llm.common import map_texts, read_table
 from strike_analytics.session import fresh_dir
 
-POSITIVE, UNLABELLED, WORDS, LEAST_Z, LEAST_TEXTS = 4000, 12000, 512, 4.0, 3
+POSITIVE, UNLABELLED, LEAST_Z, LEAST_TEXTS = 4000, 12000, 4.0, 3
 PREFIXES = (8, 7, 6)
 THRESHOLD = 0.7
 
@@ -93,9 +93,16 @@ class Classifier:
 
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1,
         decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
-    n, (rows, cols) = len(x), np.nonzero(x)  # few words of many are in a text
-    w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
+    """``fit_places`` of a matrix (texts x words) of zeros and ones."""
+    return fit_places(*np.nonzero(x), x.shape[1], positive, prior, steps, rate, decay)
+
+
+def fit_places(rows: np.ndarray, cols: np.ndarray, n_words: int, positive: np.ndarray, prior: float, steps: int = 600,
+               rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk with the logistic
+    loss, by Adam. Text ``rows[i]`` has the word ``cols[i]``: few words of many are in a text."""
+    n = len(positive)
+    w, b = np.zeros(n_words), np.log(prior / (1 - prior))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     n_p, n_u = positive.sum(), (~positive).sum()
     for t in range(1, steps + 1):
@@ -142,7 +149,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     counts = (sample.select("positive", F.explode("words").alias("word")).groupBy("word")
               .agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")))
     z = (p - u) / error
-    words = [bytes(r["word"]) for r in counts.where((z >= LEAST_Z) & (F.col("p") >= LEAST_TEXTS)).orderBy(F.desc(z), "word").limit(WORDS).collect()]
+    words = [bytes(r["word"]) for r in counts.where((z >= LEAST_Z) & (F.col("p") >= LEAST_TEXTS)).orderBy(F.desc(z), "word").collect()]  # of a bounded sample
     if not words:
         return Classifier({}, float(np.log(prior / (1 - prior))))
     place = {w: k for k, w in enumerate(words)}
@@ -154,10 +161,9 @@ def train_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
                                              names=["doc_id", "positive", "at"])
 
     rows = sample.mapInArrow(present, f"doc_id {kind}, positive boolean, at array<int>").orderBy("doc_id", "positive").collect()
-    x = np.zeros((len(rows), len(words)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["at"]] = 1
-    w, b = fit(x, np.array([r["positive"] for r in rows]), prior)
+    sizes = [len(r["at"]) for r in rows]
+    cols = np.fromiter((k for r in rows for k in r["at"]), np.int64, sum(sizes))
+    w, b = fit_places(np.repeat(np.arange(len(rows)), sizes), cols, len(words), np.array([r["positive"] for r in rows]), prior)
     return Classifier(dict(zip(words, w.tolist())), b)
 
 
