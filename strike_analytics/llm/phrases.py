@@ -18,7 +18,10 @@ phrases it consists of, without its last and without its first word, are.
 The set goes to the executors as a filter of ``FILTER_BITS`` bits, whatever its
 size. A phrase the filter takes for one of the set is counted too, which costs
 time and nothing else: counts are exact, and what was counted in a pass follows
-from the filters alone.
+from the filters alone. A pass reads the slices twice: first it adds up the
+phrases' 64-bit hashes, which are short to shuffle, and then it counts the
+phrases themselves whose hash occurs often enough (a frequent phrase's always
+does).
 
 Texts are split once and written as slices of one language: different words
 and a number for each word; the passes read those. Counts are added up in a
@@ -53,6 +56,8 @@ WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
 SLICE, HELD, FILTER_BITS = 1 << 20, 8, 1 << 26
+#: Different hashes that a task adds up before it hands them on.
+MERGED = 1 << 20
 UNKNOWN = "und"
 
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
@@ -132,27 +137,97 @@ def holds(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return there
 
 
-def with_phrases(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
-    """The filter with ``phrases`` (lang, phrase) added; what comes back is no larger than the filter."""
+def with_hashes(filter_: np.ndarray, hashes: DataFrame) -> np.ndarray:
+    """The filter with the phrases of ``hashes`` (hash) added; what comes back is no larger than the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = []
-            for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
-                words = word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
-                hashes.append(reduce(longer, words[1:, None], words[:1])[0])
-            at = np.concatenate(places(np.array(hashes, np.uint64)))
+            at = np.concatenate(places(b.column("hash").to_numpy().view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
                                               pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
 
-    bits = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = hashes.select("hash").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     made = filter_.copy()
     made[bits.column("slot").to_numpy()] |= bits.column("bits").to_numpy().view(np.uint64)
     return made
 
 
+def with_phrases(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
+    """The filter with ``phrases`` (lang, phrase) added."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = []
+            for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
+                words = word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
+                hashes.append(reduce(longer, words[1:, None], words[:1])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["hash"])
+
+    return with_hashes(filter_, phrases.select("lang", "phrase").mapInArrow(run, "hash long"))
+
+
+def chosen(codes: np.ndarray, of_words: np.ndarray, before: np.ndarray | None, now: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, places, hashes) of a slice's phrases of k words whose parts are both
+    in the filter ``now`` and were not both in ``before``; without ``before`` also of all words."""
+    is_word = codes >= 0
+    if not is_word.any():
+        return
+    hashes = word = np.where(is_word, of_words[codes], np.uint64(0))
+    if before is None:
+        at = np.flatnonzero(is_word)
+        yield 1, at, word[at]
+    inside, was = holds(now, of_words)[codes] & is_word, None if before is None else holds(before, of_words)[codes] & is_word
+    for k in range(2, WORDS + 1):
+        hashes = longer(hashes[:-1], word[k - 1:])
+        both = inside[:-1] & inside[1:]
+        had = None if before is None else was[:-1] & was[1:]
+        at = np.flatnonzero(both if had is None else both & ~had)
+        if len(at):
+            yield k, at, hashes[at]
+        inside, was = np.zeros(len(both), bool), None if had is None else np.zeros(len(both), bool)
+        at = np.flatnonzero(both)
+        inside[at] = holds(now, hashes[at])
+        if had is not None:
+            at = np.flatnonzero(had)
+            was[at] = holds(before, hashes[at])
+
+
+def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    for b in batches:
+        for row in range(b.num_rows):
+            yield (b.column("lang")[row].as_py(), b.column("words")[row].as_py().split(_CUT),
+                   np.frombuffer(b.column("codes")[row].as_py(), "<i4").astype(np.int64))
+
+
+def likely(slices: DataFrame, before: np.ndarray | None, now: np.ndarray, support: int) -> DataFrame:
+    """(hash) of the phrases to be counted whose hash occurs ``support`` times or
+    more: all of the frequent ones, and others that share a hash."""
+    filters = slices.sparkSession.sparkContext.broadcast((before, now))
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in held]), len(hashes)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for lang, words, codes in read_slices(batches):
+            for _, _, hashes in chosen(codes, word_hashes(lang, words), *filters.value):
+                held.append(np.unique(hashes, return_counts=True))
+                size += len(held[-1][0])
+                if size >= MERGED:
+                    yield merged(held)
+                    held, size = [], 0
+        if held:
+            yield merged(held)
+
+    return (slices.select("lang", "words", "codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= support).select("hash"))
+
+
 def occurring(codes: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the phrases of ``k`` words at ``at``, a place of each different one and its count."""
     group = codes[at]
+    if k == 1:
+        _, first, n = np.unique(group, return_index=True, return_counts=True)
     for j in range(1, k):
         _, first, group, n = np.unique(group * n_words + codes[at + j], return_index=True, return_inverse=True, return_counts=True)
     return at[first], n
@@ -161,50 +236,24 @@ def occurring(codes: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[
 COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def counted(slices: DataFrame, before: np.ndarray | None, now: np.ndarray) -> DataFrame:
-    """(lang, k, phrase, n) of phrases whose parts are both in the filter ``now``
-    and were not both in ``before``; without ``before`` also of all words."""
-    sc = slices.sparkSession.sparkContext
-    filters = sc.broadcast((before, now))
+def counted(slices: DataFrame, before: np.ndarray | None, now: np.ndarray, only: np.ndarray) -> DataFrame:
+    """(lang, k, phrase, n), slice by slice, of the phrases to be counted that the filter ``only`` holds."""
+    filters = slices.sparkSession.sparkContext.broadcast((before, now, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = filters.value
-        for b in batches:
-            for row in range(b.num_rows):
-                lang = b.column("lang")[row].as_py()
-                words = b.column("words")[row].as_py().split(_CUT)
-                codes = np.frombuffer(b.column("codes")[row].as_py(), "<i4").astype(np.int64)
-                spelled = pa.array(words, pa.binary())
-
-                def rows(at: np.ndarray, k: int, n: np.ndarray) -> pa.RecordBatch:
-                    parts = [spelled.take(pa.array(codes[at + j])) for j in range(k)]
-                    phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-                    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))),
-                                                       pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
-                                                       pa.array(n, pa.int64())], schema=COUNTS)
-
-                is_word = codes >= 0
-                if not is_word.any():
+        before, now, only = filters.value
+        for lang, words, codes in read_slices(batches):
+            spelled = pa.array(words, pa.binary())
+            for k, at, hashes in chosen(codes, word_hashes(lang, words), before, now):
+                at = at[holds(only, hashes)]
+                if not len(at):
                     continue
-                if before is None:
-                    _, first, n = np.unique(codes[is_word], return_index=True, return_counts=True)
-                    yield rows(np.flatnonzero(is_word)[first], 1, n)
-                of_words = word_hashes(lang, words)
-                hashes = word = np.where(is_word, of_words[codes], np.uint64(0))
-                inside, was = holds(now, of_words)[codes] & is_word, None if before is None else holds(before, of_words)[codes] & is_word
-                for k in range(2, WORDS + 1):
-                    hashes = longer(hashes[:-1], word[k - 1:])
-                    both = inside[:-1] & inside[1:]
-                    had = None if before is None else was[:-1] & was[1:]
-                    at = np.flatnonzero(both if had is None else both & ~had)
-                    if len(at):
-                        yield rows(*(lambda first, n: (first, k, n))(*occurring(codes, at, k, len(words))))
-                    inside, was = np.zeros(len(both), bool), None if had is None else np.zeros(len(both), bool)
-                    at = np.flatnonzero(both)
-                    inside[at] = holds(now, hashes[at])
-                    if had is not None:
-                        at = np.flatnonzero(had)
-                        was[at] = holds(before, hashes[at])
+                at, n = occurring(codes, at, k, len(words))
+                parts = [spelled.take(pa.array(codes[at + j])) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))),
+                                                  pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
+                                                  pa.array(n, pa.int64())], schema=COUNTS)
 
     return slices.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
 
@@ -214,7 +263,9 @@ def mined(slices: DataFrame, support: int, filter_: np.ndarray) -> tuple[DataFra
     the set in ``filter_``, and the filter at the end."""
     before, now, found = None, filter_, []
     while True:
-        part = written(counted(slices, before, now).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+        hashes = written(likely(slices, before, now, support), "phrases-likely")
+        only = with_hashes(np.zeros_like(now), hashes)
+        part = written(counted(slices, before, now, only).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
                        .where(F.col("n") >= support), "phrases-counted")
         found.append(part)
         grown = with_phrases(now, part.where(F.col("k") < WORDS))
@@ -227,9 +278,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, fraction: int = FR
     """(lang, k, phrase, n) of every phrase of up to ``WORDS`` words that occurs
     ``support`` times or more in ``docs`` (doc_id, text, lang), and (lang, n) of
     all words."""
-    chosen = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
+    texts = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
                          (F.pmod(F.xxhash64("doc_id"), F.lit(fraction)) == 0).alias("sampled"))
-    slices = written(sliced(chosen, slice_chars), "phrases-slices", **LARGE_VALUES)
+    slices = written(sliced(texts, slice_chars), "phrases-slices", **LARGE_VALUES)
     lowered = max(2, int(LOWERED * support / fraction))
     empty = np.zeros(FILTER_BITS // 64, np.uint64)
     _, proposed = mined(slices.where("sampled"), lowered, empty)
