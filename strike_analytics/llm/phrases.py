@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,20 +198,36 @@ def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
                    np.frombuffer(b.column("codes")[row].as_py(), "<i4").astype(np.int64))
 
 
-def likely(slices: DataFrame, before: np.ndarray | None, now: np.ndarray, support: int) -> DataFrame:
-    """(hash) of the phrases to be counted whose hash occurs ``support`` times or
-    more: all of the frequent ones, and others that share a hash."""
-    filters = slices.sparkSession.sparkContext.broadcast((before, now))
+class Shipped:
+    """Filters on their way to the executors, packed (most bits are not set); unpacked once in a task."""
+
+    def __init__(self, spark: SparkSession, *filters: np.ndarray | None):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        self.packed = spark.sparkContext.broadcast([None if f is None else pack(f.tobytes()) for f in filters])
+
+    def __call__(self) -> list[np.ndarray | None]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return [None if f is None else np.frombuffer(unpack(f), np.uint64) for f in self.packed.value]
+
+    def __enter__(self) -> Shipped:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.packed.destroy()  # what was made with them is written
+
+
+def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
+    """(hash) of the phrases to be counted whose hash occurs ``support`` times or
+    more: all of the frequent ones, and others that share a hash. ``filters``: before and now."""
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
         n = np.bincount(at, np.concatenate([n for _, n in held]), len(hashes)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, (before, now) = [], 0, filters()
         for lang, words, codes in read_slices(batches):
-            for _, _, hashes in chosen(codes, word_hashes(lang, words), *filters.value):
+            for _, _, hashes in chosen(codes, word_hashes(lang, words), before, now):
                 held.append(np.unique(hashes, return_counts=True))
                 size += len(held[-1][0])
                 if size >= MERGED:
@@ -236,12 +253,11 @@ def occurring(codes: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[
 COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def counted(slices: DataFrame, before: np.ndarray | None, now: np.ndarray, only: np.ndarray) -> DataFrame:
-    """(lang, k, phrase, n), slice by slice, of the phrases to be counted that the filter ``only`` holds."""
-    filters = slices.sparkSession.sparkContext.broadcast((before, now, only))
-
+def counted(slices: DataFrame, filters: Shipped) -> DataFrame:
+    """(lang, k, phrase, n), slice by slice, of the phrases to be counted that a
+    third filter holds. ``filters``: before, now and that one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now, only = filters.value
+        before, now, only = filters()
         for lang, words, codes in read_slices(batches):
             spelled = pa.array(words, pa.binary())
             for k, at, hashes in chosen(codes, word_hashes(lang, words), before, now):
@@ -263,10 +279,11 @@ def mined(slices: DataFrame, support: int, filter_: np.ndarray) -> tuple[DataFra
     the set in ``filter_``, and the filter at the end."""
     before, now, found = None, filter_, []
     while True:
-        hashes = written(likely(slices, before, now, support), "phrases-likely")
-        only = with_hashes(np.zeros_like(now), hashes)
-        part = written(counted(slices, before, now, only).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-                       .where(F.col("n") >= support), "phrases-counted")
+        with Shipped(slices.sparkSession, before, now) as filters:
+            hashes = written(likely(slices, filters, support), "phrases-likely")
+        with Shipped(slices.sparkSession, before, now, with_hashes(np.zeros_like(now), hashes)) as filters:
+            part = written(counted(slices, filters).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+                           .where(F.col("n") >= support), "phrases-counted")
         found.append(part)
         grown = with_phrases(now, part.where(F.col("k") < WORDS))
         if (grown == now).all():
