@@ -40,6 +40,23 @@ def search_box(lat: float, lon: float, radius_km: float) -> tuple[float, float,
     return lat - lat_delta, lat + lat_delta, lon - lon_delta, lon + lon_delta
 
 
+def covering_boxes(lat: float, lon: float, radius_km: float) -> list[tuple[float, float, float, float]]:
+    """(min_lat, max_lat, min_lon, max_lon) of boxes that hold every point
+    within ``radius_km`` by great circle: two where they pass the antimeridian,
+    all longitudes where a pole is within."""
+    angle = radius_km / EARTH_RADIUS_KM * (1 + 1e-9) + 1e-9  # of rounded distances
+    low, high = lat - math.degrees(angle), lat + math.degrees(angle)
+    if low <= -90 or high >= 90:
+        return [(max(low, -90.0), min(high, 90.0), -180.0, 180.0)]
+    wide = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat)))))
+    left, right = lon - wide, lon + wide
+    if left < -180:
+        return [(low, high, -180.0, right), (low, high, left + 360, 180.0)]
+    if right > 180:
+        return [(low, high, left, 180.0), (low, high, -180.0, right - 360)]
+    return [(low, high, left, right)]
+
+
 def equirect_miles(lat, lon, lat0: float, lon0: float) -> Column:
     """sqrt((69.1 (lat - lat0))^2 + (69.1 (lon0 - lon) cos(lat / 57.3))^2)."""
     lat, lon = _col(lat), _col(lon)

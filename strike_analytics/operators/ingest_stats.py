@@ -35,6 +35,10 @@ def ingestion_stats(outcomes: DataFrame) -> DataFrame:
     return agg.withColumn("success_rate", pct(F.col("total_stored"), F.col("total_received"), 2))
 
 
+#: The place of frames without a sample number, before all others.
+UNNUMBERED = -(1 << 50)
+
+
 def ingest_progress(outcomes: DataFrame, every: int = 10, fanout: int = PROGRESS_FANOUT,
                     levels: int = 3) -> DataFrame:
     """The periodic progress line: at every ``every``-th frame of a connection
@@ -42,36 +46,30 @@ def ingest_progress(outcomes: DataFrame, every: int = 10, fanout: int = PROGRESS
     failed and the success rate (%, 1 dp).
 
     Frames are counted by rank: ``sample_no`` orders a connection's frames,
-    and may begin anywhere and have gaps. "stored" counts frames that decoded,
-    including those the table later refused (that is what the source's
-    progress line reports).
-
-    Scales with skew: frames are first gathered into one row per (session,
-    range of ``every`` sample numbers); the running sums over these are then a
-    multi-level scan (``plans.prefix.running_sums``), so a session holding a
-    third of all frames is still spread over many tasks.
+    and may begin anywhere, have gaps, repeat or be missing (such frames come
+    first; of one number those that failed come first). "stored" counts frames
+    that decoded, including those the table later refused (that is what the
+    source's progress line reports).
+
+    Scales with skew: frames are first counted by (session, sample number), so
+    a number that repeats without end is one row; the running sums over these
+    are then a multi-level scan (``plans.prefix.running_sums``), so a session
+    holding a third of all frames is still spread over many tasks.
     """
-    frame = F.struct("sample_no", "decoded")
-    buckets = (outcomes
-               .withColumn("_bucket", F.floor(F.col("sample_no") / F.lit(every)).cast("long"))
-               .groupBy("session_id", "_bucket")
-               .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("decoded")).alias("_ok"),
-                    F.sort_array(F.collect_list(frame)).alias("_frames")))
-    cum = running_sums(buckets, "session_id", "_bucket", ["_n", "_ok"], fanout, levels)
-    # At most one frame of a bucket has a rank that is a multiple of ``every``,
-    # unless sample numbers repeat; then there are more frames and more lines.
+    numbers = (outcomes.groupBy("session_id", "sample_no")
+               .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("decoded")).alias("_ok"))
+               .withColumn("_index", F.coalesce("sample_no", F.lit(UNNUMBERED).cast("long"))))
+    cum = running_sums(numbers, "session_id", "_index", ["_n", "_ok"], fanout, levels)
     before = F.col("_n_cum") - F.col("_n")
-    first = (every - before % every).cast("int")
-    places = F.when(first <= F.col("_n"), F.sequence(first, F.col("_n").cast("int"), F.lit(every)))
-    lines = cum.select("session_id", "_frames", before.alias("_before"),
-                       (F.col("_ok_cum") - F.col("_ok")).alias("_ok_before"), F.explode(places).alias("_at"))
-    ok = F.size(F.array_remove(F.slice("_frames.decoded", F.lit(1), F.col("_at")), F.lit(False)))
-    periodic = lines.select("session_id", F.get("_frames", F.col("_at") - 1)["sample_no"].alias("sample_no"),
-                            (F.col("_before") + F.col("_at")).cast("long").alias("processed"),
-                            (F.col("_ok_before") + ok).cast("long").alias("stored"))
-    closing = buckets.groupBy("session_id").agg(
-        F.max(F.get("_frames", F.size("_frames") - 1)["sample_no"]).alias("sample_no"),
-        F.sum("_n").alias("processed"), F.sum("_ok").alias("stored")).where(F.col("processed") % every != 0)
+    first = every - F.pmod(before, F.lit(every))
+    lines = (cum.where(first <= F.col("_n"))
+             .select("session_id", "sample_no", before.alias("_before"), (F.col("_ok_cum") - F.col("_ok")).alias("_ok_before"),
+                     (F.col("_n") - F.col("_ok")).alias("_bad"), F.explode(F.sequence(first, F.col("_n"), F.lit(every).cast("long"))).alias("_at")))
+    ok = F.greatest(F.col("_at") - F.col("_bad"), F.lit(0))
+    periodic = lines.select("session_id", "sample_no", (F.col("_before") + F.col("_at")).alias("processed"),
+                            (F.col("_ok_before") + ok).alias("stored"))
+    closing = numbers.groupBy("session_id").agg(
+        F.max("sample_no").alias("sample_no"), F.sum("_n").alias("processed"), F.sum("_ok").alias("stored")).where(F.col("processed") % every != 0)
     return (periodic.unionByName(closing)
             .select("session_id", "sample_no", "processed", "stored",
                     (F.col("processed") - F.col("stored")).alias("failed"),

@@ -10,16 +10,19 @@ task reach the final merge, so no full sort or shuffle of the table happens.
 from __future__ import annotations
 
 import datetime as _dt
+import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import equirect_miles, haversine_km, search_box
+from ..functions.geo import EARTH_RADIUS_KM, covering_boxes, equirect_miles, haversine_km, search_box
 from ..functions.numeric import py_round
 from ..functions.timeutil import ntz, to_datetime
 from ..plans.layout import time_predicate
+from ..plans.zorder import in_box
 from ..schemas import STRIKE_COLUMNS
-
+from .rollups import in_window
 
 
 def _response(df: DataFrame, *extra: str) -> DataFrame:
@@ -71,14 +74,7 @@ def list_strikes(strikes: DataFrame, *, limit: int = 100, offset: int = 0,
                          ("min_lon", min_lon, LON_RANGE), ("max_lon", max_lon, LON_RANGE)):
         _check(name, v, *rng)
     df = strikes.where(time_predicate(strikes, since=since, until=until))
-    if min_lat is not None:
-        df = df.where(F.col("latitude") >= min_lat)
-    if max_lat is not None:
-        df = df.where(F.col("latitude") <= max_lat)
-    if min_lon is not None:
-        df = df.where(F.col("longitude") >= min_lon)
-    if max_lon is not None:
-        df = df.where(F.col("longitude") <= max_lon)
+    df = in_box(df, min_lat, max_lat, min_lon, max_lon)
     if after is not None:
         ts, last_id = after
         ts = ntz(to_datetime(ts))
@@ -117,9 +113,7 @@ def nearby_strikes(strikes: DataFrame, *, lat: float, lon: float, radius: float
     _check("limit", limit, *LIMIT_RANGE)
     since = _since(now, minutes)
     min_lat, max_lat, min_lon, max_lon = search_box(lat, lon, radius)
-    box = (strikes.where(time_predicate(strikes, since=since))
-           .where(F.col("latitude").between(min_lat, max_lat))
-           .where(F.col("longitude").between(min_lon, max_lon)))
+    box = in_box(strikes.where(time_predicate(strikes, since=since)), min_lat, max_lat, min_lon, max_lon)
     if recency_prelimit:
         box = box.orderBy(*newest_first()).limit(limit * 2)
     dist = haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
@@ -142,13 +136,60 @@ def nearest_strikes_miles(strikes: DataFrame, *, now, lat0: float = 32.7157, lon
     The window is exclusive (``> now - minutes``); no radius cut.
     """
     since = _since(now, minutes)
-    df = (strikes.where(time_predicate(strikes, since=since, since_inclusive=False))
-          .where(F.col("latitude").between(*lat_range))
-          .where(F.col("longitude").between(*lon_range))
+    df = (in_box(strikes.where(time_predicate(strikes, since=since, since_inclusive=False)), *lat_range, *lon_range)
           .select("id", "strike_timestamp", "latitude", "longitude",
                   equirect_miles(F.col("latitude"), F.col("longitude"), lat0, lon0).alias("distance_miles")))
     return df.orderBy(F.col("distance_miles").asc(), F.col("id").asc()).limit(limit)
 
 
+def nearest_strikes(strikes: DataFrame, *, lat: float, lon: float, limit: int = 10, since=None, until=None,
+                    first_km: float = 25.0) -> DataFrame:
+    """The ``limit`` strikes nearest to a point by great circle, however far;
+    ties: newest first.
+
+    Rings that double are searched, from ``first_km`` on, until one holds
+    ``limit`` strikes: none outside it can be nearer. Each ring is a box (two
+    at the antimeridian) that the scan is pruned by, so a query reads the
+    surroundings of its answer and not the table. Only counts up to ``limit``
+    come to the driver.
+    """
+    _check("lat", lat, *LAT_RANGE)
+    _check("lon", lon, *LON_RANGE)
+    _check("limit", limit, *LIMIT_RANGE)
+    window = strikes.where(time_predicate(strikes, since=since, until=until))
+    far, km = math.pi * EARTH_RADIUS_KM, first_km
+    while True:
+        parts = [in_box(window, *box) for box in covering_boxes(lat, lon, km)]
+        ring = reduce(DataFrame.unionByName, parts)
+        near = ring.withColumn("distance_km", haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude")))
+        if km < far:
+            near = near.where(F.col("distance_km") <= km)
+        if km >= far or near.limit(limit).count() == limit:
+            return _response(near.orderBy("distance_km", *newest_first()).limit(limit), "distance_km")
+        km *= 2
+
+
+def page_of_strikes(strikes: DataFrame, hourly: DataFrame, *, limit: int = 100, offset: int = 0, since=None, until=None) -> DataFrame:
+    """The page of ``list_strikes`` without a box, at any depth.
+
+    The kept roll-ups (``sources.tables.read_hourly``) tell in which hours the
+    page lies: only their strikes are read, and the top-k holds no more rows
+    than these hours have before the page's end. One row comes to the driver.
+    """
+    _check("limit", limit, *LIMIT_RANGE)
+    _check("offset", offset, 0)
+    parts = in_window(hourly, strikes, since, until).groupBy("hour").agg(F.sum("strike_count").alias("n"))
+    newest = Window.orderBy(F.col("hour").desc())  # one row for each hour
+    placed = parts.withColumn("end", F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hit = placed.where((F.col("end") > offset) & (F.col("end") - F.col("n") < offset + limit)).agg(
+        F.min("hour").alias("first"), F.max("hour").alias("last"), F.min(F.col("end") - F.col("n")).alias("before")).first()
+    if hit["first"] is None:
+        return _response(strikes.where(F.lit(False)))
+    first, last = hit["first"], hit["last"] + _dt.timedelta(hours=1) - _dt.timedelta(microseconds=1)
+    first = first if since is None else max(first, to_datetime(since))
+    last = last if until is None else min(last, to_datetime(until))
+    return list_strikes(strikes, limit=limit, offset=offset - hit["before"], since=first, until=last)
+
+
 __all__ = ["list_strikes", "recent_strikes", "nearby_strikes", "latest_strikes",
-           "nearest_strikes_miles"]
+           "nearest_strikes_miles", "nearest_strikes", "page_of_strikes"]

@@ -1,10 +1,10 @@
 """Physical layout of the strike table and the predicates that exploit it.
 
 The strike table is written partitioned by ``strike_date`` and, inside each
-date, sorted by a coarse 1-degree grid cell and time. Time predicates are
-doubled with a ``strike_date`` predicate so the scan prunes whole date
-directories; the sort makes Parquet row-group min/max statistics on latitude,
-longitude and time selective, so box predicates skip row groups too.
+date, sorted by a Z-order key of position (``plans/zorder.py``) and time. Time
+predicates are doubled with a ``strike_date`` predicate so the scan prunes whole
+date directories; the sort makes Parquet row-group min/max statistics on the
+key, latitude and longitude selective, so box predicates skip row groups too.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import ntz, to_datetime
+from .zorder import ZKEY, with_zkey
 
 DATE_COLUMN = "strike_date"
 
@@ -37,11 +38,6 @@ def time_predicate(strikes: DataFrame, *, since=None, until=None,
     return cond
 
 
-def grid_cell(lat: Column, lon: Column) -> Column:
-    """1-degree cell id (row-major), used only to cluster rows in a file."""
-    return (F.floor(lat + 90) * 360 + F.floor(lon + 180)).cast("int")
-
-
 def with_layout_columns(strikes: DataFrame) -> DataFrame:
     if DATE_COLUMN in strikes.columns:
         return strikes
@@ -49,15 +45,15 @@ def with_layout_columns(strikes: DataFrame) -> DataFrame:
 
 
 def clustered(strikes: DataFrame) -> DataFrame:
-    """Rows ordered for writing: by date directory, then grid cell, then time.
+    """Rows ordered for writing, with ``zkey``: by date directory, then key, then time.
 
     ``repartition(date)`` would put a hot day (a third of a storm season)
-    into one task. Range partitioning on (date, cell, time, id) splits by
+    into one task. Range partitioning on (date, key, time, id) splits by
     sampled boundaries instead, and the trailing time and id keys let those
-    boundaries cut through a single hot cell of a single day as well, so no
+    boundaries cut through a single hot key of a single day as well, so no
     writer task gets more than its share.
     """
-    df = with_layout_columns(strikes).withColumn("_cell", grid_cell(F.col("latitude"), F.col("longitude")))
-    keys = [DATE_COLUMN, "_cell", "strike_timestamp", "id"]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_cell")
+    df = with_zkey(with_layout_columns(strikes))
+    keys = [DATE_COLUMN, ZKEY, "strike_timestamp", "id"]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 

@@ -104,7 +104,7 @@ def _root(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_strikes(spark, _tables(spark, sf_dir)["strikes"])
+    return read_strikes(spark, _tables(spark, sf_dir)["strikes"], zkey=True)
 
 
 def _round6(df: DataFrame, *cols: str) -> DataFrame:
@@ -200,6 +200,19 @@ def q_table_ingestion_stats(spark, sf_dir):
     return I.ingestion_stats(read_outcomes(spark, _tables(spark, sf_dir)["outcomes"]))
 
 
+def q_table_nearest_strikes(spark, sf_dir):
+    """By rings that grow around a point."""
+    lat, lon = SAN_DIEGO
+    return _round6(Q.nearest_strikes(_written(spark, sf_dir), lat=lat, lon=lon, limit=20, since=LIST_ARGS["since"], until=LIST_ARGS["until"],
+                                     first_km=5), "distance_km")
+
+
+def q_table_page_strikes(spark, sf_dir):
+    """A page found by number, from the kept roll-ups."""
+    hourly = read_hourly(spark, _root(spark, sf_dir))
+    return Q.page_of_strikes(_written(spark, sf_dir), hourly, limit=50, offset=300)
+
+
 def q_table_rollup_stats(spark, sf_dir):
     """From the roll-ups kept with each batch, and the strikes of the incomplete hours."""
     strikes, hourly = _written(spark, sf_dir), read_hourly(spark, _root(spark, sf_dir))
@@ -222,7 +235,7 @@ def q_compacted_strike_stats(spark, sf_dir):
 
 
 def q_compacted_list_strikes(spark, sf_dir):
-    return Q.list_strikes(read_strikes(spark, f"{_compacted(spark, sf_dir)}/strikes"), **LIST_ARGS)
+    return Q.list_strikes(read_strikes(spark, f"{_compacted(spark, sf_dir)}/strikes", zkey=True), **LIST_ARGS)
 
 
 def q_compacted_ingestion_stats(spark, sf_dir):
@@ -275,6 +288,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_nearby_strikes": q_table_nearby_strikes,
     "table_list_strikes": q_table_list_strikes,
     "table_ingestion_stats": q_table_ingestion_stats,
+    "table_nearest_strikes": q_table_nearest_strikes,
+    "table_page_strikes": q_table_page_strikes,
     "table_rollup_stats": q_table_rollup_stats,
     "table_rollup_hemisphere": q_table_rollup_hemisphere,
     "table_rollup_hourly": q_table_rollup_hourly,
@@ -501,6 +516,14 @@ ORACLE_SQL["table_strike_stats"] += """
 WHERE strike_timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND strike_timestamp <= TIMESTAMP '2024-01-20 23:59:59'"""
 ORACLE_SQL["table_nearby_strikes"] = _sql_nearby(True, _TABLE_CTE)
 ORACLE_SQL["table_ingestion_stats"] = ORACLE_SQL["ingestion_stats"]
+_HAVERSINE = (f"6371.0 * (2 * asin(sqrt(pow(sin(radians(latitude - {SAN_DIEGO[0]!r}) / 2), 2) + cos(radians({SAN_DIEGO[0]!r})) * "
+              f"cos(radians(latitude)) * pow(sin(radians(longitude - ({SAN_DIEGO[1]!r})) / 2), 2))))")
+ORACLE_SQL["table_nearest_strikes"] = f"""WITH {_TABLE_CTE}
+SELECT {", ".join(STRIKE_COLUMNS)}, round({_HAVERSINE}, 6) AS distance_km
+FROM strikes WHERE strike_timestamp >= TIMESTAMP '{LIST_ARGS["since"]}' AND strike_timestamp <= TIMESTAMP '{LIST_ARGS["until"]}'
+ORDER BY {_HAVERSINE}, strike_timestamp DESC, id DESC LIMIT 20"""
+ORACLE_SQL["table_page_strikes"] = f"""WITH {_TABLE_CTE}
+SELECT * FROM strikes ORDER BY strike_timestamp DESC, id DESC LIMIT 50 OFFSET 300"""
 _WINDOW_SQL = "strike_timestamp >= TIMESTAMP '{}' AND strike_timestamp <= TIMESTAMP '{}'".format(*ROLLUP_WINDOW)
 ORACLE_SQL["table_rollup_stats"] = ORACLE_SQL["strike_stats"].replace(STRIKES_CTE, _TABLE_CTE) + "\nWHERE " + _WINDOW_SQL
 ORACLE_SQL |= {f"table_rollup_{k}": ORACLE_SQL[f"{k}_activity"].replace(STRIKES_CTE, _TABLE_CTE).replace(

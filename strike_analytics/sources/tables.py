@@ -31,6 +31,7 @@ from ..functions.timeutil import utc
 from ..operators.decode import accepted_strikes, decode_frames, outcomes
 from ..operators.rollups import COUNTERS, HOURLY, counter_parts, hourly_parts
 from ..plans.layout import DATE_COLUMN, clustered
+from ..plans.zorder import ZKEY
 from ..schemas import FRAMES, STRIKES
 from . import commits
 
@@ -38,7 +39,7 @@ _BATCH = [T.StructField("run", T.LongType()), T.StructField("batch_id", T.String
 #: The tables of a root.
 TABLES = ["decoded", "strikes", "hourly", "counters"]
 #: What readers expect of the tables; an empty table has no file to tell it.
-STRIKE_TABLE = T.StructType([*STRIKES.fields, *_BATCH, T.StructField(DATE_COLUMN, T.DateType())])
+STRIKE_TABLE = T.StructType([*STRIKES.fields, T.StructField(ZKEY, T.LongType()), *_BATCH, T.StructField(DATE_COLUMN, T.DateType())])
 LOG_TABLE = T.StructType([*(f for f in FRAMES.fields if f.name in ("frame_id", "session_id", "sample_no", "received_at")),
                           T.StructField("reason", T.StringType()), *_BATCH, T.StructField("received_date", T.DateType())])
 
@@ -85,10 +86,13 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, streaming: bool)
     return commits.read_live(spark, *_root(path), schema)
 
 
-def read_strikes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """The strike table; keeps ``strike_date`` so time filters prune partitions.
-    A stream also has ``batch_id`` and ``run`` (see ``streaming.continuous.settled``)."""
+def read_strikes(spark: SparkSession, path: str, streaming: bool = False, zkey: bool = False) -> DataFrame:
+    """The strike table; keeps ``strike_date`` so time filters prune partitions,
+    and with ``zkey`` the key that boxes are pruned by (null in folders that
+    were not written here). A stream also has ``batch_id`` and ``run`` (see
+    ``streaming.continuous.settled``)."""
     df = _read(spark, path, STRIKE_TABLE, streaming)
+    df = df if zkey else df.drop(ZKEY)
     return df if streaming else df.drop("batch_id", "run")
 
 
