@@ -40,8 +40,8 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: For tables with values of about a megabyte: a page is looked at after each
-#: row (Parquet's default is a hundred), and a file's rows are few.
+#: For tables with large values: a page is looked at after each row (Parquet's
+#: default is a hundred), and a file's rows, which are read together, are few.
 LARGE_VALUES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "maxRecordsPerFile": "128"}
 
 

@@ -56,9 +56,9 @@ from strike_analytics.llm.common import LARGE_VALUES, let_workers_import, read_t
 WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
-SLICE, HELD, FILTER_BITS = 1 << 20, 8, 1 << 26
+SLICE, HELD, FILTER_BITS = 1 << 17, 32, 1 << 26
 #: Different hashes that a task adds up before it hands them on.
-MERGED = 1 << 20
+MERGED = 1 << 19
 UNKNOWN = "und"
 
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
@@ -72,6 +72,11 @@ def tokens(texts: list[str]) -> list[bytes]:
     return data.translate(_PLAIN).replace(_CUT, b" \xff ").split()
 
 
+def code_type(n_words: int) -> str:
+    """Of the numbers of so many different words and of a cut, which is -1."""
+    return "<i2" if n_words < 1 << 15 else "<i4"
+
+
 SLICES = "lang string, sampled boolean, words binary, codes binary, n_words long"
 
 
@@ -81,13 +86,15 @@ def sliced(docs: DataFrame, slice_chars: int) -> DataFrame:
     def made(key: tuple[str, bool], texts: list[str]) -> pa.RecordBatch:
         coded = pa.array(tokens(texts), pa.binary()).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy().astype("<i4")
+        codes = coded.indices.to_numpy().astype(np.int64)
         if _CUT in words:
             cut = words.index(_CUT)
-            codes = np.where(codes == cut, -1, codes - (codes > cut)).astype("<i4")
+            codes = np.where(codes == cut, -1, codes - (codes > cut))
             words.pop(cut)
+        n_words = int((codes >= 0).sum())
+        codes = codes.astype(code_type(len(words)))
         return pa.RecordBatch.from_pylist([{"lang": key[0], "sampled": key[1], "words": _CUT.join(words), "codes": codes.tobytes(),
-                                            "n_words": int((codes >= 0).sum())}],
+                                            "n_words": n_words}],
                                           schema=pa.schema([("lang", pa.string()), ("sampled", pa.bool_()), ("words", pa.binary()),
                                                             ("codes", pa.binary()), ("n_words", pa.int64())]))
 
@@ -194,8 +201,10 @@ def chosen(codes: np.ndarray, of_words: np.ndarray, before: np.ndarray | None, n
 def read_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     for b in batches:
         for row in range(b.num_rows):
-            yield (b.column("lang")[row].as_py(), b.column("words")[row].as_py().split(_CUT),
-                   np.frombuffer(b.column("codes")[row].as_py(), "<i4").astype(np.int64))
+            words = b.column("words")[row].as_py()
+            words = words.split(_CUT) if words else []
+            yield (b.column("lang")[row].as_py(), words,
+                   np.frombuffer(b.column("codes")[row].as_py(), code_type(len(words))).astype(np.int64))
 
 
 class Shipped:
@@ -219,6 +228,9 @@ class Shipped:
 def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
     """(hash) of the phrases to be counted whose hash occurs ``support`` times or
     more: all of the frequent ones, and others that share a hash. ``filters``: before and now."""
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (b.slice(first, 1 << 16) for first in range(0, b.num_rows, 1 << 16))
+
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
         n = np.bincount(at, np.concatenate([n for _, n in held]), len(hashes)).astype(np.int64)
@@ -231,10 +243,10 @@ def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
                 held.append(np.unique(hashes, return_counts=True))
                 size += len(held[-1][0])
                 if size >= MERGED:
-                    yield merged(held)
+                    yield from parts(merged(held))
                     held, size = [], 0
         if held:
-            yield merged(held)
+            yield from parts(merged(held))
 
     return (slices.select("lang", "words", "codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= support).select("hash"))
