@@ -12,11 +12,13 @@ collision never makes a hit.
 Scale: the documents are read once, no text is shuffled. Patterns reach the
 executors in blocks of at most ``block_patterns`` windows; there are as many
 blocks as the benchmark needs, and a worker holds one at a time when there is
-more than one. The benchmark is streamed through the driver block by block.
+more than one, over slices of ``MANY`` characters, so that a block is read for
+much text. The benchmark is streamed through the driver block by block.
 
 Defined results: a null or empty text, or one of separators only, has no words
 and no hit; a null or empty item has no window; repeated rows are each judged;
-items with the same windows are all reported; an empty benchmark hits nothing.
+items with the same windows are all reported; an item without an id hits and is
+counted, but has no place in the list of ids; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 
 from strike_analytics.llm.common import keep_texts, map_texts, read_table
 
+#: Characters that are searched at once, with one block of patterns and with many.
+ONE, MANY = 1 << 20, 1 << 23
+
 #: ASCII that is no digit and, after lower-casing, no letter, separates words.
 _SEPARATORS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -150,6 +155,7 @@ class Searcher:
 
     def __init__(self, spark: SparkSession, benchmark: DataFrame, window: int, block_patterns: int):
         self.blocks = [spark.sparkContext.broadcast(b) for b in pattern_blocks(benchmark, window, block_patterns)]
+        self.chars = ONE if len(self.blocks) < 2 else MANY
 
     def __call__(self, texts: list[str]) -> tuple[list[int], list[np.ndarray | None], list[set]]:
         """Of each text: its number of words, which of them are hit (None: none), the items found."""
@@ -178,13 +184,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     def rows(texts: list[str]) -> dict[str, list]:
         n, hits, items = search(texts)
         return {"n_words": n, "n_hit": [0 if h is None else int(h.sum()) for h in hits],
-                "n_items": [len(x) for x in items], "items": [sorted(map(str, x)) for x in items],
+                "n_items": [len(x) for x in items], "items": [sorted(str(i) for i in x if i is not None) for x in items],
                 "hit_spans": [[] if h is None else runs(h) for h in hits]}
 
     return map_texts(docs, ["doc_id"], rows, {
         "n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "n_items": ("long", pa.int64()),
         "items": ("array<string>", pa.list_(pa.string())),
-        "hit_spans": ("array<array<long>>", pa.list_(pa.list_(pa.int64())))})
+        "hit_spans": ("array<array<long>>", pa.list_(pa.list_(pa.int64())))}, search.chars)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +204,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_patterns: int = 200_000) -> DataFrame:
     """The rows of ``docs``, whole, in which no benchmark window occurs."""
     search = Searcher(docs.sparkSession, benchmark, window, block_patterns)
-    return keep_texts(docs, lambda texts: [h is None for h in search(texts)[1]])
+    return keep_texts(docs, lambda texts: [h is None for h in search(texts)[1]], search.chars)
 
 
 OP8_SQL = r"""

@@ -5,8 +5,11 @@ A host is written in reverse, every label followed by a NUL
 prefix of the keys of its host and all subdomains: an interval [key, key with
 its last NUL raised). Rules and urls are dealt out by ranges of (key, salt)
 and sorted, and each range is swept once: a stack holds the hosts whose
-interval is open, nested ones above their parents, and a url asks the stack
-for its longest rule whose path is a prefix of its own.
+interval is open, nested ones above their parents. A host's paths are prefixes
+too, so they are intervals of the sorted paths, nested ones within their
+parents: a url's place among them gives the innermost interval that can hold
+it, and the way up to its parents the longest rule that fits. A url costs a
+binary search for each host on the stack, however many rules the hosts have.
 
 The bounds of the ranges come from a bounded random sample of keys; they
 decide how evenly the work is spread, never a result. The salt (the hash of the url and
@@ -71,10 +74,34 @@ def bounds_of(keys: DataFrame, ranges: int) -> list[tuple[bytes, int]]:
 LOWEST = -(1 << 63)
 
 
+class Paths:
+    """The path rules of one host, added in the order of their paths."""
+
+    def __init__(self, key: bytes):
+        self.key, self.paths, self.rules, self.outer = key, [], [], []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        self.outer.append(at)
+        self.paths.append(path)
+        self.rules.append((len(rule), rule, verdict))
+
+    def longest(self, path: str) -> tuple[int, str, str] | None:
+        """The innermost interval that holds ``path``: those that begin behind it
+        don't, and of the last one before it only the ones around it can."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return self.rules[at] if at >= 0 else None
+
+
 def sweep(batches: Iterator[pa.RecordBatch], default: str, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Judges the sorted rows of one range after another: of a key rules (kind 0) come before urls."""
+    """Judges the sorted rows of one range after another: of a key rules (kind 0,
+    by path) come before urls."""
     here = None
-    stack: list[tuple[bytes, list[tuple[str, str, str]]]] = []  # host key, its rules (path, rule, verdict)
+    stack: list[Paths] = []
     for batch in batches:
         rows = batch.to_pydict()
         made: dict[str, list] = {n: [] for n in out.names}
@@ -82,15 +109,14 @@ def sweep(batches: Iterator[pa.RecordBatch], default: str, out: pa.Schema) -> It
                 *(rows[c] for c in ("part", "key", "kind", "id", "host", "path", "rule", "verdict"))):
             if part != here:
                 here, stack = part, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == 0:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((path, rule, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(Paths(key))
+                stack[-1].add(path, rule, verdict)
                 continue
-            fits = [(len(r), r, v) for _, rules in stack for p, r, v in rules if path.startswith(p)]
-            best = max(fits, default=(0, None, default))
+            best = max((fit for fit in (paths.longest(path) for paths in stack) if fit), default=(0, None, default))
             for name, value in zip(out.names, (row, host, path, best[1], best[2])):
                 made[name].append(value)
         yield pa.RecordBatch.from_pydict(made, schema=out)
@@ -143,7 +169,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
     arrow_id = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string()))]).field(0).type
     out = pa.schema([(key, arrow_id), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()),
                      ("verdict", pa.string())])
-    return (every.select(*columns).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "salt")
+    return (every.select(*columns).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "salt", "path")
             .mapInArrow(lambda batches: sweep(batches, default, out),
                         f"`{key}` {kind}, host string, path string, rule string, verdict string"))
 

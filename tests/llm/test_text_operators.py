@@ -202,3 +202,12 @@ def test_oracles(spark, name):
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(result.fetchall(), columns)
+
+
+def test_an_item_without_an_id_and_many_blocks(spark):
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(None, " ".join(words[:10])), ("b", " ".join(words[5:20])), ("a", " ".join(words[5:20]))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x y")], "doc_id long, text string")
+    for block in (2, 200_000):
+        rows = {r.doc_id: r for r in decontam.find_benchmark(docs, bench, block_patterns=block).collect()}
+        assert (rows[1].n_hit, rows[1].n_items, rows[1]["items"], rows[2].n_items) == (20, 3, ["a", "b"], 0)
