@@ -18,8 +18,8 @@ phrases it consists of, without its last and without its first word, are.
 The set goes to the executors as a filter of ``FILTER_BITS`` bits, whatever its
 size. A phrase the filter takes for one of the set is counted too, which costs
 time and nothing else: counts are exact, and what was counted in a pass follows
-from the filters alone. A pass reads the slices twice: first it adds up the
-phrases' 64-bit hashes, which are short to shuffle, and then it counts the
+from the filters alone. The full pass reads the slices twice: first it adds up
+the phrases' 64-bit hashes, which are short to shuffle, and then it counts the
 phrases themselves whose hash occurs often enough (a frequent phrase's always
 does).
 
@@ -56,7 +56,7 @@ from strike_analytics.llm.common import LARGE_VALUES, let_workers_import, read_t
 WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
-SLICE, HELD, FILTER_BITS = 1 << 17, 32, 1 << 26
+SLICE, HELD, FILTER_BITS = 1 << 18, 16, 1 << 26
 #: Different hashes that a task adds up before it hands them on.
 MERGED = 1 << 19
 UNKNOWN = "und"
@@ -266,40 +266,69 @@ COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.stri
 
 
 def counted(slices: DataFrame, filters: Shipped) -> DataFrame:
-    """(lang, k, phrase, n), slice by slice, of the phrases to be counted that a
-    third filter holds. ``filters``: before, now and that one."""
+    """(lang, k, phrase, n), added up in a task as far as it holds them, of the
+    phrases to be counted that a third filter holds (None: of all). ``filters``:
+    before, now and that one."""
+    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        made = pa.Table.from_batches(held).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")])
+        return made.rename_columns(["lang", "k", "phrase", "n"]).select(COUNTS.names).cast(COUNTS).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, now, only = filters()
+        held, size = [], 0
         for lang, words, codes in read_slices(batches):
             spelled = pa.array(words, pa.binary())
             for k, at, hashes in chosen(codes, word_hashes(lang, words), before, now):
-                at = at[holds(only, hashes)]
+                at = at[holds(only, hashes)] if only is not None else at
                 if not len(at):
                     continue
                 at, n = occurring(codes, at, k, len(words))
                 parts = [spelled.take(pa.array(codes[at + j])) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))),
-                                                  pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
-                                                  pa.array(n, pa.int64())], schema=COUNTS)
+                held.append(pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))),
+                                                        pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
+                                                        pa.array(n, pa.int64())], schema=COUNTS))
+                size += len(at)
+            if size >= MERGED:
+                held = added(held)
+                size = sum(b.num_rows for b in held)
+                if size > MERGED // 2:  # mostly different ones: hand them on
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from added(held)
 
     return slices.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
-def mined(slices: DataFrame, support: int, filter_: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def proposed(slices: DataFrame, support: int) -> np.ndarray:
+    """The filter of the phrases, but the longest, that may be frequent in
+    ``slices``, level by level. Their hashes say enough: a proposal may be wrong."""
+    before, now = None, np.zeros(FILTER_BITS // 64, np.uint64)
+    for _ in range(WORDS - 1):
+        with Shipped(slices.sparkSession, before, now) as filters:
+            hashes = written(likely(slices, filters, support), "phrases-proposed")
+        before, now = now, with_hashes(now, hashes)
+    return now
+
+
+def mined(slices: DataFrame, support: int, filter_: np.ndarray) -> DataFrame:
     """(lang, k, phrase, n) of all phrases with ``n >= support``, starting from
-    the set in ``filter_``, and the filter at the end."""
-    before, now, found = None, filter_, []
+    the set in ``filter_``."""
+    spark, before, now, found = slices.sparkSession, None, filter_, []
     while True:
-        with Shipped(slices.sparkSession, before, now) as filters:
-            hashes = written(likely(slices, filters, support), "phrases-likely")
-        with Shipped(slices.sparkSession, before, now, with_hashes(np.zeros_like(now), hashes)) as filters:
+        only = None
+        if before is None:  # the first pass counts most; those after it little, at once
+            with Shipped(spark, before, now) as filters:
+                hashes = written(likely(slices, filters, support), "phrases-likely")
+            only = with_hashes(np.zeros_like(now), hashes)
+        with Shipped(spark, before, now, only) as filters:
             part = written(counted(slices, filters).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
                            .where(F.col("n") >= support), "phrases-counted")
         found.append(part)
         grown = with_phrases(now, part.where(F.col("k") < WORDS))
         if (grown == now).all():
-            return reduce(DataFrame.unionByName, found), now
+            return reduce(DataFrame.unionByName, found)
         before, now = now, grown
 
 
@@ -311,9 +340,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, fraction: int = FR
                          (F.pmod(F.xxhash64("doc_id"), F.lit(fraction)) == 0).alias("sampled"))
     slices = written(sliced(texts, slice_chars), "phrases-slices", **LARGE_VALUES)
     lowered = max(2, int(LOWERED * support / fraction))
-    empty = np.zeros(FILTER_BITS // 64, np.uint64)
-    _, proposed = mined(slices.where("sampled"), lowered, empty)
-    found, _ = mined(slices, support, proposed)
+    found = mined(slices, support, proposed(slices.where("sampled"), lowered))
     totals = slices.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return written(found, "phrases-frequent"), totals
 
