@@ -383,22 +383,23 @@ def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP13_SQL = r"""
-WITH pieces AS (
+WITH pieces AS MATERIALIZED (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+lists AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
-grams AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+grams AS MATERIALIZED (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
   FROM lists, range(1, 5) AS t(k) WHERE len(w) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
-c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
-cuts AS (SELECT c.*, cut, l.n AS l, r.n AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.n + r.n) AS BIGINT) AS score
-  FROM c JOIN range(1, 4) AS t(cut) ON cut < k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+parts AS MATERIALIZED (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, w FROM c),
+named AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM parts),
+counts AS MATERIALIZED (SELECT lang || ':' || phrase AS key, n FROM f),
+cuts AS MATERIALIZED (SELECT lang, phrase, a, cut, l.n AS l, r.n AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.n + r.n) AS BIGINT) AS score
+  FROM named JOIN counts l ON l.key = lang || ':' || head JOIN counts r ON r.key = lang || ':' || tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-inner_ AS (SELECT lang, max(a) AS covering, phrase FROM (
+inner_ AS MATERIALIZED (SELECT lang, max(a) AS covering, phrase FROM (
   SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, k - size + 2)] FOR size IN range(2, k)])) AS phrase
   FROM c) GROUP BY lang, phrase)
 SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
