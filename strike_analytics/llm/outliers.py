@@ -142,23 +142,26 @@ def estimates(sums: DataFrame, keys: list[str], prior: DataFrame | None, factor:
 
 
 def inverted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` (m*, c*) with w* and logdet, by Gauss-Jordan elimination on c* plus FLOOR."""
-    df = df.withColumns({f"a{i}{j}": F.col(f"c{min(i, j)}{max(i, j)}") + (FLOOR[i] if i == j else 0.0)
-                         for i in range(P) for j in range(P)}).withColumn("logdet", F.lit(0.0))
-    a = lambda i, j: F.col(f"a{i}{j}")
-    for k in range(P):
-        step = {"logdet": F.col("logdet") + F.log(a(k, k)), f"a{k}{k}": 1 / a(k, k)}
-        for i in range(P):
-            for j in range(P):
-                if i == k and j != k:
-                    step[f"a{i}{j}"] = a(k, j) / a(k, k)
-                elif i != k and j == k:
-                    step[f"a{i}{j}"] = -a(i, k) / a(k, k)
-                elif i != k:
-                    step[f"a{i}{j}"] = a(i, j) - a(i, k) * a(k, j) / a(k, k)
-        df = df.withColumns(step)
-    return df.select(*keys, "logdet", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS],
-                     *[F.col(f"a{i}{j}").alias(f"w{i}{j}") for i, j in PAIRS])
+    """``df`` (m*, c*) with w* and logdet, by Gauss-Jordan elimination on c* plus FLOOR.
+
+    The matrix is one array and a pivot one step of a fold: as named columns,
+    the entries of all pivots are more code than a generated method may have."""
+    matrix = F.array(*[F.col(f"c{min(i, j)}{max(i, j)}") + (FLOOR[i] if i == j else 0.0) for i in range(P) for j in range(P)])
+
+    def pivot(state: Column, k: Column) -> Column:
+        a = lambda i, j: F.get(state["a"], i * P + j)
+
+        def entry(x: Column, at: Column) -> Column:
+            i, j = F.floor(at / P).cast("int"), at % P
+            return (F.when((i == k) & (j == k), 1 / x).when(i == k, x / a(k, k)).when(j == k, -x / a(k, k))
+                    .otherwise(x - a(i, k) * a(k, j) / a(k, k)))
+
+        return F.struct((state["logdet"] + F.log(a(k, k))).alias("logdet"), F.transform(state["a"], entry).alias("a"))
+
+    solved = F.aggregate(F.array(*map(F.lit, range(P))), F.struct(F.lit(0.0).alias("logdet"), matrix.alias("a")), pivot)
+    df = df.withColumn("solved", solved)
+    return df.select(*keys, F.col("solved.logdet").alias("logdet"), *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS],
+                     *[F.get("solved.a", F.lit(i * P + j)).alias(f"w{i}{j}") for i, j in PAIRS])
 
 
 def distance() -> Column:

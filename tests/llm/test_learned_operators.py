@@ -83,6 +83,21 @@ def test_mcd_against_numpy(spark):
         assert np.allclose([r[f"w{i}{j}"] for i, j in outliers.PAIRS], [w[i, j] for i, j in outliers.PAIRS], rtol=1e-6, atol=1e-6)
 
 
+def test_estimates_compile(spark, capsys):
+    """The methods that Spark generates for an estimate are small enough for the JVM to compile."""
+    columns = "group string, outer string, start int, " + ", ".join(f"q{i} long" for i in range(outliers.P))
+    sums = spark.createDataFrame([("a", "x", 0, 1, 2, 3, 4, 5)], columns).groupBy("group", "outer", "start").agg(*outliers.moments())
+    estimate = outliers.estimates(sums, ["group", "outer", "start"], None, 1.0)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        estimate.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+    assert sizes and all(0 < n < 8000 for n in sizes)
+
+
 def test_outliers_go_and_clean_texts_stay(spark, edges, no_rows):
     rows = [(k, prose(k, 60 + k), "en", "a") for k in range(100)]
     rows += [(1000 + k, " ".join(w + "###" for w in prose(k, 80).split()), "en", "a") for k in range(15)]
