@@ -145,31 +145,41 @@ def holds(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return there
 
 
-def with_hashes(filter_: np.ndarray, hashes: DataFrame) -> np.ndarray:
-    """The filter with the phrases of ``hashes`` (hash) added; what comes back is no larger than the filter."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(places(b.column("hash").to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
-                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
+def _bits(hashes: np.ndarray) -> pa.RecordBatch:
+    """(slot, bits): what ``hashes`` set in a filter."""
+    at = np.concatenate(places(hashes))
+    return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
+                                       pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
 
-    bits = hashes.select("hash").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+
+def _with_bits(filter_: np.ndarray, bits: DataFrame) -> np.ndarray:
+    """The filter with ``bits`` (slot, bits) set; what comes back is no larger than the filter."""
+    bits = bits.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     made = filter_.copy()
     made[bits.column("slot").to_numpy()] |= bits.column("bits").to_numpy().view(np.uint64)
     return made
 
 
+def with_hashes(filter_: np.ndarray, hashes: DataFrame) -> np.ndarray:
+    """The filter with the phrases of ``hashes`` (hash) added."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _bits(b.column("hash").to_numpy().view(np.uint64))
+
+    return _with_bits(filter_, hashes.select("hash").mapInArrow(run, "slot long, bits long"))
+
+
 def with_phrases(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
-    """The filter with ``phrases`` (lang, phrase) added."""
+    """The filter with ``phrases`` (lang, phrase) added; one Python worker for each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = []
             for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
                 words = word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
                 hashes.append(reduce(longer, words[1:, None], words[:1])[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["hash"])
+            yield _bits(np.array(hashes, np.uint64))
 
-    return with_hashes(filter_, phrases.select("lang", "phrase").mapInArrow(run, "hash long"))
+    return _with_bits(filter_, phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long"))
 
 
 def chosen(codes: np.ndarray, of_words: np.ndarray, before: np.ndarray | None, now: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -190,6 +200,8 @@ def chosen(codes: np.ndarray, of_words: np.ndarray, before: np.ndarray | None, n
         at = np.flatnonzero(both if had is None else both & ~had)
         if len(at):
             yield k, at, hashes[at]
+        if k == WORDS:
+            return
         inside, was = np.zeros(len(both), bool), None if had is None else np.zeros(len(both), bool)
         at = np.flatnonzero(both)
         inside[at] = holds(now, hashes[at])
@@ -248,8 +260,10 @@ def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
         if held:
             yield from parts(merged(held))
 
-    return (slices.select("lang", "words", "codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= support).select("hash"))
+    # Few hashes of a task are the same by now. Dealt out before they are added up, they take
+    # no hash table of the executor while its Python workers are at their largest.
+    hashes = slices.select("lang", "words", "codes").mapInArrow(run, "hash long, n long").repartition("hash")
+    return hashes.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("hash")
 
 
 def occurring(codes: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -235,3 +235,17 @@ def test_scores_of_counts_past_64_bits(spark):
     row = spark.sql("SELECT CAST(9000000000000000000 AS BIGINT) AS a").select(
         (phrases._exact("a") * F.lit(2_000_000).cast("decimal(7,0)")).alias("two"), (phrases._exact("a") + phrases._exact("a")).alias("sum"))
     assert row.select(F.expr("two div sum")).first()[0] == 1_000_000
+
+
+def test_phrase_passes_hold_little(spark, monkeypatch):
+    """Hashes are dealt out before they are added up, and a task has one Python worker."""
+    docs = spark.createDataFrame([("a b c d", "en", True)], "text string, lang string, sampled boolean")
+    now, plan = np.zeros(phrases.FILTER_BITS // 64, np.uint64), lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with phrases.Shipped(spark, None, now) as filters:
+        counting = plan(phrases.likely(phrases.sliced(docs, 1 << 10), filters, 2))
+    before_dealing = counting[counting.rindex("Exchange hashpartitioning"):]
+    assert "MapInArrow" in before_dealing and "HashAggregate" not in before_dealing
+    made = []
+    monkeypatch.setattr(phrases, "_with_bits", lambda filter_, bits: made.append(plan(bits)))
+    phrases.with_phrases(now, spark.createDataFrame([("en", "a b")], "lang string, phrase string"))
+    assert made[0].count("MapInArrow") == 1
