@@ -41,6 +41,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -57,8 +58,11 @@ WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
 SLICE, HELD, FILTER_BITS = 1 << 18, 16, 1 << 26
-#: Different hashes that a task adds up before it hands them on.
-MERGED = 1 << 19
+#: Different hashes, and different phrases, that a task adds up before it hands them on.
+MERGED, ADDED = 1 << 19, 1 << 18
+#: Bytes of the rows that a Python worker gets at once. Spark's own limit of 64 MB would
+#: be held several times over, by the executor and by the worker of every task.
+BATCH = 1 << 22
 UNKNOWN = "und"
 
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
@@ -77,6 +81,18 @@ def code_type(n_words: int) -> str:
     return "<i2" if n_words < 1 << 15 else "<i4"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands its Python workers ``BATCH`` bytes at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 SLICES = "lang string, sampled boolean, words binary, codes binary, n_words long"
 
 
@@ -303,14 +319,16 @@ def counted(slices: DataFrame, filters: Shipped) -> DataFrame:
                                                         pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
                                                         pa.array(n, pa.int64())], schema=COUNTS))
                 size += len(at)
-            if size >= MERGED:
+            if size >= ADDED:
                 held = added(held)
                 size = sum(b.num_rows for b in held)
-                if size > MERGED // 2:  # mostly different ones: hand them on
+                if size > ADDED // 2:  # mostly different ones: hand them on
                     yield from held
                     held, size = [], 0
         if held:
             yield from added(held)
+        held = None
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return slices.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
 
@@ -352,9 +370,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, fraction: int = FR
     all words."""
     texts = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
                          (F.pmod(F.xxhash64("doc_id"), F.lit(fraction)) == 0).alias("sampled"))
-    slices = written(sliced(texts, slice_chars), "phrases-slices", **LARGE_VALUES)
-    lowered = max(2, int(LOWERED * support / fraction))
-    found = mined(slices, support, proposed(slices.where("sampled"), lowered))
+    with small_batches(docs.sparkSession):
+        slices = written(sliced(texts, slice_chars), "phrases-slices", **LARGE_VALUES)
+        lowered = max(2, int(LOWERED * support / fraction))
+        found = mined(slices, support, proposed(slices.where("sampled"), lowered))
     totals = slices.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return written(found, "phrases-frequent"), totals
 

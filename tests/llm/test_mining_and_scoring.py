@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -249,3 +250,24 @@ def test_phrase_passes_hold_little(spark, monkeypatch):
     monkeypatch.setattr(phrases, "_with_bits", lambda filter_, bits: made.append(plan(bits)))
     phrases.with_phrases(now, spark.createDataFrame([("en", "a b")], "lang string, phrase string"))
     assert made[0].count("MapInArrow") == 1
+
+
+def test_phrase_passes_hand_over_small_batches(spark, monkeypatch):
+    """Every pass of Python runs with a few MB at once; the session's own limit comes back."""
+    name, plain, seen = "spark.sql.execution.arrow.maxBytesPerBatch", phrases.written, {}
+
+    def written(df, what, **options):
+        seen.setdefault(what, spark.conf.get(name))
+        return plain(df, what, **options)
+
+    monkeypatch.setattr(phrases, "written", written)
+    before, rows = spark.conf.get(name), collocated(1, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in phrases.collocations(df, 4).collect()} == plain_phrases(rows, 4, 2000)
+    assert seen.keys() >= {"phrases-slices", "phrases-proposed", "phrases-likely", "phrases-counted"}
+    assert all(int(v) == phrases.BATCH for k, v in seen.items() if k != "phrases-frequent")
+    assert spark.conf.get(name) == before
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows]}) for b in batches)
+    with phrases.small_batches(spark):
+        large = spark.range(0, 100, 1, 1).select("id", F.expr("repeat('x', 1000000)").alias("t"))
+        assert max(r.rows for r in large.mapInArrow(sizes, "rows long").collect()) <= 8
