@@ -66,7 +66,8 @@ def land_frames(spark: SparkSession, sf_dir: str) -> str:
     """Writes the frames of ``events`` as a feed lands them, in many files; gives the folder."""
     path = fresh_dir(spark, "query-frames")
     files = 2 * spark.sparkContext.defaultParallelism
-    frames_from_events(read_events(spark, sf_dir)).repartition(files).write.parquet(path)
+    # Events are dealt out, which are shorter than frames, so that a table of few splits doesn't make its frames in as few tasks.
+    frames_from_events(read_events(spark, sf_dir).repartition(files)).write.parquet(path)
     return path
 
 

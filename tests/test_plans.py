@@ -1,10 +1,13 @@
 """Plan shape: pushdown, pruning, top-k, no Python in the hot path."""
 
 import datetime as dt
+import re
 
 from conftest import SF_SMALL
 from strike_analytics.operators import aggregates as A
 from strike_analytics.operators import queries as Q
+from strike_analytics.operators.decode import accepted_strikes, decode_frames
+from strike_analytics.plans import registry
 from strike_analytics.plans.registry import NEARBY_ARGS, NOW, QUERIES
 from strike_analytics.session import fresh_dir
 from strike_analytics.sources.events import read_frames_from_events, read_strikes_from_events
@@ -119,3 +122,25 @@ def _check_codegen(spark):
             node = line.lstrip(" :+-")
             if node.startswith(("Project [", "Filter ", "Generate ")):
                 raise AssertionError(f"{name}: not in codegen: {node[:80]}")
+
+
+def _largest_method(df, capsys):
+    """Bytes of the largest generated method. The JVM interprets those of more than 8000, whatever their use."""
+    capsys.readouterr()
+    df.explain("codegen")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+def test_generated_frames_are_compiled(spark, capsys, monkeypatch):
+    given, plain = [], registry.frames_from_events
+    monkeypatch.setattr(registry, "frames_from_events", lambda events: given.append(events.rdd.getNumPartitions()) or plain(events))
+    landed = registry.read_frames(spark, registry.land_frames(spark, SF_SMALL))
+    # Events of however few splits are made into frames by many tasks.
+    assert given == [2 * spark.sparkContext.defaultParallelism]
+    frames = read_frames_from_events(spark, SF_SMALL)
+    assert landed.exceptAll(frames).count() == 0 and landed.count() == frames.count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _largest_method(frames, capsys) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
