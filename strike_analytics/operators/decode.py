@@ -47,7 +47,8 @@ def _parsed(x: DataFrame) -> DataFrame:
         "_lon_digits": F.when(D.is_finite(lon_v) & (F.abs(lon_v) > 1000), D.integer_digits(lon_v)),
     })
     x = x.withColumn("longitude", D.repair_longitude_parts(F.col("_lon_v"), F.col("_lon_digits")))
-    return x.drop("_lon_v", "_lon_digits")
+    # Fenced: in one piece with what follows, the generated method passes 8000 bytes, which the JVM never compiles.
+    return fence(x.drop("_lon_v", "_lon_digits"))
 
 
 def _raises(field: str) -> Column:

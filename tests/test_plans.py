@@ -144,3 +144,12 @@ def test_generated_frames_are_compiled(spark, capsys, monkeypatch):
         assert _largest_method(frames, capsys) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_strict_decode_is_compiled(spark, capsys):
+    frames = registry.read_frames(spark, registry.land_frames(spark, SF_SMALL))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _largest_method(accepted_strikes(decode_frames(frames)), capsys) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
