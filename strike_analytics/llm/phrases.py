@@ -19,14 +19,19 @@ The set goes to the executors as a filter of ``FILTER_BITS`` bits, whatever its
 size. A phrase the filter takes for one of the set is counted too, which costs
 time and nothing else: counts are exact, and what was counted in a pass follows
 from the filters alone. The full pass reads the slices twice: first it adds up
-the phrases' 64-bit hashes, which are short to shuffle, and then it counts the
-phrases themselves whose hash occurs often enough (a frequent phrase's always
-does).
+the phrases' keys, hashes of ``KEY_BITS`` bits, and then it counts the phrases
+themselves whose key occurs often enough (a frequent phrase's always does).
+
+Keys are dealt out by their first bits, in blocks: sorted, as steps from one to
+the next, with counts that end at the support. That is some three bytes for a
+key. A bucket's blocks are added up at once; there are as many buckets as the
+words ask for.
 
 Texts are split once and written as slices of one language: different words
 and a number for each word; the passes read those. Counts are added up in a
-slice before they are shuffled by phrase. All that the driver holds is the
-filter.
+task before they are dealt out, by the same buckets, in blocks of sorted
+phrases: a task that holds too many phrases hands on the rarest and goes on
+with the others. All that the driver holds is the filter.
 
 Score, dropping and ranking are joins by (language, phrase); a language's
 ranking is cut to the limit by each task before its rows meet.
@@ -58,8 +63,12 @@ WORDS, SUPPORT, LIMIT = 4, 30, 2000
 FRACTION, LOWERED = 4, 0.6
 #: Characters of a slice, slices' worth of them that a task holds, and bits of the filter (8 MB).
 SLICE, HELD, FILTER_BITS = 1 << 18, 16, 1 << 26
-#: Different hashes, and different phrases, that a task adds up before it hands them on.
-MERGED, ADDED = 1 << 19, 1 << 18
+#: Bits of a key; occurrences that a bucket of keys may have, and the fewest bits that number the buckets.
+KEY_BITS, BUCKET, BUCKET_BITS = 40, 1 << 22, 6
+#: Different keys, and bytes of phrases and counts, that a task adds up before it hands them on.
+MERGED, ADDED = 1 << 20, 1 << 25
+#: Blocks that a task hands on at once.
+BLOCKS = 1 << 10
 #: Bytes of the rows that a Python worker gets at once. Spark's own limit of 64 MB would
 #: be held several times over, by the executor and by the worker of every task.
 BATCH = 1 << 22
@@ -146,24 +155,32 @@ def longer(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return hashes * _STEP + last
 
 
-def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the filter for each phrase."""
-    mixed = (hashes ^ (hashes >> np.uint64(30))) * _MIX
-    mixed ^= mixed >> np.uint64(31)
-    last = np.uint64(FILTER_BITS - 1)
-    return mixed & last, (mixed >> np.uint64(32)) & last
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = (numbers ^ (numbers >> np.uint64(30))) * _MIX
+    return numbers ^ (numbers >> np.uint64(31))
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """What passes know phrases by: ``KEY_BITS`` bits of each."""
+    return mixed(hashes) >> np.uint64(64 - KEY_BITS)
+
+
+def places(keys_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each key."""
+    spread, last = mixed(keys_ * _STEP), np.uint64(FILTER_BITS - 1)
+    return spread & last, (spread >> np.uint64(32)) & last
 
 
 def holds(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     there = np.ones(len(hashes), bool)
-    for at in places(hashes):
+    for at in places(keys(hashes)):
         there &= (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return there
 
 
-def _bits(hashes: np.ndarray) -> pa.RecordBatch:
-    """(slot, bits): what ``hashes`` set in a filter."""
-    at = np.concatenate(places(hashes))
+def _bits(keys_: np.ndarray) -> pa.RecordBatch:
+    """(slot, bits): what ``keys_`` set in a filter."""
+    at = np.concatenate(places(keys_))
     return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
                                        pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
 
@@ -176,13 +193,13 @@ def _with_bits(filter_: np.ndarray, bits: DataFrame) -> np.ndarray:
     return made
 
 
-def with_hashes(filter_: np.ndarray, hashes: DataFrame) -> np.ndarray:
-    """The filter with the phrases of ``hashes`` (hash) added."""
+def with_keys(filter_: np.ndarray, found: DataFrame) -> np.ndarray:
+    """The filter with the phrases of ``found`` (key) added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _bits(b.column("hash").to_numpy().view(np.uint64))
+            yield _bits(b.column("key").to_numpy().view(np.uint64))
 
-    return _with_bits(filter_, hashes.select("hash").mapInArrow(run, "slot long, bits long"))
+    return _with_bits(filter_, found.select("key").mapInArrow(run, "slot long, bits long"))
 
 
 def with_phrases(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
@@ -193,7 +210,7 @@ def with_phrases(filter_: np.ndarray, phrases: DataFrame) -> np.ndarray:
             for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
                 words = word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
                 hashes.append(reduce(longer, words[1:, None], words[:1])[0])
-            yield _bits(np.array(hashes, np.uint64))
+            yield _bits(keys(np.array(hashes, np.uint64)))
 
     return _with_bits(filter_, phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long"))
 
@@ -253,94 +270,185 @@ class Shipped:
         self.packed.destroy()  # what was made with them is written
 
 
-def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
-    """(hash) of the phrases to be counted whose hash occurs ``support`` times or
-    more: all of the frequent ones, and others that share a hash. ``filters``: before and now."""
-    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        return (b.slice(first, 1 << 16) for first in range(0, b.num_rows, 1 << 16))
+def summed(keys_: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and what they count together (``most`` at most)."""
+    order = np.argsort(keys_, kind="stable")
+    keys_ = keys_[order]
+    first = np.flatnonzero(np.diff(keys_, prepend=~keys_[:1]))
+    return keys_[first], np.minimum(np.add.reduceat(n[order], first), most)
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """All first bytes of the numbers, all second ones and so on, packed."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(data.T).view(np.int64).ravel()
+
+
+def packed(keys_: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """A block of keys in order, as steps from one to the next, and their counts."""
+    return _bytes(np.diff(keys_, prepend=np.uint64(0))), _bytes(n.astype(np.int64))
+
+
+def unpacked(steps: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_numbers(steps).view(np.uint64), dtype=np.uint64), _numbers(n)
+
+
+def bucket_bits(n_words: int) -> int:
+    """Of the number of a bucket, for phrases of so many words in all."""
+    return max(BUCKET_BITS, (WORDS * n_words // BUCKET).bit_length())
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n for _, n in held]), len(hashes)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+def buckets_of(slices: DataFrame) -> int:
+    return bucket_bits(slices.agg(F.sum("n_words")).first()[0] or 0)
+
+
+def key_blocks(slices: DataFrame, filters: Shipped, support: int, bits: int) -> DataFrame:
+    """(bucket, steps, n): blocks of the keys of the phrases to be counted, with counts up to ``support``."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits)
+
+    def blocks(keys_: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(np.searchsorted(keys_, edges), len(keys_))
+        there = np.flatnonzero(np.diff(ends))
+        for first in range(0, len(there), BLOCKS):
+            some = there[first:first + BLOCKS]
+            steps, counts = zip(*(packed(keys_[ends[b]:ends[b + 1]], n[ends[b]:ends[b + 1]]) for b in some))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["bucket", "steps", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, (before, now) = [], 0, filters()
         for lang, words, codes in read_slices(batches):
             for _, _, hashes in chosen(codes, word_hashes(lang, words), before, now):
-                held.append(np.unique(hashes, return_counts=True))
+                held.append(np.unique(keys(hashes), return_counts=True))
                 size += len(held[-1][0])
-                if size >= MERGED:
-                    yield from parts(merged(held))
+            if size >= MERGED:
+                held = [summed(*map(np.concatenate, zip(*held)), support)]
+                size = len(held[0][0])
+                if size > MERGED // 2:  # mostly different ones: hand them on
+                    yield from blocks(*held[0])
                     held, size = [], 0
         if held:
-            yield from parts(merged(held))
+            yield from blocks(*summed(*map(np.concatenate, zip(*held)), support))
+
+    return slices.select("lang", "words", "codes").mapInArrow(run, "bucket int, steps binary, n binary")
+
+
+def likely(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
+    """(key) of the phrases to be counted whose key occurs ``support`` times or
+    more: all of the frequent ones, and others that share a key. ``filters``: before and now."""
+    def frequent(table: pa.Table) -> pa.Table:
+        blocks = zip(*(table.column(c).to_pylist() for c in ("steps", "n")))
+        keys_, n = summed(*map(np.concatenate, zip(*(unpacked(*b) for b in blocks))), support)
+        return pa.table({"key": keys_[n >= support].view(np.int64)})
 
-    # Few hashes of a task are the same by now. Dealt out before they are added up, they take
-    # no hash table of the executor while its Python workers are at their largest.
-    hashes = slices.select("lang", "words", "codes").mapInArrow(run, "hash long, n long").repartition("hash")
-    return hashes.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("hash")
+    return key_blocks(slices, filters, support, buckets_of(slices)).groupBy("bucket").applyInArrow(frequent, "key long")
 
 
 def occurring(codes: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the phrases of ``k`` words at ``at``, a place of each different one and its count."""
+    """Of the phrases of ``k`` words at ``at``, which of them is the first of each different one, and its count."""
     group = codes[at]
     if k == 1:
         _, first, n = np.unique(group, return_index=True, return_counts=True)
     for j in range(1, k):
         _, first, group, n = np.unique(group * n_words + codes[at + j], return_index=True, return_inverse=True, return_counts=True)
-    return at[first], n
-
-
-COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-
-
-def counted(slices: DataFrame, filters: Shipped) -> DataFrame:
-    """(lang, k, phrase, n), added up in a task as far as it holds them, of the
-    phrases to be counted that a third filter holds (None: of all). ``filters``:
-    before, now and that one."""
-    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        made = pa.Table.from_batches(held).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")])
-        return made.rename_columns(["lang", "k", "phrase", "n"]).select(COUNTS.names).cast(COUNTS).combine_chunks().to_batches()
+    return first, n
+
+
+def phrase_blocks(slices: DataFrame, filters: Shipped, bits: int) -> DataFrame:
+    """(bucket, lang, phrases, n): blocks of the phrases to be counted that a
+    third filter holds (None: of all) and their counts, added up in a task as
+    far as it holds them. ``filters``: before, now and that one."""
+    def added(held: dict[str, list[pa.Table]]) -> dict[str, list[pa.Table]]:
+        made = {lang: pa.concat_tables(t).group_by("phrase", use_threads=False).aggregate([("n", "sum"), ("bucket", "min")])
+                for lang, t in held.items()}
+        return {lang: [t.rename_columns(["phrase", "n", "bucket"])] for lang, t in made.items()}
+
+    def blocks(held: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for lang, (t,) in held.items():
+            t = t.sort_by([("bucket", "ascending"), ("phrase", "ascending")])
+            there, first = np.unique(t.column("bucket").to_numpy(), return_index=True)
+            ends, n, pack = np.append(first, t.num_rows), t.column("n").to_numpy(), zstandard.ZstdCompressor(level=3).compress
+            for at in range(0, len(there), BLOCKS):
+                some = range(at, min(at + BLOCKS, len(there)))
+                phrases = [pack(b"\n".join(t.column("phrase").slice(ends[b], ends[b + 1] - ends[b]).to_pylist())) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(there[some.start:some.stop], pa.int32()), pa.array([lang] * len(some), pa.string()),
+                                                  pa.array(phrases, pa.binary()),
+                                                  pa.array([_bytes(n[ends[b]:ends[b + 1]]) for b in some], pa.binary())],
+                                                 names=["bucket", "lang", "phrases", "n"])
+
+    def split(held: dict[str, list[pa.Table]]) -> tuple[dict[str, list[pa.Table]], dict[str, list[pa.Table]]]:
+        """The rarer three quarters at least, and the others."""
+        n = np.concatenate([t.column("n").to_numpy() for t, in held.values()])
+        at = 3 * len(n) // 4
+        rare = np.partition(n, at)[at]
+        return ({lang: [t.filter(pc.less_equal(t.column("n"), rare))] for lang, (t,) in held.items()},
+                {lang: [t.filter(pc.greater(t.column("n"), rare))] for lang, (t,) in held.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, now, only = filters()
-        held, size = [], 0
+        held, size = {}, 0
         for lang, words, codes in read_slices(batches):
             spelled = pa.array(words, pa.binary())
             for k, at, hashes in chosen(codes, word_hashes(lang, words), before, now):
-                at = at[holds(only, hashes)] if only is not None else at
+                if only is not None:
+                    there = holds(only, hashes)
+                    at, hashes = at[there], hashes[there]
                 if not len(at):
                     continue
-                at, n = occurring(codes, at, k, len(words))
-                parts = [spelled.take(pa.array(codes[at + j])) for j in range(k)]
+                first, n = occurring(codes, at, k, len(words))
+                parts = [spelled.take(pa.array(codes[at[first] + j])) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-                held.append(pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))),
-                                                        pa.array(np.full(len(at), k), pa.int32()), phrase.cast(pa.string()),
-                                                        pa.array(n, pa.int64())], schema=COUNTS))
-                size += len(at)
+                bucket = keys(hashes[first]) >> np.uint64(KEY_BITS - bits)
+                made = pa.table({"phrase": phrase, "n": pa.array(n, pa.int64()), "bucket": pa.array(bucket, pa.int32())})
+                held.setdefault(lang, []).append(made)
+                size += made.nbytes
             if size >= ADDED:
                 held = added(held)
-                size = sum(b.num_rows for b in held)
-                if size > ADDED // 2:  # mostly different ones: hand them on
-                    yield from held
-                    held, size = [], 0
+                size = sum(t.nbytes for t, in held.values())
+                if size > ADDED // 2:  # mostly different ones: hand the rarest on
+                    rare, held = split(held)
+                    yield from blocks(rare)
+                    del rare
+                    size = sum(t.nbytes for t, in held.values())
         if held:
-            yield from added(held)
+            yield from blocks(added(held))
         held = None
         pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
-    return slices.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
+    return slices.select("lang", "words", "codes").mapInArrow(run, "bucket int, lang string, phrases binary, n binary")
+
+
+def counted(slices: DataFrame, filters: Shipped, support: int) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases of ``phrase_blocks`` with ``n >= support``."""
+    def frequent(table: pa.Table) -> pa.Table:
+        unpack, by_lang = zstandard.ZstdDecompressor().decompress, {}
+        for lang, phrases, n in zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "n"))):
+            by_lang.setdefault(lang, []).append(pa.table({"phrase": pa.array(unpack(phrases).split(b"\n"), pa.binary()), "n": _numbers(n)}))
+        found = []
+        for lang, parts in by_lang.items():
+            t = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
+            t = t.filter(pc.greater_equal(t.column("n"), support))
+            phrase = t.column("phrase").cast(pa.string())
+            found.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), t.num_rows),
+                                   "k": pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32()), "phrase": phrase, "n": t.column("n")}))
+        return pa.concat_tables(found)
+
+    return (phrase_blocks(slices, filters, buckets_of(slices)).groupBy("bucket")
+            .applyInArrow(frequent, "lang string, k int, phrase string, n long"))
 
 
 def proposed(slices: DataFrame, support: int) -> np.ndarray:
     """The filter of the phrases, but the longest, that may be frequent in
-    ``slices``, level by level. Their hashes say enough: a proposal may be wrong."""
+    ``slices``, level by level. Their keys say enough: a proposal may be wrong."""
     before, now = None, np.zeros(FILTER_BITS // 64, np.uint64)
     for _ in range(WORDS - 1):
         with Shipped(slices.sparkSession, before, now) as filters:
-            hashes = written(likely(slices, filters, support), "phrases-proposed")
-        before, now = now, with_hashes(now, hashes)
+            found = written(likely(slices, filters, support), "phrases-proposed")
+        before, now = now, with_keys(now, found)
     return now
 
 
@@ -352,11 +460,10 @@ def mined(slices: DataFrame, support: int, filter_: np.ndarray) -> DataFrame:
         only = None
         if before is None:  # the first pass counts most; those after it little, at once
             with Shipped(spark, before, now) as filters:
-                hashes = written(likely(slices, filters, support), "phrases-likely")
-            only = with_hashes(np.zeros_like(now), hashes)
+                keys_ = written(likely(slices, filters, support), "phrases-likely")
+            only = with_keys(np.zeros_like(now), keys_)
         with Shipped(spark, before, now, only) as filters:
-            part = written(counted(slices, filters).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-                           .where(F.col("n") >= support), "phrases-counted")
+            part = written(counted(slices, filters, support), "phrases-counted")
         found.append(part)
         grown = with_phrases(now, part.where(F.col("k") < WORDS))
         if (grown == now).all():

@@ -271,3 +271,33 @@ def test_phrase_passes_hand_over_small_batches(spark, monkeypatch):
     with phrases.small_batches(spark):
         large = spark.range(0, 100, 1, 1).select("id", F.expr("repeat('x', 1000000)").alias("t"))
         assert max(r.rows for r in large.mapInArrow(sizes, "rows long").collect()) <= 8
+
+
+def test_phrases_are_handed_on_in_packed_blocks(spark):
+    """Tasks hand on a block for a bucket, not a row for a phrase; a key takes few bytes."""
+    docs = spark.createDataFrame([(" ".join(f"w{k % 4001}" for k in range(i, 40_000 + i)), "en", True) for i in (0, 5)],
+                                 "text string, lang string, sampled boolean").coalesce(1)
+    slices, full = phrases.sliced(docs, 1 << 22), np.full(phrases.FILTER_BITS // 64, ~np.uint64(0))
+    with phrases.Shipped(spark, None, full) as two, phrases.Shipped(spark, None, full, None) as three:
+        by_key = phrases.key_blocks(slices, two, 3, 6).collect()
+        by_phrase = phrases.phrase_blocks(slices, three, 6).collect()
+        assert {len(r) for r in (by_key, by_phrase)} == {64}
+        counts = [phrases.unpacked(r.steps, r.n) for r in by_key]
+        assert sum(len(k) for k, _ in counts) == 4 * 4001 and all((n == 3).all() for _, n in counts)
+        assert all((k >> np.uint64(34) == r.bucket).all() for r, (k, _) in zip(by_key, counts))
+        assert sum(len(r.steps) + len(r.n) for r in by_key) < 7 * 4 * 4001
+        assert sum(phrases._numbers(r.n).sum() for r in by_phrase) == 4 * 80_000 - 6 - 6
+        assert sum(len(r.phrases) + len(r.n) for r in by_phrase) < 10 * 4 * 4001
+        assert phrases.counted(slices, three, 10**6).count() == 0
+        assert phrases.counted(slices, three, 18).count() == 4 * 4001
+    assert phrases.bucket_bits(0) == 6 and phrases.bucket_bits(10**10) == 14
+
+
+def test_phrases_of_tasks_that_hold_little(spark, monkeypatch):
+    """A task that is full hands on the rarest phrases and goes on; nothing is lost."""
+    monkeypatch.setattr(phrases, "MERGED", 50)
+    monkeypatch.setattr(phrases, "ADDED", 3000)
+    monkeypatch.setattr(phrases, "BLOCKS", 3)
+    rows = collocated(5, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in phrases.collocations(df, 4, slice_chars=300).collect()} == plain_phrases(rows, 4, 2000)
